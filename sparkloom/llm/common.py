@@ -57,6 +57,27 @@ def staged(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have, whatever the letter case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of ``docs`` with their own columns whose (doc_id, digest) is in ``verdicts``; ``once``: repeated rows once."""
+    key, digest = fresh(docs, "key", "digest")
+    rows = docs.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(digest, F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))))
+    good = verdicts.select(F.col("doc_id").alias("v_id"), F.col("digest").alias("v_digest")).distinct()
+    rows = rows.join(good, rows[key].eqNullSafe(good.v_id) & (rows[digest] == good.v_digest), "left_semi")
+    return (rows.dropDuplicates([key, digest]) if once else rows).drop(key, digest)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder URI; works on executors, where there is no JVM gateway."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

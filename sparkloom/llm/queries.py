@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_ids
+from . import common, decontam, mixing, neardup, quality, token_ids
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,8 +27,26 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("digest")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids}
+    return {f.__name__: f for f in (op1_token_ids, op2_decontamination, op4_quality_rules, op9_mixing, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
