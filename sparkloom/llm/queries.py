@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, mixing, neardup, quality, token_ids
+from . import common, decontam, mixing, neardup, quality, suffix_dedup, token_ids
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -46,7 +50,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_decontamination, op4_quality_rules, op9_mixing, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_ids, op2_decontamination, op4_quality_rules, op5_suffix_dedup, op9_mixing, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
