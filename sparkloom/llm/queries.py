@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, mixing, neardup, quality, suffix_dedup, token_ids
+from . import chat, common, decontam, licenses, mixing, neardup, quality, suffix_dedup, token_counts, token_ids, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,6 +32,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("digest")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.masked_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return counted.drop("text", "leaf_ends", "leaf_tokens")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,19 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.formatted_report(turns.unionByName(chat.control_conversation(spark)), tokenizer_path())
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -50,7 +68,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_ids, op2_decontamination, op4_quality_rules, op5_suffix_dedup, op9_mixing, op10_near_duplicates)}
+    found = (op1_token_ids, op2_decontamination, op3_token_counts, op4_quality_rules, op5_suffix_dedup)
+    found += (op6_warc, op7_chat_windows, op8_license_scan, op9_mixing, op10_near_duplicates)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
