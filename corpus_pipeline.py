@@ -1,18 +1,43 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next one."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next one.
+
+Every stage but the last returns the columns of ``documents``. Rows keep their id; where the mix takes a document more
+than once, its row is repeated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import common, queries
+from sparkloom.llm import common, decontam, mixing, neardup, quality, queries
+from sparkloom.llm import token_ids as ids
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality.quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, rows that repeat it once."""
+    return common.keep_rows(docs, neardup.near_duplicates(docs).where("kept"), once=True)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return common.keep_rows(docs, decontam.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return mixing.mixed_rows(docs, mixing.mix(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write what is left as token-id files and report each document's place in them."""
-    return queries.token_ids.token_files(docs, queries.tokenizer_path())
+    """What is left is written as token-id files; a row per document tells its place in them."""
+    return ids.token_files(docs, queries.tokenizer_path())
 
 
-STAGES = [("token_ids", token_ids)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix_sources", mix_sources), ("token_ids", token_ids)]
 
 #: Near-duplicate components, entropy balancing and BPE ids are beyond SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
