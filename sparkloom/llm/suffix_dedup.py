@@ -36,6 +36,7 @@ from .suffixes import Block
 GRAM = 64
 MOST = 2048
 TEXT = 1 << 21  # bytes of segments in one suffix sort
+SECOND = np.uint64(0xD1342543DE82EF95)
 POSITION = 21  # bits of a position within a slice
 
 
@@ -173,15 +174,15 @@ def _counted_repeats(segments: DataFrame, size: int) -> DataFrame:
     """The same for anchors with very many segments: every string is counted under a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        second = np.uint64(0xD1342543DE82EF95)
+        bases = [(K.BASE, K.INVERSE), (SECOND, np.uint64(pow(int(SECOND), -1, 1 << 64)))]
         for b in batches:
             for i in range(len(b)):
                 x = np.frombuffer(b.column(5)[i].as_buffer(), np.uint8).astype(np.uint64) + np.uint64(1)
                 n = len(x) - size + 1
                 two = []
-                for base in (K.BASE, second):
+                for base, inverse in bases:
                     p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * K.powers(base, len(x)), dtype=np.uint64)])
-                    two.append(K.mix((p[size:] - p[:n]) * K.powers(base, len(x))[len(x) - 1 - np.arange(n)]).view(np.int64))
+                    two.append(K.mix((p[size:] - p[:n]) * K.powers(inverse, n)).view(np.int64))
                 digest = b.column(2).take(pa.array(np.full(n, i)))
                 yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), digest, pa.array(np.arange(n) + b.column(3)[i].as_py())], names=["a", "b", "digest", "at"])
 
