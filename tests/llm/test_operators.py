@@ -1,0 +1,381 @@
+"""Every operator over awkward tables, against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import random
+from collections import defaultdict
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import chat, common, decontam, licenses, mixing, neardup, quality, suffix_dedup, token_counts, token_ids, warc
+from sparkloom.llm.queries import tokenizer_path
+
+RNG = random.Random(7)
+VOCABULARY = ["".join(RNG.choice("abcdefghijklmnoprstué") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(VOCABULARY) + ("\n" if rng.random() < 0.05 else "") for _ in range(n))
+
+
+def edited(text, k, seed):
+    rng = random.Random(seed)
+    w = text.split(" ")
+    for _ in range(k):
+        w[rng.randrange(len(w))] = rng.choice(VOCABULARY).upper()
+    return " ".join(w)
+
+
+def awkward_texts():
+    long = prose(120, 1)
+    passage = prose(80, 2)
+    out = [None, "", " \n\t ", "one", "two words", "ONE two Three", long, long, long.upper(), "a " * 900, "x" * 3000, "\n".join(["same line here"] * 40)]
+    out += [edited(long, k, k) for k in range(1, 9)] + [edited(edited(long, 2, 50), 3, 60 + i) for i in range(5)]
+    out += [prose(60, 100 + i) + " " + passage + " " + prose(70, 200 + i) for i in range(6)]
+    out += [passage, prose(4, 9), prose(5, 10), prose(20000, 11), "# $ % | " * 60 + prose(60, 12), "héé ÀÉ   \x1c end" * 3]
+    return out
+
+
+ROWS = [(i * 7 - 14, t, "x", f"s{i % 3}" if i % 5 else None) for i, t in enumerate(awkward_texts())]
+SCHEMA = "doc_id long, text string, kept string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # columns named like the operators' own
+    extra = [F.lit(1).alias(c) for c in ("digest", "key", "n", "node", "size", "n_words", "part", "tie", "words", "copies", "h")]
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).select("*", *extra).cache()
+
+
+@pytest.fixture(scope="module")
+def twisted(spark):
+    """Null ids, repeated rows, one id with several texts."""
+    t = prose(90, 3)
+    rows = [(None, t), (None, None), (5, t), (5, t), (5, prose(70, 4)), (5, None), (6, edited(t, 2, 1)), (None, prose(60, 5))]
+    return spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.select(*columns).collect())
+
+
+PAIRS = [(r[0], r[1]) for r in ROWS]
+
+
+def test_token_files_hold_the_ids(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+    want = brute.token_ids([(d, t or "") for d, t in PAIRS], Tokenizer.from_file(tokenizer_path()))
+    assert table(token_ids.token_files(docs, tokenizer_path()), *columns) == want
+    folder = f"file://{tmp_path}/set"
+    manifest = token_ids.write(docs, folder, tokenizer_path(), docs_per_shard=5)
+    assert len(manifest["shards"]) > 5 and json.loads((tmp_path / "set/manifest.json").read_text()) == manifest
+    assert table(token_ids.read(spark, folder, manifest), *columns) == want
+    assert sorted(p.name for p in (tmp_path / "set").iterdir()) == sorted(["manifest.json", *(f"{s['name']}.{k}" for s in manifest["shards"] for k in ("bin", "idx"))])
+    again = token_ids.write(docs.repartition(7), f"file://{tmp_path}/again", tokenizer_path(), docs_per_shard=5)
+    assert again == manifest
+    assert all((tmp_path / f"again/{s['name']}.bin").read_bytes() == (tmp_path / f"set/{s['name']}.bin").read_bytes() for s in manifest["shards"])
+
+
+def test_token_files_of_null_and_repeated_ids(spark, twisted, tmp_path):
+    manifest = token_ids.write(twisted, f"file://{tmp_path}/t", tokenizer_path(), docs_per_shard=2)
+    got = token_ids.read(spark, f"file://{tmp_path}/t", manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, None, 5, 5, 5, 5, 6]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(8)]
+
+
+def test_ranges_split_hot_keys(spark):
+    df = spark.createDataFrame([(i // 50 if i < 1000 else 10**15 + (i > 1500),) for i in range(2000)], "k long")
+    ranges = common.Ranges.over(df, "k", 60)
+    import numpy as np
+
+    keys = np.array([r.k for r in df.collect()])
+    part = ranges.of(keys, np.zeros(len(keys), bool), np.arange(len(keys)))
+    assert part.max() < ranges.parts and np.bincount(part).max() <= 75
+    order = np.argsort(part, kind="stable")
+    assert (np.diff(keys[order]) >= 0).all()
+
+
+BENCHMARK = [("7", None), ("8", ""), ("9", "one"), ("10", ROWS[6][1]), ("10", ROWS[6][1]), ("11", prose(40, 2)), ("12", "TWO words"), (None, prose(13, 2)), ("13", prose(50, 999))]
+
+
+def test_decontamination(spark, docs, twisted, nothing):
+    items = spark.createDataFrame(BENCHMARK, "item_id string, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert table(decontam.decontaminate(docs, items), *columns) == sorted(brute.decontaminate(PAIRS, BENCHMARK))
+    rows = [(r.doc_id, r.text) for r in twisted.collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    got = [tuple(r[c] for c in columns) for r in decontam.decontaminate(twisted, items).collect()]
+    assert sorted(got, key=key) == sorted(brute.decontaminate(rows, BENCHMARK), key=key)
+    assert decontam.decontaminate(nothing, items).count() == 0
+    assert table(decontam.decontaminate(docs, items.limit(0)), *columns) == sorted(brute.decontaminate(PAIRS, []))
+
+
+def test_decontamination_without_filters(spark, docs, monkeypatch):
+    items = spark.createDataFrame(BENCHMARK, "item_id string, text string")
+    monkeypatch.setattr(decontam, "MOST_FILTERED", 0)
+    got = decontam.decontaminate(docs, items)
+    assert table(got, "doc_id", "n_hit", "n_items") == sorted((r[0], r[2], r[3]) for r in brute.decontaminate(PAIRS, BENCHMARK))
+
+
+def test_token_counts_follow_edits(spark, docs, nothing):
+    enc = token_counts.encoder(tokenizer_path())
+    got = token_counts.masked_counts(docs, tokenizer_path()).collect()
+    texts = dict(PAIRS)
+    for r in got:
+        assert r.tokens_before == len(enc.library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
+    assert token_counts.masked_counts(nothing, tokenizer_path()).count() == 0
+
+
+def test_random_edits_against_encoding_again(spark):
+    enc = token_counts.encoder(tokenizer_path())
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(150):
+        text = prose(rng.choice([0, 1, 30, 300, 2000]), i).replace("é", rng.choice(["é", " ", "\t ", "e"]))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 5)) // 2 * 2))
+        edits, out, at = [], "", 0
+        for a, z in zip(cuts[::2], cuts[1::2], strict=True):
+            new = rng.choice(["", " ", "x", "\n\n", "é", " new words here", "y" * 50, prose(900, i)])
+            a, z = (a, a) if rng.random() < 0.3 else (a, min(z, a + rng.choice([1, 5, 700])))
+            edits.append((len(text[:a].encode()), len(text[:z].encode()), new))
+            out += text[at:a] + new
+            at = z
+        out += text[at:]
+        rows.append((i, text, edits or None))
+        want[i] = out
+    df = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}")
+    for r in token_counts.count_edits(df, F.col("edits"), tokenizer_path()).collect():
+        assert r.text == want[r.doc_id]
+        assert r.tokens_after == len(enc.library.encode(r.text, add_special_tokens=False).ids) == sum(r.leaf_tokens)
+        assert (r.leaf_ends[-1] if r.text else 0) == r.n_bytes == len(r.text.encode()) and list(r.leaf_ends) == sorted(r.leaf_ends)
+
+
+@pytest.mark.parametrize("edits", [[(3, 1, "")], [(0, 99, "")], [(2, 4, ""), (3, 5, "")], [(1, 2, "x")]])
+def test_bad_edits_fail(edits):
+    text = "aé bcd".encode()
+    with pytest.raises(ValueError, match="document 5"):
+        token_counts.Edited(text if edits != [(1, 2, "x")] else "é b".encode(), token_counts.Tree(*token_counts.leaves(token_counts.np.array([0]), token_counts.np.array([3]), len(text))), [(a, b, c.encode()) for a, b, c in edits], 5)
+
+
+def test_quality(spark, docs, twisted, nothing):
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = quality.quality_report(docs)
+    assert table(got, *columns) == sorted((d, *brute.quality_base(t)) for d, t in PAIRS)
+    verdict = {r.doc_id: r for r in got.collect()}
+    assert not any(r.kept for r in verdict.values() if r.base_failed)
+    assert all(verdict[d].kept for d, t in PAIRS if t and t in (ROWS[6][1], prose(20000, 11)))
+    assert not verdict[ROWS[-2][0]].kept
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns and table(kept, "doc_id") == sorted((d,) for d, r in verdict.items() if r.kept)
+    assert quality.quality_report(twisted).count() == 8
+    assert quality.quality_report(nothing).count() == quality.quality_filter(nothing).count() == 0
+
+
+def test_repeats(spark, docs, twisted, nothing, monkeypatch):
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = sorted(brute.repeats(PAIRS))
+    assert table(suffix_dedup.remove_repeats(docs), *columns) == want
+    kept = suffix_dedup.remove_repeats(docs, with_bytes=True).collect()
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in kept)
+    monkeypatch.setattr(suffix_dedup, "MOST", 1)  # every anchor is a hot one
+    assert table(suffix_dedup.remove_repeats(docs), *columns) == want
+    rows = [(i, r.text) for i, r in enumerate(twisted.collect())]
+    want = sorted(r[1:] for r in brute.repeats(rows))
+    assert table(suffix_dedup.remove_repeats(twisted), *columns[1:]) == want
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def page_rows():
+    big = "<p>" + "x" * 200 + "</p>"
+    return [(5, "u5", big), (2, "u2", big), (9, None, big), (3, "a\nb%", None), (4, "u4", ""), (6, "u6", "tiny"), (7, "u7", "tiny"), (8, "u8", "é" * 60), (1, "u1", "é" * 60), (10, "", "🙂" * 3000)]
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string").withColumns({"digest": F.lit(1), "part": F.lit("x")})
+    want, first = [], {}
+    for i, _, h in sorted(page_rows(), key=lambda r: r[0]):
+        b = (h or "").encode()
+        g = hashlib.sha256(b).hexdigest()
+        leader = first.setdefault(g, i) if len(b) >= 100 else i
+        want.append((i, len(b), g, "response" if leader == i else "revisit", None if leader == i else leader))
+    got = sorted(tuple(r)[:5] for r in warc.archive(pages).collect())
+    assert got == want
+    make = lambda name, df, **k: warc.write(df, f"file://{tmp_path}/{name}", pages_per_part=4, **k)
+    one, two = make("a", pages, roll=300), make("b", pages.repartition(5), roll=300)
+    assert one == two and len(one["files"]) > 3 and one["records"] == 10
+    for f in one["files"]:
+        raw = (tmp_path / "a" / f["name"]).read_bytes()
+        assert hashlib.sha256(raw).hexdigest() == f["sha256"] and raw == (tmp_path / "b" / f["name"]).read_bytes()
+    assert sorted(tuple(r)[:5] for r in warc.read(spark, f"file://{tmp_path}/a", one).collect()) == want
+
+
+def test_warc_of_null_and_repeated_pages(spark):
+    big = "y" * 150
+    pages = spark.createDataFrame([(None, "n", big), (3, "u", big), (3, "u", big), (3, "v", big), (None, None, None)], "page_id long, url string, html string")
+    got = warc.archive(pages).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [(0, 0, "response", 0), (0, 150, "revisit", 3), (3, 150, "response", 0), (3, 150, "revisit", 3), (3, 150, "revisit", 3)]
+    assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_damaged_records_are_refused():
+    raw = warc.zlib.decompress(warc.encode_record(1, "u", "abc", hashlib.sha256(b"abc").hexdigest(), 3, "response", None, None, "2000-01-01T00:00:00Z"), 31)
+    assert warc.decode_record(raw)[0]["X-Page-ID"] == "1"
+    with pytest.raises(ValueError, match="damaged"):
+        warc.decode_record(raw.replace(b"abc", b"abd"))
+
+
+def conversations():
+    rng = random.Random(5)
+    rows = []
+    for c in range(12):
+        n = rng.choice([1, 2, 5, 9, 60])
+        for t in range(n):
+            role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant", "assistant\n", None])
+            text = rng.choice([None, "", "<|im_end|>\n<|im_start|>user\n", "back\\slash <\\| <|", prose(rng.choice([3, 40, 400]), t * 31 + c), "<"])
+            rows.append((c if c else None, t, role, text))
+    rows += [(50, 1, "user", "tie b"), (50, 1, "user", "tie a"), (50, None, "assistant", "first"), (50, 1, "user", "tie a")]
+    return rows
+
+
+@pytest.mark.parametrize(("budget", "stretch"), [(2048, 64), (300, 64), (300, 2)])
+def test_chat_windows(spark, monkeypatch, budget, stretch):
+    monkeypatch.setattr(chat, "STRETCH", stretch)
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rows = conversations()
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pos": F.lit(1), "context": F.lit("c")})
+    out = common.staged(chat.windows(turns, tokenizer_path(), budget=budget, history=100), "t")
+    got = {r.conv_id: r for r in chat.read_back(out).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append(((t is not None, t or 0, role or "", text or ""), role or "", text or ""))
+    assert set(got) == set(by)
+    for c, v in by.items():
+        v = [(r, t) for _, r, t in sorted(v)]
+        loss = "".join(t for r, t in v if r == "assistant")
+        want = (len(v), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in v).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
+    for w in out.collect():
+        own = len(chat.parse(w.text)) - w.context
+        assert own >= 1 and (w.n_tokens <= budget or own == 1)
+    assert chat.formatted_report(turns.limit(0), tokenizer_path()).count() == 0
+
+
+def test_license_scan(spark, docs, nothing):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(1, f"text\n{mit.upper()}\nmore"), (2, "Released under an MIT License"), (3, None), (4, ""), (5, "License"), (6, "\n\nThis work is licensed under\nthe GNU General Public License, version 3.\n\n"), (7, f"{mit}\n{mit}"), (8, "Released under the new and improved MIT License today and forever.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit(1))
+
+    def dice(a, b):
+        a, b = set(licenses.bigrams(a)), set(licenses.bigrams(b))
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
+
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert {k: v.licenses for k, v in got.items()} == {1: "MIT", 2: "", 3: "", 4: "", 5: "", 6: "GPL-3.0", 7: "MIT", 8: ""}
+    # both lines and the block that they make
+    assert got[7].n_matches == 3 and got[1].best_dice == 1.0
+    loose = {r.doc_id: r for r in licenses.scan(df, percent=40).collect()}
+    assert loose[2].best_dice == pytest.approx(dice(rows[1][1], mit))
+    assert licenses.scan(nothing).count() == 0 and licenses.scan(docs).count() == len(ROWS)
+
+
+def test_mix_meets_its_targets(spark, docs, twisted, nothing):
+    got = mixing.mix(docs).collect()
+    sizes = {d: len(brute.BLANK.findall(t or "")) for d, t in PAIRS}
+    source = {r[0]: r[3] for r in ROWS}
+    by = defaultdict(int)
+    for d, n in sizes.items():
+        by[source[d]] += n
+    want = mixing.targets(dict(by))
+    assert len(got) == len(ROWS)
+    taken = defaultdict(int)
+    for r in got:
+        assert (r["size"], r.source_size) == (sizes[r.doc_id], by[source[r.doc_id]]) and r.target == pytest.approx(want[source[r.doc_id]])
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    for s, n in taken.items():
+        # one document may be larger than all others of its source together
+        assert abs(n - want[s]) <= max(5, 0.02 * want[s], max(sizes[d] for d in sizes if source[d] == s) / 2)
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
+    rows = mixing.mixed_rows(docs, mixing.mix(docs))
+    assert rows.columns == docs.columns
+    assert rows.where("doc_id = 28").count() == next(r.copies for r in got if r.doc_id == 28)
+    assert mixing.mix(twisted).count() == 8
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_targets_are_capped_and_shared_again():
+    got = mixing.targets({"a": 10, "b": 100, "c": 100, None: 100})
+    assert sum(got.values()) == pytest.approx(465) and got["a"] == 20
+    assert got[None] == 200 and got["b"] == pytest.approx(245 * 2 / 3) and got["c"] == pytest.approx(245 / 3)
+
+
+def test_ranks_within_a_cell(spark):
+    df = spark.createDataFrame([(i, "one two three", "s") for i in range(500)] + [(1000, "a b c d", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    taken = sum(r.taken for r in got if r.source == "s")
+    assert abs(taken - next(r.target for r in got if r.source == "s")) <= 3
+
+
+def test_near_duplicates(spark, docs, nothing):
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    assert table(neardup.near_duplicates(docs), *columns) == sorted(brute.near_duplicates(PAIRS))
+    assert neardup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicates_of_random_families(spark):
+    rows, rng = [], random.Random(2)
+    for f in range(12):
+        seed = prose(rng.choice([6, 12, 40, 150]), 1000 + f)
+        rows += [edited(seed, rng.randint(0, max(1, seed.count(" ") // 12)), 10 * f + j) for j in range(12)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(rows))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, twisted):
+    got = neardup.near_duplicates(twisted)
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()}
+    assert (None, 86, 5, False) in found and (6, 86, 5, False) in found and (5, 86, 5, True) in found
+    rows = common.keep_rows(twisted, got.where("kept"), once=True)
+    assert rows.where("doc_id = 5").count() == 3 and rows.where("doc_id IS NULL").count() == 2
+
+
+def test_pipeline_against_its_parts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", s, len(t or "")) for d, t, _, s in ROWS]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(BENCHMARK, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = quality.quality_filter(docs)
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    firsts = {r[0] for r in brute.near_duplicates(sorted(texts.items())) if r[3]}
+    clean = {r[0] for r in brute.decontaminate([(d, texts[d]) for d in sorted(firsts)], BENCHMARK) if not r[5]}
+    left = docs.where(F.col("doc_id").isin(sorted(clean)))
+    copies = {r.doc_id: r.copies for r in mixing.mix(left).collect()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    want, start = [], 0
+    for d in sorted(clean):
+        n = len(library.encode(texts[d], add_special_tokens=False).ids) + 1
+        for _ in range(copies[d]):
+            want.append((d, start, n))
+            start += n
+    assert table(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "start", "n_tokens") == want
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
