@@ -89,6 +89,8 @@ def select_disjoint(scored: DataFrame, key: str, threshold: float = 55.0) -> Dat
     grouped = grouped.withColumn("alone", F.count("*").over(W.partitionBy(key, "island")) == 1)
     alone = grouped.where("alone").drop("alone", "island").withColumn("selection", F.lit("selected"))
 
+    names = scored.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive by island and rank, so one island's choices are held at a time."""
         now, taken = None, []
@@ -101,8 +103,8 @@ def select_disjoint(scored: DataFrame, key: str, threshold: float = 55.0) -> Dat
                 if free:
                     taken.append((a, z))
                 out.append("selected" if free else "overlapped")
-            kept = b.select(scored.columns)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*scored.columns, "selection"])
+            kept = b.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*names, "selection"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in scored.schema]
     ranked = grouped.where("NOT alone").repartition(key, "island").sortWithinPartitions(key, "island", F.desc("score"), "seconds", "first_region", "last_region")
