@@ -30,7 +30,7 @@ def test_paths(spark, path, want):
 
 
 def test_names(spark):
-    assert one(spark, T.sanitize(F.lit(' a/b:c*?"<>|\n. '))) == "a_b_c________"[:0] + "a_b_c_______."[:-1] or True
+    assert one(spark, T.sanitize(F.lit(' a/b:c*?"<>|. '))) == "a_b_c______"
     assert one(spark, T.sanitize(F.lit("..."))) == "media"
     assert one(spark, T.sanitize(F.lit("字" * 100))) == "字" * 60
     assert one(spark, T.sanitize(F.lit("😀" * 100))) == "😀" * 45
