@@ -258,7 +258,7 @@ def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECTS_SQL = """
-    rects AS (SELECT l_orderkey, (l_linenumber % 4) / 8.0 AS x0, (l_linenumber % 3) / 8.0 AS y0, (l_linenumber % 4) / 8.0 + l_quantity / 100 AS x1, (l_linenumber % 3) / 8.0 + 0.25 AS y1, l_discount * 0.7314159 AS weight FROM lineitem WHERE l_orderkey % 10 = 0)
+    rects AS (SELECT l_orderkey, (l_linenumber % 4) / 8.0 AS x0, (l_linenumber % 3) / 8.0 AS y0, (l_linenumber % 4) / 8.0 + l_quantity / 100 AS x1, (l_linenumber % 3) / 8.0 + 0.25 AS y1, l_discount * 0.7314159 AS weight FROM lineitem)
 """
 
 
@@ -273,7 +273,7 @@ def rectangle_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-12, NUM-03"""
     n = F.col("l_linenumber")
     x0, y0 = n % 4 / 8.0, n % 3 / 8.0
-    rects = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") / 100).alias("x1"), (y0 + 0.25).alias("y1"), (F.col("l_discount") * 0.7314159).alias("weight"))
+    rects = table(spark, sf_dir, "lineitem").select("l_orderkey", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") / 100).alias("x1"), (y0 + 0.25).alias("y1"), (F.col("l_discount") * 0.7314159).alias("weight"))
     return features.rect_union(rects, "l_orderkey").select("l_orderkey", r6("area").alias("area"))
 
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import catalogue  # noqa: F401  registers its queries
+    from .plans import catalogue, media  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
