@@ -46,7 +46,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).drop("file", "offset")
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,66 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+    WITH items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+    docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    spans AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+    hits AS (SELECT r, i, spans.n, item_id FROM spans JOIN wins ON spans.win = wins.win AND spans.n = wins.n),
+    words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+    found AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+OP4 = r"""
+    WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs))),
+    rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY r),
+    lines AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+    base AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM docs LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
+      OR 100 * n_dup_lines > 60 * (length(t) - length(replace(t, chr(10), '')) + 1) OR 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars) AS kept FROM judged
+"""
+
+OP6 = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
+def _op8() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(n)}, [{', '.join(map(quote, licenses.bigrams(t)))}])" for n, t in sorted(licenses.TEMPLATES.items()))
+    return rf"""
+    WITH known(license, grams) AS (VALUES {known}),
+    docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
+    units AS (SELECT r, unnest(string_split(t, chr(10))) AS u FROM docs UNION ALL SELECT r, replace(u, chr(10), ' ') FROM (SELECT r, unnest(regexp_split_to_array(t, '\n ?\n[\n ]*')) AS u FROM docs) WHERE contains(trim(u), chr(10))),
+    words AS (SELECT r, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM units),
+    grams AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
+    hits AS (SELECT r, license, 2 * len(list_intersect(g, grams.grams)) / (len(g) + len(grams.grams)) AS dice FROM (SELECT r, g, license, k.grams FROM grams, known k) AS grams),
+    per AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM hits WHERE dice * 100 >= 80 GROUP BY r)
+    SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(best_dice, 0.0) AS best_dice FROM docs LEFT JOIN per USING (r)
+    """
+
+
+OP10 = rf"""
+    WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * shared >= 75 * (s.n + t.n - shared)),
+    edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(v) AS component_id, min(v) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries whose whole result it can express; the others are held against brute force in tests/llm."""
+    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op6_warc": OP6, "op8_license_scan": _op8(), "op10_near_duplicates": OP10}
