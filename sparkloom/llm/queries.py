@@ -129,7 +129,7 @@ OP10 = rf"""
     links AS (SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * shared >= 75 * (s.n + t.n - shared)),
     edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
     reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u)
-    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(v) AS component_id, min(v) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY ALL
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(v) AS component_id, min(v) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n
 """
 
 
