@@ -64,6 +64,24 @@ def flush_step(key: str, id_: str, size: str, seconds: str) -> tuple[Step, tuple
     return step, (0, 0, 0, 0.0), "number long, n long, bytes long, seconds double", f"{key} long, batch long, last_id long, segments long, bytes long, seconds double"
 
 
+def queue_step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
+    """STM-09: one event of a queue with a single worker. A claim fences later events of older attempts.
+
+    State: (active task, its attempt, claims so far). Events: claim, finish and fail carry the task and the attempt that
+    they believe in; an event of another attempt is stale and ignored.
+    """
+    active, attempt, claims = state
+    kind, task, believed = row["kind"], int(row["task"]), int(row["attempt"])
+    if kind == "claim":
+        if active >= 0:
+            return state, None
+        claims += 1
+        return (task, claims, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "claimed", "task": task, "attempt": claims}
+    if active != task or believed != attempt:
+        return state, None
+    return (-1, attempt, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "completed" if kind == "finish" else "failed", "task": task, "attempt": attempt}
+
+
 def monotone_progress(events: DataFrame, key: str, order: list[str], completed: str, total: str, unknown: str) -> DataFrame:
     """Progress that never goes back: running maxima, invalid reports ignored, unknown at most completed."""
     ok = ~F.coalesce(F.col(completed) > F.col(total), F.lit(False)) & ~F.coalesce(F.col(unknown) > F.col(completed), F.lit(False))
