@@ -346,6 +346,17 @@ def test_near_duplicates_of_random_families(spark):
     assert table(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(rows))
 
 
+def test_near_duplicates_in_crowded_lists(spark, monkeypatch):
+    """Families around one long passage: sketches share most values, so whole sets decide."""
+    monkeypatch.setattr(neardup, "MOST", 1)
+    passage = prose(60, 77)
+    rows = [passage + " " + prose(n, 3000 + 10 * n + i) for n in (2, 6, 10, 15, 25) for i in range(8)]
+    rows += [edited(rows[i], 1, i) for i in (0, 9, 20, 33)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(rows))
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark, twisted):
     got = neardup.near_duplicates(twisted)
     found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()}
