@@ -13,12 +13,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tuned
+
 #: Rows in an Arrow batch. The default of 10,000 holds whole texts of any length in memory at once.
 ARROW_ROWS = 1000
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches; everything else is left as the cluster has set it."""
+    """Bound Arrow batches, and set what results depend on; everything else is left as the cluster has set it."""
+    tuned(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
