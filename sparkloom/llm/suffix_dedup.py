@@ -10,7 +10,7 @@ at the same offset, so a string can only repeat among strings whose anchors have
    segments collapse there; different ones with one anchor are suffix-sorted (``suffixes.Block``), and strings whose
    neighbour in that order has a common prefix of ``size`` bytes are repeated.
 4. An anchor with more than ``MOST`` segments (a passage in very many contexts) is not gathered in one task: each of its
-   strings is counted under a 128-bit hash, with map-side sums.
+   strings is counted under a 128-bit hash, with sums per batch, and its segments meet the repeated hashes in lists.
 5. Runs of repeated strings make the removed spans. Copies of a whole text are known by digest beforehand; one of them
    stands for all.
 
@@ -35,6 +35,7 @@ from .suffixes import Block
 
 GRAM = 64
 MOST = 2048
+LIST = 1024
 TEXT = 1 << 21  # bytes of segments in one suffix sort
 SECOND = np.uint64(0xD1342543DE82EF95)
 POSITION = 21  # bits of a position within a slice
@@ -170,25 +171,71 @@ def _sorted_repeats(segments: DataFrame, size: int) -> DataFrame:
     return segments.mapInArrow(run, "digest binary, start long, stop long")
 
 
-def _counted_repeats(segments: DataFrame, size: int) -> DataFrame:
-    """The same for anchors with very many segments: every string is counted under a 128-bit hash."""
+def _string_hashes(segment: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string of a segment."""
+    x = np.frombuffer(segment.as_buffer(), np.uint8).astype(np.uint64) + np.uint64(1)
+    n, out = len(x) - size + 1, []
+    for base, inverse in ((K.BASE, K.INVERSE), (SECOND, np.uint64(pow(int(SECOND), -1, 1 << 64)))):
+        p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * K.powers(base, len(x)), dtype=np.uint64)])
+        out.append(K.mix((p[size:] - p[:n]) * K.powers(inverse, n)).view(np.int64))
+    return out[0], out[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bases = [(K.BASE, K.INVERSE), (SECOND, np.uint64(pow(int(SECOND), -1, 1 << 64)))]
-        for b in batches:
-            for i in range(len(b)):
-                x = np.frombuffer(b.column(5)[i].as_buffer(), np.uint8).astype(np.uint64) + np.uint64(1)
-                n = len(x) - size + 1
-                two = []
-                for base, inverse in bases:
-                    p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * K.powers(base, len(x)), dtype=np.uint64)])
-                    two.append(K.mix((p[size:] - p[:n]) * K.powers(inverse, n)).view(np.int64))
-                digest = b.column(2).take(pa.array(np.full(n, i)))
-                yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), digest, pa.array(np.arange(n) + b.column(3)[i].as_py())], names=["a", "b", "digest", "at"])
-
-    strings = segments.mapInArrow(run, "a long, b long, digest binary, at long")
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-    return strings.join(twice, ["a", "b"], "left_semi").select("digest", F.col("at").alias("start"), (F.col("at") + size).alias("stop"))
+
+def _counted_repeats(segments: DataFrame, size: int) -> DataFrame:
+    """The same for anchors with very many segments: every string is counted under a 128-bit hash.
+
+    Counts are summed per batch before they are shuffled. Then each segment meets the repeated hashes of its anchor, in
+    lists of about ``LIST``, and yields runs: no row per occurrence is made.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column(0))
+            both = [_string_hashes(batch.column(5)[i], size) for i in range(len(batch))]
+            if not both:
+                continue
+            a, b = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
+            h = np.repeat(h, [len(x) for x, _ in both])
+            order = np.lexsort((b, a, h))
+            a, b, h = a[order], b[order], h[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (h[1:] != h[:-1])
+            c = np.diff(np.append(np.flatnonzero(new), len(a)))
+            for lo in range(0, len(c), 20000):
+                at = np.flatnonzero(new)[lo : lo + 20000]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(a[at]), pa.array(b[at]), pa.array(c[lo : lo + 20000].astype(np.int64))], names=["h", "a", "b", "c"])
+
+    twice = segments.mapInArrow(count, "h long, a long, b long, c long").groupBy("h", "a", "b").agg(F.sum("c").alias("c")).where("c > 1")
+    many = twice.groupBy("h").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    lists = twice.join(many, "h").groupBy("h", F.pmod("a", "lists").alias("part")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest, start, stop = [], [], []
+            for i in range(len(batch)):
+                a, b = _string_hashes(batch.column(2)[i], size)
+                known = np.asarray(batch.column(3)[i].values), np.asarray(batch.column(4)[i].values)
+                order = np.argsort(known[0], kind="stable")
+                first, second = known[0][order], known[1][order]
+                at = np.searchsorted(first, a)
+                mask = np.zeros(len(a), bool)
+                while True:  # equal first halves are rare; each is tried
+                    live = np.flatnonzero(~mask & (at < len(first)))
+                    live = live[first[at[live]] == a[live]]
+                    if not len(live):
+                        break
+                    mask[live] = second[at[live]] == b[live]
+                    at[live] += 1
+                x, z = _runs(mask)
+                begin = batch.column(1)[i].as_py()
+                digest += [batch.column(0)[i].as_py()] * len(x)
+                start.append(x + begin)
+                stop.append(z - 1 + begin + size)
+            if digest:
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(np.concatenate(start)), pa.array(np.concatenate(stop))], names=["digest", "start", "stop"])
+
+    rows = segments.join(lists, "h").select("digest", "at", "segment", "a", "b")
+    return rows.mapInArrow(flag, "digest binary, start long, stop long")
 
 
 def _cut(texts: DataFrame, with_bytes: bool) -> DataFrame:
