@@ -7,17 +7,19 @@
    of the k values (23 of 64; chance of fewer: below 1e-11; exact for sets smaller than the sketch), so they share one of the rarest
    k - 23 + 1, and only those are listed. Common passages are last in that order and make no long lists.
    A list is also split by size class, as sizes must be within the threshold of each other.
-3. Lists are not expanded into pairs. In each star round every list with more than one component compares all its
-   nodes to one of them; what is verified is merged. Groups of near copies collapse there with a pair per node.
-   The pairs that are left, between different components in one list, are compared last, so no link between
-   components is lost; pairs inside a component cannot change the result.
-4. A pair is first estimated from the bottom k of the union of both sketches, and dropped if that is more than five standard errors below
+3. Lists are not expanded into pairs. In a star round every list with more than one component compares all its
+   nodes to a few of them, which then leave it; what is verified is merged. Groups of near copies collapse there with a
+   few pairs per node. Then the pairs of different components that short lists (``MOST``) still hold are compared.
+   Longer ones hold texts that share a passage which is a large part of each. For their nodes, lists are made again from the
+   whole sets, where the prefix is exact, the rarest quarter of a set, and positions bound overlaps. They go through star rounds too, until little is left,
+   and that is compared. Pairs inside a component cannot change the result, so no link between components is lost.
+4. A pair is first estimated from the bottom k of the union of both sketches, and dropped if that is more than seven standard errors below
    the threshold. What is left is verified on the full sets, recomputed from the whole texts.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text with fewer words than a
 shingle has its word sequence as its one shingle; rows that repeat an id are separate members of one group if they
 link; a row with a null id never represents a group that has an id; an empty table gives no rows; other columns are
-never read. Two different shingles share a 64-bit hash with a chance of about 5e-20 for each pair compared.
+never read. Two different shingles share a 63-bit hash with a chance of about 1e-19 for each pair compared.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ from . import kernels as K
 from .components import components
 
 SKETCH = 64
-STARS = 3
+HUBS = 3
+MOST = 32
+#: Star rounds over crowded lists go on while more than so many pairs an entry are left, so many times at most.
+ENOUGH, ROUNDS = 16, 3
 
 
 def least_shared(keep: int, percent: int) -> int:
@@ -137,51 +142,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _lists(nodes: DataFrame, keep: int, percent: int) -> DataFrame:
-    """(v, size class, node, n): the entries of the inverted lists that hold at least two nodes."""
+def _lists(nodes: DataFrame, keep: int | None, percent: int) -> DataFrame:
+    """(v, s, node, n, pos): the entries of the inverted lists, by value and size class, that hold at least two nodes.
+
+    ``keep`` is the sketch size, or None where ``sketch`` is the whole set; ``pos`` is then the number of rarer values
+    in the set, else 0.
+    """
     entries = nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     common_ = entries.join(shared, "v").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    least = F.ceil(F.col("m") * percent / 100)
+    if keep is not None:
+        least = F.when(F.col("m") < keep * percent // 100, least).otherwise(F.lit(least_shared(keep, percent)))
     # a value of its own takes a place before all shared ones
-    least = F.when(F.col("m") < keep * percent // 100, F.ceil(F.col("m") * percent / 100)).otherwise(F.lit(least_shared(keep, percent))).cast("int")
-    room = (F.col("m") - least + 1) - (F.col("m") - F.size("vs"))
-    rare = common_.withColumn("room", room).where("room > 0").select("node", "n", F.explode(F.slice("vs", F.lit(1), F.col("room"))).alias("x"))
+    room = ((F.col("m") - least + 1) - (F.col("m") - F.size("vs"))).cast("int")
+    rare = common_.withColumn("room", room).where("room > 0").select("node", "n", (F.col("m") - F.size("vs")).alias("own"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("at", "x"))
     # sets within the threshold of each other have the same size class or neighbouring ones
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    both = rare.select(F.col("x.v").alias("v"), "node", "n", size.alias("s"))
-    return both.select("v", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "node", "n")
+    pos = F.lit(0) if keep is not None else F.col("own") + F.col("at")
+    both = rare.select(F.col("x.v").alias("v"), "node", "n", size.alias("s"), pos.cast("long").alias("pos"))
+    return both.select("v", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "node", "n", "pos")
 
 
-def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percent: int, keep: int, used: list[str]) -> DataFrame:
-    """(node, comp) after all star rounds and the comparison of what they leave."""
-    spark = lists.sparkSession
-    links: DataFrame | None = None
-    labels = spark.createDataFrame([], "node long, comp long")
-    tried: DataFrame | None = None
-    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    for turn in range(STARS + 1):
-        open_ = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = open_.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")).alias("hub")).where("lo <> hi")
-        if turn < STARS:
-            found = open_.join(mixed, ["v", "s"]).where("comp <> hub.comp")
-            pairs = found.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nv"))
-        else:
-            rest = common.staged(open_.join(mixed.select("v", "s"), ["v", "s"], "left_semi"), "rest", used)
-            left = rest.select("v", "s", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"))
-            right = rest.select("v", "s", F.col("node").alias("w"), F.col("comp").alias("cw"), F.col("n").alias("nv"))
-            pairs = left.join(right, ["v", "s"]).where("u < w AND cu <> cw")
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, sketch) of (node, text), the sketch being the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, data, bounds, _ in K.blocks(b.column(1)):
+                h, _, n = shingle_sets(data, bounds, k)
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0)[first : first + len(n)], pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], names=["node", "n", "sketch"])
+
+    return texts.mapInArrow(run, "node long, n long, sketch array<long>")
+
+
+class _Merge:
+    """The components found so far, and the verification of pairs that extends them."""
+
+    def __init__(self, texts: DataFrame, sketch: DataFrame, k: int, percent: int, keep: int, used: list[str]):
+        self.texts, self.sketch, self.k, self.percent, self.keep, self.used = texts, sketch, k, percent, keep, used
+        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.labels = texts.sparkSession.createDataFrame([], "node long, comp long")
+
+    def labelled(self, lists: DataFrame) -> DataFrame:
+        return lists.select("v", "s", "node", "n", "pos").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Compare the pairs (u, w, nu, nw, pu, pw) that were not compared before; u is the node that many of them share.
+
+        In the list of the rarest value that two sets share, all that they share lies at or after it, so the remaining
+        sizes bound the overlap; without positions this is the bound by sizes alone.
+        """
+        fits = F.least(F.col("nu") - F.col("pu"), F.col("nw") - F.col("pw")) * (100 + self.percent) >= (F.col("nu") + F.col("nw")) * self.percent
         pairs = pairs.where(fits).select(F.least("u", "w").alias("x"), F.greatest("u", "w").alias("y"), "u").groupBy("x", "y").agg(F.min("u").alias("u"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = common.staged(pairs, "pairs", used)
-        # the node that most pairs share stays first: its set is made once
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["x", "y"], "left_anti")
+        pairs = common.staged(pairs, "pairs", self.used)
         ends = pairs.select("u", (F.col("x") + F.col("y") - F.col("u")).alias("v"))
-        good = common.staged(_verify(_estimated(ends, sketch, percent, keep), texts, k, percent), "links", used)
-        links = good if links is None else links.union(good)
-        tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
-        if turn == STARS or good.limit(1).count():
-            labels = components(links)
-    return labels
+        good = common.staged(_verify(_estimated(ends, self.sketch, self.percent, self.keep), self.texts, self.k, self.percent), "links", self.used)
+        self.tried = pairs.select("x", "y") if self.tried is None else self.tried.unionByName(pairs.select("x", "y"))
+        if good.limit(1).count():
+            self.links = good if self.links is None else self.links.unionByName(good)
+            self.labels = components(self.links)
+
+    def star(self, lists: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """A star round; returns the entries of lists that still hold several components, and these lists, or None.
+
+        ``HUBS`` nodes of each list are compared with all others in it and then leave it, since all their pairs there
+        are done. Hubs are nodes of random components, so stragglers become hubs as soon as a large component does.
+        """
+        open_ = self.labelled(lists)
+        hubs = [F.min(F.struct(F.xxhash64("comp", F.lit(i)), "node", "n", "comp", "pos")) for i in range(HUBS)]
+        mixed = open_.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*(F.struct(*(h[c].alias(c) for c in ("node", "n", "comp", "pos"))) for h in hubs))).alias("hubs"))
+        mixed = mixed.where("lo <> hi").select("v", "s", "hubs")
+        left = common.staged(open_.join(mixed, ["v", "s"]), "lists", self.used)
+        stars = left.select("node", "n", "comp", "pos", F.explode("hubs").alias("hub")).where("comp <> hub.comp")
+        self.verify(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
+        others = left.where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
+        if not others.limit(1).count():
+            return None
+        open_ = common.staged(self.labelled(others), "lists", self.used)
+        # entries that could still meet a partner of their own size
+        near = F.count_if(F.col("pos") * (100 + self.percent) <= F.col("n") * (100 - self.percent))
+        sizes = open_.groupBy("v", "s", "comp").agg(F.count("*").alias("c"), near.alias("e")).groupBy("v", "s")
+        sizes = sizes.agg(F.sum("c").alias("many"), F.max("c").alias("top"), F.sum("e").alias("near"), F.max("e").alias("near_top")).where("many > top")
+        return open_, common.staged(sizes, "sizes", self.used)
+
+    def rest(self, lists: DataFrame) -> None:
+        """Compare all pairs of different components within the lists."""
+        side = lambda x: lists.select("v", "s", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
+        self.verify(side("u").join(side("w"), ["v", "s"]).where("u < w AND cu <> cw"))
+
+
+def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percent: int, keep: int, used: list[str]) -> DataFrame:
+    """(node, comp) of every node that has a link."""
+    merge = _Merge(texts, sketch, k, percent, keep, used)
+    found = merge.star(lists)
+    if found is None:
+        return merge.labels
+    left, sizes = found
+    merge.rest(left.join(sizes.where(F.col("many") <= MOST), ["v", "s"]))
+    crowd = left.join(sizes.where(F.col("many") > MOST), ["v", "s"], "left_semi").select("node").distinct()
+    crowd = common.staged(texts.join(crowd, "node", "left_semi"), "crowd", used)
+    if not crowd.limit(1).count():
+        return merge.labels
+    left = common.staged(_lists(_full_sets(crowd, k), None, percent), "lists", used)
+    for _ in range(ROUNDS):
+        found = merge.star(left)
+        if found is None:
+            return merge.labels
+        left, sizes = found
+        n = sizes.agg(F.sum("many").alias("entries"), F.sum(F.col("near") * (F.col("near") - F.col("near_top"))).alias("pairs")).first()
+        if (n.pairs or 0) <= ENOUGH * (n.entries or 0):
+            break
+    merge.rest(left.join(sizes, ["v", "s"]))
+    return merge.labels
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int, keep: int) -> DataFrame:
@@ -190,5 +267,5 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int, keep: int) ->
     both = pairs.join(side("v"), "v").join(side("u"), "u")
     union = F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, keep)
     shared = F.size(F.array_intersect(F.array_intersect("s_u", "s_v"), F.col("top")))
-    floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / keep) ** 0.5
+    floor = percent / 100 - 7 * (percent / 100 * (1 - percent / 100) / keep) ** 0.5
     return both.withColumn("top", union).where((shared >= F.size("top") * F.lit(floor))).select("u", "v")
