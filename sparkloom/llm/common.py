@@ -98,8 +98,8 @@ class Ranges:
     """Deterministic key ranges of about ``per_part`` rows, found by exact counting rather than by sampling.
 
     Part 0 starts with the null keys. A single key (or the nulls) with more rows than that is split over several
-    parts by a tie value, so one hot key cannot overload a part. Only bin counts reach the driver, at most
-    ``BINS`` times a few rounds, whatever the number of rows.
+    parts by a tie value, so one hot key cannot overload a part; a bin of several keys never is. Only the counts and
+    bounds of bins reach the driver: about ``BINS`` a round, or a few for each part where that is more.
     """
 
     BINS = 4096
@@ -125,16 +125,17 @@ class Ranges:
         if low is not None:
             width = max(1, -(-(high - low + 1) // cls.BINS))
             edges = np.array([low + i * width for i in range(-(-(high - low + 1) // width))], np.int64)
-        for _ in range(8):
-            found = cls._count(keys, edges)
-            upper = [*edges[1:].tolist(), (edges[-1] if high is None else high) + 1]
-            heavy = [i for i, n in enumerate(found[1:]) if n > per_part and upper[i] - int(edges[i]) > 1]
+        # a round cuts the keys that a heavy bin really holds into several bins, each at most a half of them wide: that ends
+        while True:
+            found, least, most = cls._count(keys, edges)
+            heavy = [i for i, n in enumerate(found) if i and n > per_part and least[i] < most[i]]
             if not heavy:
                 break
-            each = max(2, cls.BINS // len(heavy))
-            more = [np.arange(edges[i], upper[i], max(1, -(-(upper[i] - int(edges[i])) // each)), dtype=np.int64) for i in heavy]
+            each = max(16, cls.BINS // len(heavy))
+            more = [x for i in heavy for x in range(least[i], most[i] + 1, -(-(most[i] - least[i] + 1) // each))]
             # light neighbours are merged, so the number of bins stays bounded
-            edges = np.unique(np.concatenate([edges[cls._keep(found[1:], per_part)], *more, edges[:1]]))
+            edges = np.unique(np.concatenate([edges[cls._keep(found[1:], per_part)], np.array(more, np.int64), edges[:1]]))
+        # bins and counts belong together here, and a bin with more than per_part rows holds one key
         base, split, part, room = [], [], 0, 0
         for n in found:
             if n > per_part:
@@ -161,19 +162,25 @@ class Ranges:
         return keep
 
     @staticmethod
-    def _count(keys: DataFrame, edges: np.ndarray) -> list[int]:
+    def _count(keys: DataFrame, edges: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Rows, least key and greatest key of each bin."""
+
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(edges) + 1, np.int64)
+            least, most = np.full(len(total), np.iinfo(np.int64).max), np.full(len(total), np.iinfo(np.int64).min)
             for b in batches:
                 k = b.column(0)
                 null = np.asarray(k.is_null())
                 v = np.asarray(k.fill_null(0))
-                total += np.bincount(np.where(null, 0, np.searchsorted(edges, v, "right")), minlength=len(total))
+                at = np.where(null, 0, np.searchsorted(edges, v, "right"))
+                total += np.bincount(at, minlength=len(total))
+                np.minimum.at(least, at, v)
+                np.maximum.at(most, at, v)
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(least[at]), pa.array(most[at])], ["b", "n", "least", "most"])
 
-        rows = keys.mapInArrow(partial, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
-        out = [0] * (len(edges) + 1)
-        for r in rows:
-            out[r.b] = int(r.n)
-        return out
+        counted = keys.mapInArrow(partial, "b long, n long, least long, most long").groupBy("b")
+        out, least, most = ([0] * (len(edges) + 1) for _ in range(3))
+        for r in counted.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).collect():
+            out[r.b], least[r.b], most[r.b] = int(r.n), r.least, r.most
+        return out, least, most

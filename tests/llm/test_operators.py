@@ -8,6 +8,7 @@ import random
 from collections import defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,19 @@ def test_ranges_split_hot_keys(spark):
     assert (np.diff(keys[order]) >= 0).all()
 
 
+@pytest.mark.parametrize("parts", [1, 300])
+def test_ranges_of_far_apart_clusters(spark, parts):
+    """Clusters of ids as monotonically_increasing_id makes them, and clusters that each lie deep inside a bin of the last."""
+    ids = [(c << 33) + i for c in range(parts) for i in range(150)] + [2**62 + (1 << e) + i for e in range(0, 60, 4) for i in range(40)] + [-(2**63), 2**63 - 1]
+    ranges = common.Ranges.over(spark.createDataFrame([(i,) for i in ids], "k long"), "k", 8)
+    keys = np.array(sorted(ids))
+    part = ranges.of(keys, np.zeros(len(keys), bool), np.arange(len(keys)) * 7919)
+    assert len(ranges.base) == len(ranges.split) == len(ranges.edges) + 1
+    assert (np.diff(part) >= 0).all() and part.max() < ranges.parts
+    # an id may occur twice, the others once
+    assert np.bincount(part).max() <= 8
+
+
 BENCHMARK = [("7", None), ("8", ""), ("9", "one"), ("10", ROWS[6][1]), ("10", ROWS[6][1]), ("11", prose(40, 2)), ("12", "TWO words"), (None, prose(13, 2)), ("13", prose(50, 999))]
 
 
