@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v): comp is the smallest node that it reaches.
 
-    Each round takes the smallest label among a node's neighbours and then jumps to the label's own label, so chains
-    shorten geometrically; it ends when no label changes. Labels are written to the shared folder each round. A hub with
-    very many edges is split by the adaptive skew join, and its minimum is combined on the map side.
+    Alternating large-star and small-star rounds on edges from a node to a smaller one: a large-star links a node's
+    larger neighbours to its smallest one, a small-star its smaller ones and itself. Both keep components and never add
+    edges; rounds are logarithmic in the length of chains, also of randomly numbered ones, and there is no limit on them.
+    It ends when every node has one edge, to a node that has none: the smallest of its component. Edges are written to the
+    shared folder each round. A hub with very many edges is split by the adaptive skew join, and its minimum is combined
+    on the map side.
     """
     spark = edges.sparkSession
     used: list[str] = []
-    both = common.staged(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges", used)
-    labels = common.staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("comp")), "labels", used)
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        step = step.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp"))
-        new = common.staged(step, "labels", used)
-        changed = new.where("old <> comp").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    common.drop(spark, *used[:-1])
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    down = common.staged(down, "edges", used)
+    while not _settled(down):
+        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.staged(large, "edges", used)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = common.staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", used)
+        common.drop(spark, *used[:-1])
+        down, used = new, used[-1:]
+    roots = down.select(F.col("v").alias("node")).distinct()
+    labels = common.staged(down.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp"))), "labels")
+    common.drop(spark, *used)
     return labels
+
+
+def _settled(down: DataFrame) -> bool:
+    """Whether every node has at most one edge down, and the node at its end has none."""
+    ends = down.groupBy("u").agg(F.count("*").alias("n"))
+    twice = ends.where("n > 1").select("u")
+    deeper = down.select(F.col("v").alias("u")).join(ends, "u", "left_semi")
+    return not twice.unionByName(deeper).limit(1).count()

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, common, decontam, licenses, mixing, neardup, quality, suffix_dedup, token_counts, token_ids, warc
+from sparkloom.llm.components import components
 from sparkloom.llm.queries import tokenizer_path
 
 RNG = random.Random(7)
@@ -343,6 +344,25 @@ def test_ranks_within_a_cell(spark):
     assert abs(taken - next(r.target for r in got if r.source == "s")) <= 3
 
 
+def test_components_of_long_chains(spark):
+    rng, order = random.Random(3), list(range(3000))
+    rng.shuffle(order)
+    chain = list(zip(order, order[1:], strict=False))
+    star = [(5000, 5001 + i) for i in range(50)] + [(6000 + i, 6100) for i in range(50)]
+    df = spark.createDataFrame([(v, u) if rng.random() < 0.5 else (u, v) for u, v in chain] + star + star[:9] + [(7000, 7000)], "u long, v long")
+    got = {r.node: r.comp for r in components(df).collect()}
+    assert got == dict.fromkeys(order, 0) | dict.fromkeys(range(5000, 5051), 5000) | dict.fromkeys([*range(6000, 6050), 6100], 6000)
+    assert components(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_a_version_history(spark):
+    """Each version replaces the oldest words of the last, so it links with its neighbours only."""
+    words = [f"w{i}" for i in range(60 + 4 * 600)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(600)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.component_id, r.kept) for r in got if r.doc_id} == {(0, False)} and len(got) == 600
+
+
 def test_near_duplicates(spark, docs, nothing):
     columns = ("doc_id", "n_shingles", "component_id", "kept")
     assert table(neardup.near_duplicates(docs), *columns) == sorted(brute.near_duplicates(PAIRS))
