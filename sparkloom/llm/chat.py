@@ -4,12 +4,13 @@ Template: each turn is ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Control strings
 ``\\\\`` and ``<|`` becomes ``<\\|`` (in roles a newline becomes ``\\n``), so no text can open or close a turn and the
 originals come back exactly.
 
-Prefix sums of turn tokens place every turn. They are taken in two levels, blocks of turn numbers first, so a
+Prefix sums of turn tokens place every turn; a turn's tokens are those of its formatted, escaped text. The sums are taken in two levels, blocks of turn numbers first, so a
 conversation with a third of all rows is summed by many tasks. Its token axis is then cut into stretches of ``STRETCH``
 budgets; a stretch goes to one task, where windows are filled turn by turn up to the budget. A window starts with the
 conversation's system turn and the last turns before it, as far as ``history`` tokens go; both are context, marked by their
 number and outside the loss mask, so each assistant text is a target exactly once. A window has at least one turn
-of its own, so only a turn that is too long by itself exceeds the budget.
+of its own, so only a turn that is too long by itself exceeds the budget. A system turn that does not fit beside a
+window's first turn is left out of that window's context.
 
 Turns are ordered by turn number (null first), role and text. Defined cases: null texts and roles are empty ones; turns with
 equal numbers, and repeated rows, are separate turns; a null conversation id is a conversation of its own; an empty
@@ -33,7 +34,6 @@ from . import kernels as K
 from .encoder import encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
-OVERHEAD = 8  # tokens that the template adds to a turn, at most
 STRETCH = 64
 BLOCK = 64
 
@@ -81,11 +81,12 @@ def placed_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         for b in batches:
             n = np.zeros(len(b), np.int64)
-            for first, data, bounds, _ in K.blocks(b.column(3)):
+            turns_ = pa.array([format_turn(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.string())
+            for first, data, bounds, _ in K.blocks(turns_):
                 at, length = enc.lengths(data, bounds)
                 doc = np.searchsorted(bounds, at, "right") - 1
                 n[first : first + len(bounds) - 1] = np.bincount(doc, length, len(bounds) - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n + OVERHEAD)], names=["conv", "turn", "role", "text", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=["conv", "turn", "role", "text", "tokens"])
 
     counted = turns.mapInArrow(count, "conv long, turn long, role string, text string, tokens long")
     counted = counted.withColumn("block", F.floor(F.col("turn") / BLOCK))
@@ -175,6 +176,14 @@ class _Stretch:
         self.past = kept[::-1]
         self.context = system + self.past
 
+    def _recent(self, turns: list[tuple]) -> list[tuple]:
+        """The last turns that can be history: no turn before them fits into it."""
+        at, n = len(turns), 0
+        while at and n <= self.history:
+            at -= 1
+            n += turns[at][3]
+        return turns[at:]
+
     def _size(self) -> int:
         return sum(t[3] for t in self.context) + sum(t[3] for t in self.own)
 
@@ -190,7 +199,7 @@ class _Stretch:
             parts.append(part)
             at += len(part)
         row = (self.conv, self.number, self.window, len(self.context), self._size(), "".join(parts), loss)
-        self.past = (self.past + self.own)[-256:]
+        self.past = self._recent(self.past + self.own)
         self.own, self.context = [], None
         self.window += 1
         return [row]

@@ -9,11 +9,14 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, common, decontam, licenses, mixing, neardup, quality, suffix_dedup, token_counts, token_ids, warc
+from sparkloom.llm import kernels as K
 from sparkloom.llm.components import components
+from sparkloom.llm.encoder import encoder
 from sparkloom.llm.queries import tokenizer_path
 
 RNG = random.Random(7)
@@ -287,6 +290,16 @@ def test_chat_windows(spark, monkeypatch, budget, stretch):
     assert chat.formatted_report(turns.limit(0), tokenizer_path()).count() == 0
 
 
+def test_windows_of_short_turns_keep_the_budget(spark):
+    """The tokens of a whole window, template and escapes included, against the budget."""
+    rows = [(1, i, ("user", "assistant")[i % 2], ("ok", "a\\b <| c")[i % 3 == 0]) for i in range(400)]
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tokenizer_path(), budget=256, history=64).collect()
+    assert len(got) > 1
+    for w in got:
+        real = sum(int(encoder(tokenizer_path()).lengths(data, bounds)[1].sum()) for _, data, bounds, _ in K.blocks(pa.array([w.text])))
+        assert real <= w.n_tokens <= 256
+
+
 def test_license_scan(spark, docs, nothing):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, f"text\n{mit.upper()}\nmore"), (2, "Released under an MIT License"), (3, None), (4, ""), (5, "License"), (6, "\n\nThis work is licensed under\nthe GNU General Public License, version 3.\n\n"), (7, f"{mit}\n{mit}"), (8, "Released under the new and improved MIT License today and forever.")]
