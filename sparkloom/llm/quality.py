@@ -90,7 +90,10 @@ class Rule:
 
 
 def default_rules(n_words: Column, word_chars: Column, n_symbols: Column, dup_lines: Column, text: Column) -> list[Rule]:
-    """Rules that only junk breaks: their bounds are far from those of prose in any language."""
+    """Rules whose bounds are far from those of prose in languages written with blanks.
+
+    Others are not: word_length rejects clean Chinese, Japanese or Thai prose of 50 or more blank-separated runs.
+    """
     return [
         Rule("word_length", (word_chars < 2 * n_words) | (word_chars > 20 * n_words)),
         Rule("symbols", 10 * n_symbols > 3 * n_words),
