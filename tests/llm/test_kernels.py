@@ -87,9 +87,10 @@ def test_anchors_own_every_string_once_and_by_content(monkeypatch):
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     rows = [base[:1500], "x" * 700 + base[200:1200] + "y" * 500, "", "short", base[1000:], "z" * 2000]
     data, bounds = block(rows)
-    whole = [sorted(zip(*map(list, suffix_dedup.anchors(data, bounds, 400)), strict=True))]
+    runs = lambda: sorted((a + lo, n, h) for lo, _, first, many, _, hashes in suffix_dedup.anchors(data, bounds, 400) for a, n, h in zip(first.tolist(), many.tolist(), hashes.tolist(), strict=True))
+    whole = [runs()]
     monkeypatch.setattr(K, "SLICE", 1000)
-    whole.append(sorted(zip(*map(list, suffix_dedup.anchors(data, bounds, 400)), strict=True)))
+    whole.append(runs())
     owners = []
     for found in whole:
         owner = {}
@@ -104,3 +105,21 @@ def test_anchors_own_every_string_once_and_by_content(monkeypatch):
     by_text = {}
     for s, h in owners[0].items():
         assert by_text.setdefault(data[s : s + 400].tobytes(), h) == h
+
+
+def test_pieces_hold_every_string_once_and_by_core():
+    rng = random.Random(6)
+    base = "".join(rng.choice("abc ") for _ in range(2500))
+    data, bounds = block([base + base[300:1400] + "end"])
+    for width in (128, 32, 8, 2, 1):
+        seen, cores, kinds = set(), {}, {}
+        for lo, part, first, many, anchor, h in suffix_dedup.anchors(data, bounds, 400):
+            run, start, n, off, key, kind = suffix_dedup.cut(part, first, many, anchor - first, h, 400, width)
+            assert (off + start == anchor[run]).all() and (n >= 1).all()
+            for s, m, o, k, x in zip((start + lo).tolist(), n.tolist(), off.tolist(), key.tolist(), kind.tolist(), strict=True):
+                assert m <= width and not seen & set(range(s, s + m))
+                seen |= set(range(s, s + m))
+                core = s + o - o // width * width
+                assert cores.setdefault(k, data[core : core + 401 - width].tobytes()) == data[core : core + 401 - width].tobytes()
+                assert kinds.setdefault(x, data[s : s + m + 399].tobytes()) == data[s : s + m + 399].tobytes()
+        assert seen == set(range(len(data) - 399))

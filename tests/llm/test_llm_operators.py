@@ -215,6 +215,37 @@ def test_repeats(spark, docs, twisted, nothing, monkeypatch):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_in_many_contexts(spark, monkeypatch):
+    """Passages between different words, split down to single strings, and edits at every distance from each other."""
+    rng = random.Random(12)
+    passage = prose(150, 41)
+    rows = [prose(rng.randint(0, 9), 500 + i) + "xyz"[i % 3] + passage[rng.choice([0, 0, 0, 1, 5, 40]) :] + "uv"[i % 2] + prose(rng.randint(0, 90), 700 + i) for i in range(40)]
+    rows += [edited(passage, k, k) + prose(20, 800 + k % 3) for k in range(12)]
+    rows = list(enumerate(rows))
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.repeats(rows))
+    for most in (2048, 1):
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        assert table(suffix_dedup.remove_repeats(df), *columns) == want
+
+
+def test_repeats_of_runs_and_periods(spark):
+    """Runs and periods make few rows, and texts of several megabytes are read in slices."""
+    rng = random.Random(4)
+    period = "".join(rng.choice("abcdefgh") for _ in range(37))
+    lead = prose(60, 31)
+    rows = [(1, lead + "x" * 3000 + prose(60, 32)), (2, period * 60), (3, prose(80, 33) + period * 14), (4, "x" * 399), (5, "x" * 400)]
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(suffix_dedup.remove_repeats(df), *columns) == sorted(brute.repeats(rows))
+    big = [(1, "q" * 10_000_000), (2, lead + period * 100_000), (3, " ".join(f"{i:x}" for i in range(600_000)))]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(big, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (10_000_000, 1)
+    assert (got[2].n_removed, got[2].n_bytes - got[2].n_removed) == (3_700_000, len(lead.encode()))
+    assert got[3].n_removed == 0
+
+
 def page_rows():
     big = "<p>" + "x" * 200 + "</p>"
     return [(5, "u5", big), (2, "u2", big), (9, None, big), (3, "a\nb%", None), (4, "u4", ""), (6, "u6", "tiny"), (7, "u7", "tiny"), (8, "u8", "é" * 60), (1, "u1", "é" * 60), (10, "", "🙂" * 3000)]
