@@ -95,7 +95,7 @@ OP4 = r"""
     base AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM docs LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
     judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * n_words OR (word_chars > 20 * n_words AND 2 * (length(t) - length(regexp_replace(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]', '', 'g'))) <= word_chars) OR 10 * n_symbols > 3 * n_words
       OR 100 * n_dup_lines > 60 * (length(t) - length(replace(t, chr(10), '')) + 1) OR 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars) AS kept FROM judged
 """
 
