@@ -1,29 +1,32 @@
 """Operator 9: mixing sources to target weights by entropy balancing.
 
-A document's rate is the expected number of its copies, between 0 and ``most``. The rates closest to one copy each (in
-the entropy of a rate bounded by ``most``) that meet a source's token target are tilted exponentially in the document's
-size: rate / (most - rate) = exp(a + lambda * size / mean size of its source), with a set so that lambda = 0 gives one
-copy. lambda solves a convex dual in one unknown per source; its gradient and curvature are sums over the documents,
-taken by Spark in each Newton iteration. As a rate depends on source and size only, the sums run over (source, size)
-cells. Newton steps are kept within a bracket that every gradient narrows.
+A document's rate is the expected number of its copies. Of all rates between 0 and ``most`` that meet a source's word
+target, those with the least relative entropy to one copy each, sum(rate * log(rate) - rate), are taken. Their Lagrangian
+dual is convex in one unknown lambda per source, and its solution tilts exponentially, cut at the bound:
+rate = min(most, exp(lambda * size / mean size of the source)). Newton iterations solve it; gradient and curvature are sums
+over the documents, taken by Spark in each iteration. As a rate depends on source and size only, the sums run over
+(source, size) cells. Steps are kept within a bracket that every gradient narrows, so the iteration ends: where no
+double lies between the ends any more, if not before.
 
 Rounding: within a source, cells in descending order of size take whole copies, each carrying its error in words on to
-the next, so a source ends within about its smallest document of its target. A cell's copies are dealt evenly over its
-documents, and the rest to those that come first by a hash of id and text. Ranks are counted in hash buckets first, so
-a cell with a third of all documents is spread. Nothing depends on partitioning or chance: reruns agree.
+the next. A source ends within its smallest document of its target, unless all documents that are small enough to
+close the gap are at a bound already. Cells stream through a task in order, with one number carried; there are as many as
+a source has different sizes. A cell's copies are dealt evenly over its documents, and the rest to those that come
+first by a hash of id and text. Ranks are counted in hash buckets first, so a cell with a third of all documents is
+spread. Nothing depends on partitioning or chance: reruns agree.
 
 The driver holds a few numbers for each source, no more. Defined cases: a null text has size 0; a null source is a
 source and comes last; documents of size 0 are taken 0 words and keep one copy; repeated rows are documents of their
-own; an empty table gives no rows; other columns are never read.
+own; null ids are ids; texts of any length count whole; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,51 +39,69 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     """Words wanted of each source: ``share`` of all by repeating weights, none above ``most`` times its size."""
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    # sources fill up in the order of size by weight; behind the first that does not, none does
     out: dict[str | None, float] = {}
-    rest, open_ = share * sum(sizes.values()), list(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if rest * weight[s] / total > most * sizes[s]]
-        if not full:
-            return out | {s: rest * weight[s] / total for s in open_}
-        for s in full:
-            out[s] = most * sizes[s]
-            rest -= out[s]
-        open_ = [s for s in open_ if s not in out]
+    rest, total = share * sum(sizes.values()), float(sum(weight.values()))
+    by_room = sorted(order, key=lambda s: sizes[s] / weight[s])
+    for i, s in enumerate(by_room):
+        if rest * weight[s] <= most * sizes[s] * total:
+            return out | {x: rest * weight[x] / total for x in by_room[i:]}
+        out[s] = float(most * sizes[s])
+        rest -= out[s]
+        total -= weight[s]
     return out
 
 
+def _rate(x: Column, size: Column, mean: Column, most: float) -> Column:
+    return F.least(F.lit(float(most)), F.exp(x * size / mean))
+
+
 def _solve(cells: DataFrame, sources: dict[str | None, dict], most: float) -> dict[str | None, float]:
     """lambda of every source whose target lies strictly between 0 and ``most`` times its size."""
     spark = cells.sparkSession
-    a = -math.log(most - 1)
-    state = {s: {"x": 0.0, "lo": -math.inf, "hi": math.inf} for s, v in sources.items() if 0 < v["target"] < most * v["size"] * (1 - 1e-12)}
+    state = {s: {"x": math.log(v["target"] / v["size"]), "lo": -math.inf, "hi": math.inf} for s, v in sources.items() if 0 < v["target"] < most * v["size"] * (1 - 1e-12)}
     done: dict[str | None, float] = {}
-    for _ in range(100):
-        if not state:
-            break
+    mass, rate = F.col("n") * F.col("size"), _rate(F.col("x"), F.col("size"), F.col("mean"), most)
+    slope = F.when(F.col("rate") < float(most), mass * F.col("size") / F.col("mean") * F.col("rate")).otherwise(F.lit(0.0))
+    while state:
         at = spark.createDataFrame([(s, v["x"], sources[s]["mean"]) for s, v in state.items()], "at string, x double, mean double")
-        z = F.col("size") / F.col("mean")
-        rate = F.lit(float(most)) / (F.exp(-(F.lit(a) + F.col("x") * z)) + 1)
-        mass = F.col("n") * F.col("size")
         sums = cells.join(at, cells.source.eqNullSafe(at["at"])).withColumn("rate", rate).groupBy("source")
-        for r in sums.agg(F.sum(mass * F.col("rate")).alias("got"), F.sum(mass * z * F.col("rate") * (1 - F.col("rate") / float(most))).alias("slope")).collect():
+        for r in sums.agg(F.sum(mass * F.col("rate")).alias("got"), F.sum(slope).alias("slope")).collect():
             v, goal = state[r.source], sources[r.source]["target"]
             gap = r.got - goal
-            if abs(gap) <= 1e-9 * max(goal, 1):
-                done[r.source] = v["x"]
-                del state[r.source]
-                continue
             v["hi" if gap > 0 else "lo"] = v["x"]
             step = v["x"] - gap / r.slope if r.slope > 0 else math.nan
             if not v["lo"] < step < v["hi"] or not math.isfinite(step):
                 step = (v["lo"] + v["hi"]) / 2 if math.isfinite(v["lo"] + v["hi"]) else 2 * v["x"] - math.copysign(1, gap)
-            if step == v["x"]:
-                done[r.source] = step
+            # rounding moves far more than a hundredth of a word, or a ten-millionth of the target
+            if abs(gap) <= max(1e-7 * goal, 0.01) or step in (v["x"], v["lo"], v["hi"]):
+                done[r.source] = v["x"]
                 del state[r.source]
-                continue
-            v["x"] = step
-    return done | {s: v["x"] for s, v in state.items()}
+            else:
+                v["x"] = step
+    return done
+
+
+def _whole(rated: DataFrame, most: int) -> DataFrame:
+    """Whole copies of the cells of each source; cells arrive sorted by source and descending size."""
+    names = ["source", "size", "n", "source_size", "target", "rate", "copies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, debt = None, 0.0
+        for b in batches:
+            copies = []
+            for source, size, n, rate in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 5)), strict=True):
+                if last != (source,):
+                    last, debt = (source,), 0.0
+                if size:
+                    copies.append(min(most * n, max(0, math.floor(n * rate + debt / size + 0.5))))
+                    debt += (n * rate - copies[-1]) * size
+                else:
+                    copies.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copies, pa.int64())], names=names)
+
+    rows = rated.repartition("source").sortWithinPartitions("source", F.desc("size"))
+    return rows.mapInArrow(run, "source string, size long, n long, source_size long, target double, rate double, copies long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -98,24 +119,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = [(s, v["size"], v["target"], v["mean"], solved.get(s, math.inf if v["target"] > 0 else -math.inf)) for s, v in sources.items()]
     plan = spark.createDataFrame(rows, "at string, source_size long, target double, mean double, x double")
 
-    a = -math.log(most - 1)
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("x") == math.inf, F.lit(float(most))).when(F.col("x") == -math.inf, F.lit(0.0))
-    rate = rate.otherwise(F.lit(float(most)) / (F.exp(-(F.lit(a) + F.col("x") * F.col("size") / F.col("mean"))) + 1))
+    rate = rate.otherwise(_rate(F.col("x"), F.col("size"), F.col("mean"), most))
     rated = cells.join(plan, cells.source.eqNullSafe(plan["at"])).select("source", "size", "n", "source_size", "target", rate.alias("rate"))
-
-    def whole(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
-        copies, debt = np.zeros(len(cell), np.int64), 0.0
-        for i, (size, n, r) in enumerate(zip(cell["size"].tolist(), cell["n"].tolist(), cell["rate"].tolist(), strict=True)):
-            if not size:
-                copies[i] = n
-                continue
-            copies[i] = min(most * n, max(0, math.floor(n * r + debt / size + 0.5)))
-            debt += (n * r - copies[i]) * size
-        return cell.assign(copies=copies)
-
-    schema = "source string, size long, n long, source_size long, target double, rate double, copies long"
-    dealt = common.staged(rated.groupBy("source").applyInPandas(whole, schema), "dealt", used)
+    dealt = common.staged(_whole(rated, most), "dealt", used)
     dealt = dealt.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "source_size", "target", "rate", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra"))
 
     # exact ranks by (tie, id) within a cell: ranks within hash buckets, plus the sizes of the buckets before

@@ -108,3 +108,29 @@ def repeats(rows, size=400):
         kept = bytes(np.frombuffer(b, np.uint8)[~c])
         out.append((d, len(b), int(c.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def mix_targets(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """rows: (source, size). The level at which capped shares add up, by bisection."""
+    size = defaultdict(int)
+    for s, n in rows:
+        size[s] += n
+    order = sorted(s for s in size if s is not None) + [s for s in size if s is None]
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    goal, lo, hi = share * sum(size.values()), 0.0, 1e18
+    for _ in range(300):
+        level = (lo + hi) / 2
+        lo, hi = (lo, level) if sum(min(most * size[s], level * weight[s]) for s in size) > goal else (level, hi)
+    return {s: min(most * size[s], lo * weight[s]) for s in size}
+
+
+def tilted_rates(sizes, target, most=2):
+    """min(most, exp(x * size)) with x such that the expected words are the target, by bisection."""
+    x = np.array(sizes, float)
+    lo, hi = -1e3, 1e3
+    for _ in range(300):
+        at = (lo + hi) / 2
+        with np.errstate(over="ignore"):
+            rate = np.minimum(most, np.exp(at * x))
+        lo, hi = (at, hi) if (rate * x).sum() < target else (lo, at)
+    return rate.tolist()

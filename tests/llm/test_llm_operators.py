@@ -349,23 +349,31 @@ def test_license_scan(spark, docs, nothing):
     assert licenses.scan(nothing).count() == 0 and licenses.scan(docs).count() == len(ROWS)
 
 
+def gap_is_closed(rows, target):
+    """Whether taken words end within the smallest document of the target, or no document that could help is free."""
+    sizes = [n for n, _ in rows if n]
+    gap = target - sum(n * c for n, c in rows)
+    if abs(gap) <= max(min(sizes, default=0), 1e-3):
+        return True
+    bound = 2 if gap > 0 else 0
+    return all(c == bound for n, c in rows if 0 < n <= abs(gap) / 2)
+
+
 def test_mix_meets_its_targets(spark, docs, twisted, nothing):
     got = mixing.mix(docs).collect()
     sizes = {d: len(brute.BLANK.findall(t or "")) for d, t in PAIRS}
     source = {r[0]: r[3] for r in ROWS}
+    want = brute.mix_targets([(source[d], n) for d, n in sizes.items()])
     by = defaultdict(int)
     for d, n in sizes.items():
         by[source[d]] += n
-    want = mixing.targets(dict(by))
     assert len(got) == len(ROWS)
-    taken = defaultdict(int)
+    taken = defaultdict(list)
     for r in got:
         assert (r["size"], r.source_size) == (sizes[r.doc_id], by[source[r.doc_id]]) and r.target == pytest.approx(want[source[r.doc_id]])
-        assert 0 <= r.taken <= 2 * r["size"]
-        taken[source[r.doc_id]] += r.taken
-    for s, n in taken.items():
-        # one document may be larger than all others of its source together
-        assert abs(n - want[s]) <= max(5, 0.02 * want[s], max(sizes[d] for d in sizes if source[d] == s) / 2)
+        assert r.taken == r.copies * r["size"] and 0 <= r.taken <= 2 * r["size"]
+        taken[source[r.doc_id]].append((r["size"], r.copies))
+    assert all(gap_is_closed(v, want[s]) for s, v in taken.items())
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
     rows = mixing.mixed_rows(docs, mixing.mix(docs))
@@ -375,6 +383,28 @@ def test_mix_meets_its_targets(spark, docs, twisted, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mix_against_brute_force(spark):
+    """Targets, rates and copies of many sources against a bisection and a plain loop."""
+    rng = random.Random(21)
+    rows = []
+    for s in range(23):
+        for _ in range(rng.choice([1, 5, 40, 200])):
+            n = rng.choice([0, 1, 3, 30, 31, 200, rng.randint(1, 900), 20000 if rng.random() < 0.01 else 50])
+            rows.append((len(rows), "w " * n, f"s{s:02d}" if s else None))
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    sized = [(d, s, len(t) // 2) for d, t, s in rows]
+    want = brute.mix_targets([(s, n) for _, s, n in sized])
+    by = defaultdict(list)
+    for d, s, n in sized:
+        by[s].append((d, n))
+    for s, v in by.items():
+        assert all(got[d].target == pytest.approx(want[s]) for d, _ in v)
+        rates = brute.tilted_rates([n for _, n in v], want[s])
+        assert [got[d].rate for d, n in v if n] == pytest.approx([r for r, (_, n) in zip(rates, v, strict=True) if n], rel=1e-3)
+        assert all(got[d].copies == 1 for d, n in v if not n)
+        assert gap_is_closed([(n, got[d].copies) for d, n in v], want[s])
+
+
 def test_targets_are_capped_and_shared_again():
     got = mixing.targets({"a": 10, "b": 100, "c": 100, None: 100})
     assert sum(got.values()) == pytest.approx(465) and got["a"] == 20
