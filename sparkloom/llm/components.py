@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v): comp is the smallest node that it reaches.
 
     Alternating large-star and small-star rounds on edges from a node to a smaller one: a large-star links a node's
@@ -17,12 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     It ends when every node has one edge, to a node that has none: the smallest of its component. Edges are written to the
     shared folder each round. A hub with very many edges is split by the adaptive skew join, and its minimum is combined
     on the map side.
+
+    With ``rounds`` it stops after so many: comp is then some node that is reached, and nodes with one comp belong together.
     """
     spark = edges.sparkSession
     used: list[str] = []
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     down = common.staged(down, "edges", used)
-    while not _settled(down):
+    done = 0
+    while done < rounds if rounds is not None else not _settled(down):
+        done += 1
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,8 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = common.staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", used)
         common.drop(spark, *used[:-1])
         down, used = new, used[-1:]
-    roots = down.select(F.col("v").alias("node")).distinct()
-    labels = common.staged(down.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp"))), "labels")
+    # a node without an edge down is its own label
+    both = down.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+    labels = common.staged(both.groupBy("node").agg(F.min("comp").alias("comp")), "labels")
     common.drop(spark, *used)
     return labels
 

@@ -205,7 +205,12 @@ class _Merge:
         self.tried = pairs.select("x", "y") if self.tried is None else self.tried.unionByName(pairs.select("x", "y"))
         if good.limit(1).count():
             self.links = good if self.links is None else self.links.unionByName(good)
-            self.labels = components(self.links)
+            # a few rounds save most comparisons that cannot change the result; the last call settles the rest
+            self.labels = components(self.links, ROUNDS)
+
+    def settled(self) -> DataFrame:
+        """(node, comp) of every node that has a link."""
+        return self.labels if self.links is None else components(self.links)
 
     def star(self, lists: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         """A star round; returns the entries of lists that still hold several components, and these lists, or None.
@@ -241,24 +246,24 @@ def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percen
     merge = _Merge(texts, sketch, k, percent, keep, used)
     found = merge.star(lists)
     if found is None:
-        return merge.labels
+        return merge.settled()
     left, sizes = found
     merge.rest(left.join(sizes.where(F.col("many") <= MOST), ["v", "s"]))
     crowd = left.join(sizes.where(F.col("many") > MOST), ["v", "s"], "left_semi").select("node").distinct()
     crowd = common.staged(texts.join(crowd, "node", "left_semi"), "crowd", used)
     if not crowd.limit(1).count():
-        return merge.labels
+        return merge.settled()
     left = common.staged(_lists(_full_sets(crowd, k), None, percent), "lists", used)
     for _ in range(ROUNDS):
         found = merge.star(left)
         if found is None:
-            return merge.labels
+            return merge.settled()
         left, sizes = found
         n = sizes.agg(F.sum("many").alias("entries"), F.sum(F.col("near") * (F.col("near") - F.col("near_top"))).alias("pairs")).first()
         if (n.pairs or 0) <= ENOUGH * (n.entries or 0):
             break
     merge.rest(left.join(sizes, ["v", "s"]))
-    return merge.labels
+    return merge.settled()
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int, keep: int) -> DataFrame:

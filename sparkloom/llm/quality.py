@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The sample that orders the rules: rows, and bytes of each at most. It decides no verdict.
-SAMPLE, SAMPLE_BYTES = 512, 1 << 15
+SAMPLE, SAMPLE_BYTES = 512, 1 << 14
 #: Timed passes over the sample; the fastest counts.
 PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,9 +147,7 @@ def order_rules(sample: DataFrame, rules: list[Rule], base: Base) -> list[Rule]:
             best = min(best, time.perf_counter() - began)
         return best, n
 
-    empty, rows = seconds(base.text.isNotNull() & (base.n_words >= 0))
-    if not rows:
-        return rules
+    empty, _ = seconds(base.text.isNotNull() & (base.n_words >= 0))
     score = []
     for at, r in enumerate(rules):
         took, n = seconds(F.coalesce(r.rejects(base), F.lit(False)))
@@ -158,9 +156,12 @@ def order_rules(sample: DataFrame, rules: list[Rule], base: Base) -> list[Rule]:
 
 
 def _ordered(docs: DataFrame, text: Column, rules: list[Rule]) -> list[Rule]:
-    sample = docs.select(text.alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).limit(SAMPLE)
+    rows = docs.select(text.alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).head(SAMPLE)
+    if not rows:
+        return rules
     used: list[str] = []
-    sample = common.staged(sample.withColumn("w", words(F.col("t"))).coalesce(1), "sample", used)
+    sample = docs.sparkSession.createDataFrame(rows, "t string").withColumn("w", words(F.col("t")))
+    sample = common.staged(sample.coalesce(1), "sample", used)
     out = order_rules(sample, rules, Base.lazy(F.col("t"), F.col("w")))
     common.drop(docs.sparkSession, *used)
     return out
