@@ -1,82 +1,112 @@
 """Operator 8: licence scans by the Dice coefficient over word bigrams, in native expressions only.
 
-A text is lower-cased and everything but letters and digits becomes a blank. Its units are its lines, and its
-blocks of several lines (between blank lines). A unit matches a template if twice the number of shared word
-bigrams is at least ``percent`` / 100 of both numbers of bigrams together. That bounds sizes: a unit of a bigrams can match a
-template of b only if a * (200 - percent) >= b * percent, and the other way round. Units outside the bounds of all
-templates are dropped by their number of words, before any bigram is made, and each other unit is compared only with
-the templates whose bounds it meets.
-
-Everything happens within a row, without a shuffle; the templates are a literal that the caller gives, so their number is
-known. Defined cases: null and empty texts have no units and no matches; a unit of one word has no bigrams;
-repeated lines each count; an empty table gives no rows; other columns are never read.
+A text is lower-cased; its words are runs of letters and digits. A licence has templates (whole texts, standard headers,
+notices). A template of n words meets windows of n words of the text, wherever lines break and whatever stands around
+them; at a text's ends windows are shorter. A window matches if twice the number of word bigrams it shares with the
+template is at least ``percent`` / 100 of both numbers of distinct bigrams together.
+
+Candidates come from an index. Of b bigrams a match shares at least b * percent / (200 - percent), so it has one of any
+b - that + 1 of them: those that fewest templates hold are indexed, with their first place in the template. Where a text has an indexed
+bigram, the window that lies on the template in that place is compared. Size bounds prune it first: windows with fewer
+words than the least that can match are dropped before their bigrams are made. Insertions before the indexed bigram shift the window
+by as much; a match is one aligned window, as defined here, and the SQL version says the same. Where matches overlap, only
+those stay that overlap no better one (higher coefficient, then more words, then the first licence by name, then place), so
+licences of one family are told apart.
+
+Words meet the index in a join inside code generation; only candidates go on, and only matches are shuffled. The index is
+broadcast as its size is known: it is made from templates that the caller gives (``MOST_BROADCAST`` rows at most, else it
+is a shuffled join). Defined cases: null and empty texts have no words and no matches; a text of one word has no
+bigrams; ties go to the first window; repeated rows each get the matches of their text; null ids stay; texts of any
+length are read whole; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+from .license_texts import TEMPLATES
 from .quality import let
 
-#: Notices by licence: the sentence that a file states its licence with.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+MOST_BROADCAST = 1 << 16
+WORD = r"[\p{L}\p{N}]+"
 
 
-def bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a normalised text."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+def words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def _bigrams(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
+def bigrams(text: str) -> list[str]:
+    """Distinct word bigrams of a text, in order of their first place."""
+    w = words(text)
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-def matches(text: Column, templates: dict[str, str], percent: int) -> Column:
-    """array<struct<license, unit, dice>>: every match of a text, lines first."""
-    known = [(name, g) for name, t in sorted(templates.items()) if (g := bigrams(t))]
+def index(templates: dict[str, tuple[str, ...]], percent: int) -> tuple[list[tuple], list[tuple]]:
+    """(template, licence, words, bigrams) of every template, and (bigram, template, place) of the indexed bigrams."""
+    known = [(license_, text) for license_, texts in sorted(templates.items()) for text in texts if len(words(text)) > 1]
     if not known:
         raise ValueError("no template has two words")
-    table = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n")) for name, g in known))
-    low = min(len(g) for _, g in known) * percent // (200 - percent)
-
-    def fits(a: Column, b: Column) -> Column:
-        return (a * (200 - percent) >= b * percent) & (b * (200 - percent) >= a * percent)
-
-    def compare(unit: Column, grams: Column) -> Column:
-        n = F.size(grams)
-        near = F.filter(table, lambda t: fits(n, t["n"]))
-        scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), unit["i"].alias("unit"), (2 * F.size(F.array_intersect(t["grams"], grams)) / (n + t["n"])).alias("dice")))
-        return F.filter(scored, lambda m: m["dice"] * 100 >= percent)
-
-    norm = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-    def units(t: Column) -> Column:
-        split = lambda x: F.filter(F.split(F.trim(x), " +"), lambda w: w != "")
-        lines = F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("i"), split(x).alias("w")))
-        blocks = F.filter(F.split(t, r"\n ?\n[\n ]*"), lambda x: F.contains(F.trim(x), F.lit("\n")))
-        blocks = F.transform(blocks, lambda x, i: F.struct((-1 - i).alias("i"), split(F.replace(x, F.lit("\n"), F.lit(" "))).alias("w")))
-        # repeated words lower the number of distinct bigrams, so only the lower bound holds for words
-        return F.filter(F.concat(lines, blocks), lambda u: F.size(u["w"]) > max(1, low))
-
-    return let(norm, lambda t: F.flatten(F.transform(units(t), lambda u: let(_bigrams(u["w"]), lambda g: compare(u, g)))))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    grams = [bigrams(text) for _, text in known]
+    held = Counter(g for gs in grams for g in gs)
+    entries = []
+    for t, ((_, text), gs) in enumerate(zip(known, grams, strict=True)):
+        w = words(text)
+        place: dict[str, int] = {}
+        for i, pair in enumerate(zip(w, w[1:], strict=False)):
+            place.setdefault(" ".join(pair), i)
+        least = -(-len(gs) * percent // (200 - percent))
+        rare = sorted(gs, key=lambda g: (held[g], -len(g), g))[: len(gs) - least + 1]
+        entries += [(g, t, place[g]) for g in rare]
+    return [(t, license_, len(words(text)), gs) for t, ((license_, text), gs) in enumerate(zip(known, grams, strict=True))], entries
+
+
+def _bigrams(w: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
+
+
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
+
+
+def matches(texts: DataFrame, templates: dict[str, tuple[str, ...]], percent: int) -> DataFrame:
+    """(digest, matches) of (digest, text): an array of structs of license, start, words and dice, ascending by place."""
+    spark = texts.sparkSession
+    table, entries = index(templates, percent)
+    known = _small(spark, [(t, license_, n, gs, len(gs)) for t, license_, n, gs in table], "t int, license string, n int, grams array<string>, b int")
+    first = _small(spark, [(*g.split(" "), t, o) for g, t, o in entries], "a string, z string, t int, o int")
+    split = texts.select("digest", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    placed = split.select("digest", "w", F.posexplode("w").alias("p", "a")).withColumn("z", F.get("w", F.col("p") + 1))
+    found = placed.join(first, ["a", "z"]).join(known, "t")
+    start, stop = F.greatest(F.col("p") - F.col("o"), F.lit(0)), F.least(F.col("p") - F.col("o") + F.col("n"), F.size("w"))
+    found = found.select("digest", "license", "grams", "b", start.alias("start"), (stop - start).alias("m"), "w")
+    # a window of m words has m - 1 bigrams at most, and must share that many
+    found = found.where((F.col("m") - 1) * (200 - percent) >= F.col("b") * percent)
+    window = F.slice("w", F.col("start") + 1, F.col("m"))
+    dice = let(_bigrams(window), lambda g: 2 * F.size(F.array_intersect(F.col("grams"), g)) / (F.size(g) + F.col("b")))
+    scored = found.select("digest", "license", "start", "m", dice.alias("dice")).where(F.col("dice") * 100 >= percent)
+    best = scored.groupBy("digest", "license", "start").agg(F.max(F.struct("dice", F.col("m").alias("words"))).alias("best"))
+    # as long as a text has matching windows
+    all_ = best.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "license", "best.words", "best.dice"))).alias("all"))
+
+    def better(o: Column, m: Column) -> Column:
+        rank = lambda x: F.struct(-x["dice"], -x["words"], x["license"], x["start"])
+        return (o["start"] < m["start"] + m["words"]) & (m["start"] < o["start"] + o["words"]) & (rank(o) < rank(m))
+
+    return all_.select("digest", F.filter("all", lambda m: ~F.exists("all", lambda o: better(o, m))).alias("matches"))
+
+
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_matches, licenses, best_dice, matches) of every row; licenses is a sorted, comma-joined list."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.inline(F.array(F.struct(matches(text, templates or TEMPLATES, percent).alias("matches")))))
+    common.session(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    per = matches(rows.select("digest", "text"), templates or TEMPLATES, percent)
+    out = rows.select("doc_id", "digest").join(common.staged(per, "licenses"), "digest", "left")
+    out = out.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<start:int,license:string,words:int,dice:double>>")))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"), "matches")

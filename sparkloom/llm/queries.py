@@ -108,15 +108,22 @@ OP6 = """
 
 def _op8() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(n)}, [{', '.join(map(quote, licenses.bigrams(t)))}])" for n, t in sorted(licenses.TEMPLATES.items()))
+    table, entries = licenses.index(licenses.TEMPLATES, 80)
+    known = ", ".join(f"({t}, {quote(name)}, {n}, [{', '.join(map(quote, gs))}])" for t, name, n, gs in table)
+    first = ", ".join(f"({quote(g)}, {t}, {o})" for g, t, o in entries)
     return rf"""
-    WITH known(license, grams) AS (VALUES {known}),
-    docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
-    units AS (SELECT r, unnest(string_split(t, chr(10))) AS u FROM docs UNION ALL SELECT r, replace(u, chr(10), ' ') FROM (SELECT r, unnest(regexp_split_to_array(t, '\n ?\n[\n ]*')) AS u FROM docs) WHERE contains(trim(u), chr(10))),
-    words AS (SELECT r, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM units),
-    grams AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
-    hits AS (SELECT r, license, 2 * len(list_intersect(g, grams.grams)) / (len(g) + len(grams.grams)) AS dice FROM (SELECT r, g, license, k.grams FROM grams, known k) AS grams),
-    per AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM hits WHERE dice * 100 >= 80 GROUP BY r)
+    WITH known(t, license, n, grams) AS (VALUES {known}),
+    first(g, t, o) AS (VALUES {first}),
+    docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+    pairs AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM docs)),
+    wins AS (SELECT DISTINCT r, t, greatest(i - 1 - o, 0) AS a, i - 1 - o AS raw FROM pairs JOIN first USING (g)),
+    cuts AS (SELECT r, license, grams, a, w[a + 1:least(raw + n, len(w))] AS x FROM wins JOIN docs USING (r) JOIN known USING (t)),
+    hits AS (SELECT r, license, grams, a, len(x) AS m, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS g FROM cuts),
+    dices AS (SELECT r, license, a, m, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM hits),
+    best AS (SELECT r, license, a, max(row(dice, m)) AS x FROM dices WHERE dice * 100 >= 80 GROUP BY ALL),
+    found AS (SELECT r, license, a, x[2] AS m, x[1] AS dice FROM best),
+    left_ AS (SELECT * FROM found m WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.r = m.r AND o.a < m.a + m.m AND m.a < o.a + o.m AND row(-o.dice, -o.m, o.license, o.a) < row(-m.dice, -m.m, m.license, m.a))),
+    per AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM left_ GROUP BY r)
     SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(best_dice, 0.0) AS best_dice FROM docs LEFT JOIN per USING (r)
     """
 

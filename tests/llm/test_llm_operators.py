@@ -332,21 +332,65 @@ def test_windows_of_short_turns_keep_the_budget(spark):
 
 
 def test_license_scan(spark, docs, nothing):
-    mit = licenses.TEMPLATES["MIT"]
-    rows = [(1, f"text\n{mit.upper()}\nmore"), (2, "Released under an MIT License"), (3, None), (4, ""), (5, "License"), (6, "\n\nThis work is licensed under\nthe GNU General Public License, version 3.\n\n"), (7, f"{mit}\n{mit}"), (8, "Released under the new and improved MIT License today and forever.")]
+    mit, apache, bsd = (licenses.TEMPLATES[n][0] for n in ("MIT", "Apache-2.0", "BSD-3-Clause"))
+    wrapped = "\n".join(f"// {x}" for x in apache.split("."))
+    rows = [
+        (1, f"Copyright 2021 A. Person. {mit} And more text follows here, about something else."),
+        (2, "Released under an MIT License"),
+        (3, None),
+        (4, ""),
+        (5, "License"),
+        (6, "Some words before. This work is licensed under\nthe GNU General Public License,\nversion 3. And after."),
+        (7, f"Copyright 2021. Released under the MIT License. See {wrapped}"),
+        (8, "Released under the new and improved MIT License today and forever."),
+        (9, bsd.replace("the copyright holder", "Some Company").upper()),
+        (9, mit[: len(mit) // 3]),
+        (None, "words " * 50000 + mit),
+        (10, prose(300, 3)),
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit(1))
+    got = [(r.doc_id, r.licenses, r.n_matches) for r in licenses.scan(df).collect()]
+    want = {1: "MIT", 2: "", 3: "", 4: "", 5: "", 6: "GPL-3.0", 7: "Apache-2.0,MIT", 8: "", 10: "", None: "MIT"}
+    assert all(x in got for x in ((k, v, len(v.split(",")) if v else 0) for k, v in want.items())), got
+    both = [x[1] for x in got if x[0] == 9]
+    assert "BSD-3-Clause" in max(both) and "" in both and len(got) == len(rows)
+    assert licenses.scan(nothing).count() == 0 and licenses.scan(docs).count() == len(ROWS)
 
-    def dice(a, b):
-        a, b = set(licenses.bigrams(a)), set(licenses.bigrams(b))
-        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
 
-    got = {r.doc_id: r for r in licenses.scan(df).collect()}
-    assert {k: v.licenses for k, v in got.items()} == {1: "MIT", 2: "", 3: "", 4: "", 5: "", 6: "GPL-3.0", 7: "MIT", 8: ""}
-    # both lines and the block that they make
-    assert got[7].n_matches == 3 and got[1].best_dice == 1.0
-    loose = {r.doc_id: r for r in licenses.scan(df, percent=40).collect()}
-    assert loose[2].best_dice == pytest.approx(dice(rows[1][1], mit))
-    assert licenses.scan(nothing).count() == 0 and licenses.scan(docs).count() == len(ROWS)
+def test_license_scan_against_all_aligned_windows(spark):
+    """Every indexed bigram in every place, by brute force, at several thresholds."""
+    rng = random.Random(8)
+    texts = {"A": ("one two three four five six seven", "one two three"), "B": ("seven eight nine ten one two three four",), "C": ("x",)}
+    vocabulary = "one two three four five six seven eight nine ten".split()
+    rows = [(i, " ".join(rng.choice(vocabulary) if rng.random() < 0.35 else vocabulary[(i + j) % 10] for j in range(rng.randint(0, 25)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 80, 100):
+        table, entries = licenses.index(texts, percent)
+        for r in licenses.scan(df, texts, percent).collect():
+            w, found = rows[r.doc_id][1].split(), {}
+            for g, t, o in entries:
+                _, name, n, gs = table[t]
+                for p in range(len(w) - 1):
+                    x = w[max(0, p - o) : max(0, p - o + n)]
+                    if " ".join(w[p : p + 2]) == g and len(x) > 1:
+                        a = set(licenses.bigrams(" ".join(x)))
+                        d = 2 * len(a & set(gs)) / (len(a) + len(gs))
+                        if d * 100 >= percent:
+                            key = name, max(0, p - o)
+                            found[key] = max(found.get(key, (0, 0)), (d, len(x)))
+            all_ = [(-d, -m, name, start) for (name, start), (d, m) in found.items()]
+            left = [x for x in all_ if not any(y < x and y[3] < x[3] - x[1] and x[3] < y[3] - y[1] for y in all_)]
+            assert sorted((-m.dice, -m.words, m.license, m.start) for m in r.matches) == sorted(left)
+
+
+def test_every_match_of_a_whole_template_is_indexed():
+    """Any set of bigrams large enough to match holds an indexed one."""
+    for percent in (50, 80, 95):
+        table, entries = licenses.index(licenses.TEMPLATES, percent)
+        for t, _, _, gs in table:
+            kept = {g for g, x, _ in entries if x == t}
+            left = len(gs) - len(kept)  # the largest set without an indexed bigram, in a window of its own
+            assert 200 * left < percent * (left + len(gs))
 
 
 def gap_is_closed(rows, target):
