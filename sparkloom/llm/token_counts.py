@@ -8,7 +8,9 @@ edited text. Only that region is encoded again. Its bytes and counts go to the f
 and the sums on their paths to the root are updated; all other leaves keep their counts. A leaf that has grown to
 ``SPLIT`` times its size is split again at piece borders, and the tree is rebuilt from leaf counts without encoding.
 
-Trees are rows of arrays, so they can be stored and read with their documents. Defined cases: a null text is an empty
+Trees are rows of two arrays (``TREES``): ``build_trees`` makes them, and they are stored with their texts. ``apply_edits`` reads
+stored trees with new edits and encodes the touched regions alone; its rows are stored trees again, for the next edits.
+``encoded_bytes`` says how much of a text was encoded. Defined cases: a null text is an empty
 one and has a tree of one empty leaf; null or no edits change nothing; edits must be sorted, lie within the text and not
 overlap, else the row fails with the id named; an edit that splits a UTF-8 character fails likewise; an empty
 table gives no rows; other columns are never read.
@@ -162,11 +164,75 @@ class Edited:
         return Tree(np.concatenate([*ends, self.tree.ends[last:]]), np.concatenate([*counts, self.tree.counts[last:]]))
 
 
+TREES = "doc_id long, text string, leaf_ends array<int>, leaf_tokens array<int>"
 RESULT = "doc_id long, n_bytes long, n_edits long, tokens_before long, tokens_after long, n_leaves long, encoded_bytes long, text string, leaf_ends array<int>, leaf_tokens array<int>"
+_INTS = pa.list_(pa.int32())
+
+
+def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The trees (``TREES``) of all documents: their texts are encoded whole, once."""
+    common.session(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            for first, data, bounds, _ in K.blocks(b.column(1)):
+                trees, rows = build(enc, data, bounds), slice(first, first + len(bounds) - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(1)[rows], pa.array([t.ends for t in trees], _INTS), pa.array([t.counts for t in trees], _INTS)], names=["doc_id", "text", "leaf_ends", "leaf_tokens"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, TREES)
+
+
+def _edit(enc: PieceEncoder, ids: list, texts: list[bytes], trees: list[Tree], edits: list[list[tuple[int, int, bytes]]]) -> pa.RecordBatch:
+    """Rows ``RESULT`` of documents under their edits; regions of all of them are encoded together."""
+    before = [t.total for t in trees]
+    changed = {i: Edited(texts[i], trees[i], e, ids[i]) for i, e in enumerate(edits) if e}
+    encoded = _encode(enc, [d.text[r[2] : r[3]] for d in changed.values() for r in d.regions])
+    at = 0
+    for i, d in changed.items():
+        trees[i] = d.apply(encoded[at : at + len(d.regions)])
+        texts[i] = d.text
+        at += len(d.regions)
+    again = [sum(r[3] - r[2] for r in changed[i].regions) if i in changed else 0 for i in range(len(ids))]
+    columns = [ids, [len(t) for t in texts], [len(e) for e in edits], before, [t.total for t in trees], [len(t.ends) for t in trees], again]
+    arrays = [*(pa.array(c, pa.int64()) for c in columns), pa.array([t.decode() for t in texts]), pa.array([t.ends for t in trees], _INTS), pa.array([t.counts for t in trees], _INTS)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in RESULT.split(", ")])
+
+
+def _edit_rows(trees: DataFrame, tokenizer: str, edits_of) -> DataFrame:
+    """Apply what ``edits_of`` makes of a batch, a list of edits (start, stop, bytes) for each row, to (``TREES``, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            edits = edits_of(b)
+            # a bounded part of a batch at a time: texts and their edited copies are held together
+            for a, data, bounds, _ in K.blocks(b.column(1)):
+                z = a + len(bounds) - 1
+                texts = [data[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                held = [Tree(np.asarray(e.values).astype(np.int64), np.asarray(c.values)) for e, c in zip(b.column(2)[a:z], b.column(3)[a:z], strict=True)]
+                yield _edit(enc, b.column(0)[a:z].to_pylist(), texts, held, edits[a:z])
+
+    return trees.mapInArrow(run, RESULT)
+
+
+def apply_edits(trees: DataFrame, tokenizer: str, edits: F.Column) -> DataFrame:
+    """Stored trees (``TREES``) under their ``edits`` (a column of type ``EDITS``): columns ``RESULT``."""
+    common.session(trees.sparkSession)
+
+    def given(b: pa.RecordBatch) -> list[list[tuple[int, int, bytes]]]:
+        return [[(e["start"], e["stop"], (e["text"] or "").encode()) for e in x or ()] for x in b.column(4).to_pylist()]
+
+    rows = trees.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "leaf_ends", "leaf_tokens", edits.cast(EDITS).alias("edits"))
+    return _edit_rows(rows, tokenizer, given)
 
 
 def count_edits(docs: DataFrame, edits: F.Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Trees of all documents before and after their ``edits`` (a column of type ``EDITS``): columns ``RESULT``."""
+    """Trees of all documents before and after their ``edits`` (a column of type ``EDITS``): columns ``RESULT``.
+
+    Documents and edits go through in one pass, for edits that come with their texts; later ones go to ``apply_edits``.
+    """
     common.session(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), edits.cast(EDITS).alias("edits"))
 
@@ -175,24 +241,9 @@ def count_edits(docs: DataFrame, edits: F.Column, tokenizer: str, id_col: str =
         for b in batches:
             for first, data, bounds, _ in K.blocks(b.column(1)):
                 n = len(bounds) - 1
-                ids, lists = b.column(0)[first : first + n].to_pylist(), b.column(2)[first : first + n].to_pylist()
-                trees = build(enc, data, bounds)
-                before = [t.total for t in trees]
+                lists = [[(e["start"], e["stop"], (e["text"] or "").encode()) for e in x or ()] for x in b.column(2)[first : first + n].to_pylist()]
                 texts = [data[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                changed = {i: Edited(texts[i], trees[i], [(e["start"], e["stop"], (e["text"] or "").encode()) for e in lists[i]], ids[i]) for i in range(n) if lists[i]}
-                parts = [d.text[r[2] : r[3]] for d in changed.values() for r in d.regions]
-                encoded = _encode(enc, parts)
-                at = 0
-                for i, d in changed.items():
-                    trees[i] = d.apply(encoded[at : at + len(d.regions)])
-                    texts[i] = d.text
-                    at += len(d.regions)
-                again = [sum(r[3] - r[2] for r in changed[i].regions) if i in changed else 0 for i in range(n)]
-                columns = [ids, [len(t) for t in texts], [len(x or ()) for x in lists], before, [t.total for t in trees], [len(t.ends) for t in trees], again]
-                lists32 = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in columns), pa.array([t.decode() for t in texts]), pa.array([t.ends for t in trees], lists32), pa.array([t.counts for t in trees], lists32)], names=[c.split()[0] for c in RESULT.split(", ")]
-                )
+                yield _edit(enc, b.column(0)[first : first + n].to_pylist(), texts, build(enc, data, bounds), lists)
 
     return rows.mapInArrow(run, RESULT)
 
@@ -227,14 +278,9 @@ def mask_edits(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def masked_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts before and after personal data is masked."""
-    common.session(docs.sparkSession)
+    """Token counts before and after personal data is masked: trees are built, then edited where something is masked."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
-        for b in batches:
-            edits = [[{"start": s, "stop": e, "text": t} for s, e, t in mask_edits(x.as_py())] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
+    def masks(b: pa.RecordBatch) -> list[list[tuple[int, int, bytes]]]:
+        return [[(s, e, t.encode()) for s, e, t in mask_edits(x.as_py())] for x in b.column(1)]
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return count_edits(rows.mapInArrow(find, f"doc_id long, text string, edits {EDITS}"), F.col("edits"), tokenizer)
+    return _edit_rows(build_trees(docs, tokenizer, id_col, text_col), tokenizer, masks)

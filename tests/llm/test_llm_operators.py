@@ -180,6 +180,33 @@ def test_random_edits_against_encoding_again(spark):
         assert (r.leaf_ends[-1] if r.text else 0) == r.n_bytes == len(r.text.encode()) and list(r.leaf_ends) == sorted(r.leaf_ends)
 
 
+def test_stored_trees_are_edited_again(spark, tmp_path, twisted, nothing):
+    """Trees go to disk and come back; later edits encode the leaves they touch and no whole text."""
+    rng = random.Random(9)
+    texts = {i: prose(4000, i) for i in range(4)} | {4: "", 5: "short"}
+    token_counts.build_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer_path()).write.parquet(f"{tmp_path}/trees-0")
+    enc = encoder(tokenizer_path())
+    for step in range(3):
+        trees = spark.read.parquet(f"{tmp_path}/trees-{step}")
+        rows = []
+        for i, t in texts.items():
+            at = rng.randrange(len(t) + 1)
+            stop, new = min(len(t), at + rng.choice([0, 3, 900])), rng.choice(["", "new words", "\n\n x", prose(300, step)])
+            rows.append((i, [(len(t[:at].encode()), len(t[:stop].encode()), new)]))
+            texts[i] = t[:at] + new + t[stop:]
+        edits = spark.createDataFrame(rows, f"id long, edits {token_counts.EDITS}")
+        out = token_counts.apply_edits(trees.join(edits, F.col("doc_id") == F.col("id")), tokenizer_path(), F.col("edits"))
+        out.write.parquet(f"{tmp_path}/trees-{step + 1}")
+        for r in spark.read.parquet(f"{tmp_path}/trees-{step + 1}").collect():
+            assert r.text == texts[r.doc_id]
+            assert r.tokens_after == len(enc.library.encode(r.text, add_special_tokens=False).ids) == sum(r.leaf_tokens)
+            # the edit's own text, the leaves at both ends and their neighbours
+            assert r.encoded_bytes <= len(rows[r.doc_id][1][0][2].encode()) + 8 * token_counts.SPLIT * token_counts.LEAF
+    empty = token_counts.apply_edits(token_counts.build_trees(twisted, tokenizer_path()), tokenizer_path(), F.lit(None))
+    assert sorted((r.doc_id or -1, r.tokens_before == r.tokens_after, r.encoded_bytes) for r in empty.collect()) == sorted((r.doc_id or -1, True, 0) for r in twisted.collect())
+    assert token_counts.apply_edits(token_counts.build_trees(nothing, tokenizer_path()), tokenizer_path(), F.lit(None)).count() == 0
+
+
 @pytest.mark.parametrize("edits", [[(3, 1, "")], [(0, 99, "")], [(2, 4, ""), (3, 5, "")], [(1, 2, "x")]])
 def test_bad_edits_fail(edits):
     text = "aé bcd".encode()
