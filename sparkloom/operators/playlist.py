@@ -13,35 +13,6 @@ MOST_SECONDS = 60.0
 SLACK = 1e-9
 
 
-def manifest_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, value): the non-empty lines of a manifest with their numbers."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line", "value")).withColumn("value", F.trim("value"))
-    return lines.where("value <> ''")
-
-
-def manifest_segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, segment, region, seconds, uri, line) of a playlist: a region is what lies between discontinuity tags."""
-    lines = manifest_lines(df, key, text)
-    order = W.partitionBy(key).orderBy("line")
-    seconds = F.regexp_extract("value", r"^#EXTINF:\s*([0-9.]+)", 1).try_cast("double")
-    tagged = lines.withColumns({"region": F.sum((F.col("value") == "#EXT-X-DISCONTINUITY").cast("int")).over(order), "seconds": F.last(seconds, ignorenulls=True).over(order)})
-    uris = tagged.where(~F.startswith("value", F.lit("#")))
-    return uris.select(key, (F.row_number().over(order) - 1).alias("segment"), "region", "seconds", F.col("value").alias("uri"), "line")
-
-
-def manifest_violations(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, segments, complete, encrypted, ranged, mapped, foreign): why a playlist cannot be resumed as plain video on demand."""
-    v = F.col("value")
-    flags = {
-        "complete": F.bool_or(v == "#EXT-X-ENDLIST"),
-        "encrypted": F.bool_or(F.startswith(v, F.lit("#EXT-X-KEY"))),
-        "ranged": F.bool_or(F.startswith(v, F.lit("#EXT-X-BYTERANGE"))),
-        "mapped": F.bool_or(F.startswith(v, F.lit("#EXT-X-MAP"))),
-        "foreign": F.bool_or(~F.startswith(v, F.lit("#")) & ~F.rlike(v, F.lit(r"(?i)\.ts(\?.*)?$"))),
-    }
-    return manifest_lines(df, key, text).groupBy(key).agg(F.count_if(~F.startswith(v, F.lit("#"))).alias("segments"), *(x.alias(n) for n, x in flags.items()))
-
-
 def regions(segments: DataFrame, key: str, order: str, seconds: str, breaks: Column) -> DataFrame:
     """(key, region, seconds, first_segment, last_segment): runs of segments between breaks.
 
@@ -61,15 +32,19 @@ def regions(segments: DataFrame, key: str, order: str, seconds: str, breaks: Col
 def candidates(regions_: DataFrame, key: str, most: float = MOST_SECONDS) -> DataFrame:
     """(key, first_region, last_region, seconds, first_segment, last_segment) of every contiguous run without empty regions.
 
-    A run's end lies within a band of running sums, so the self-join is bounded by key, by the stretch between empty
-    regions, and by the limit; it never pairs regions further apart.
+    A run's end lies within a band of running sums behind its start. Running sums are dealt over blocks a little wider than the
+    limit, and a start meets the ends of its own block and the next one only: regions further apart never meet, however
+    long a stretch is.
     """
     w = W.partitionBy(key).orderBy("region")
     gap = F.sum(F.col("first_segment").isNull().cast("int")).over(w)
     summed = regions_.withColumns({"stretch": gap, "sum": F.sum("seconds").over(w)}).where("first_segment IS NOT NULL")
-    a = summed.select(key, "stretch", F.col("region").alias("first_region"), (F.col("sum") - F.col("seconds")).alias("before"), "first_segment")
-    z = summed.select(F.col(key).alias("z_key"), F.col("stretch").alias("z_stretch"), F.col("region").alias("last_region"), "sum", "last_segment")
-    near = (F.col(key) == F.col("z_key")) & (F.col("stretch") == F.col("z_stretch")) & (F.col("first_region") <= F.col("last_region")) & (F.col("sum") - F.col("before") <= most + SLACK)
+    block = lambda x: F.floor(x / (most + 4 * SLACK + most * 1e-9))
+    before = F.col("sum") - F.col("seconds")
+    a = summed.select(key, "stretch", F.col("region").alias("first_region"), before.alias("before"), "first_segment", F.explode(F.array(block(before), block(before) + 1)).alias("block"))
+    z = summed.select(F.col(key).alias("z_key"), F.col("stretch").alias("z_stretch"), F.col("region").alias("last_region"), "sum", "last_segment", block(F.col("sum")).alias("z_block"))
+    near = (F.col(key) == F.col("z_key")) & (F.col("stretch") == F.col("z_stretch")) & (F.col("block") == F.col("z_block"))
+    near = near & (F.col("first_region") <= F.col("last_region")) & (F.col("sum") - F.col("before") <= most + SLACK)
     return a.join(z, near).select(key, "first_region", "last_region", (F.col("sum") - F.col("before")).alias("seconds"), "first_segment", "last_segment")
 
 
@@ -116,10 +91,3 @@ def keep_some(selected: DataFrame, key: str, total: Column) -> DataFrame:
     """Clear a selection that would remove everything: ``total`` is the number of a key's segments."""
     gone = F.sum(F.when(F.col("selection") == "selected", F.col("last_segment") - F.col("first_segment") + 1).otherwise(0)).over(W.partitionBy(key))
     return selected.withColumn("selection", F.when((F.col("selection") == "selected") & (gone >= total), "cleared").otherwise(F.col("selection")))
-
-
-def filtered_manifest(lines: DataFrame, key: str, segments: DataFrame, removed: DataFrame) -> DataFrame:
-    """(key, manifest): the lines of a playlist without the duration and URI lines of removed segments."""
-    gone = segments.join(removed.select(key, "segment"), [key, "segment"], "left_semi").select(key, F.explode(F.array(F.col("line") - 1, F.col("line"))).alias("line"))
-    kept = lines.join(gone, [key, "line"], "left_anti")
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("manifest"))

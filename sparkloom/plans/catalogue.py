@@ -89,7 +89,7 @@ SEGMENTS_SQL = """
     num AS (SELECT *, sum(breaks) OVER (PARTITION BY l_orderkey ORDER BY segment) AS region FROM seg),
     reg AS (SELECT l_orderkey, region, sum(l_quantity) AS seconds, min(segment) AS first_segment, max(segment) AS last_segment FROM num GROUP BY ALL),
     spine AS (SELECT l_orderkey, unnest(range(max(region)::BIGINT + 1)) AS region FROM reg GROUP BY l_orderkey),
-    regions AS (SELECT s.l_orderkey, s.region::BIGINT AS region, coalesce(seconds, 0) AS seconds, first_segment, last_segment FROM spine s LEFT JOIN reg USING (l_orderkey, region))
+    regions AS MATERIALIZED (SELECT s.l_orderkey, s.region::BIGINT AS region, coalesce(seconds, 0) AS seconds, first_segment, last_segment FROM spine s LEFT JOIN reg USING (l_orderkey, region))
 """
 CANDIDATES_SQL = f"""
     WITH {SEGMENTS_SQL}, summed AS (SELECT *, sum((first_segment IS NULL)::INT) OVER w AS stretch, sum(seconds) OVER w AS s FROM regions WINDOW w AS (PARTITION BY l_orderkey ORDER BY region)),
@@ -467,20 +467,52 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams
 
-PROGRESS_SQL = "SELECT user_id, event_id, (value * 1.0)::BIGINT AS c, CASE WHEN event_id % 3 = 0 THEN (event_id % 120)::BIGINT END AS t, CASE WHEN event_id % 4 = 0 THEN (event_id % 40)::BIGINT END AS u FROM events"
+PROGRESS = """
+    reports AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_id % 50)::DOUBLE / 2 + event_id AS moment,
+      CASE WHEN event_id % 11 = 3 THEN 'tick' WHEN event_id % 5 = 1 THEN 'legacy' ELSE 'report' END AS kind,
+      CASE event_id % 6 WHEN 0 THEN 'scan' WHEN 1 THEN 'ocr' WHEN 4 THEN 'complete' WHEN 5 THEN 'probe' END AS stage,
+      CASE WHEN event_id % 4 <> 2 THEN event_id % 23 - 1 END AS completed, CASE WHEN event_id % 3 = 0 THEN event_id % 37 END AS total,
+      CASE WHEN event_id % 7 = 0 THEN event_id % 19 END AS unknown, CASE WHEN event_id % 9 = 0 THEN (event_id % 500)::DOUBLE END AS elapsed FROM events)
+"""
 
 
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress reports of each user: structured and older ones, ticks, contradictions and negative counts."""
+    e = F.col("event_id")
+    when = lambda c, x: F.when(c, x)
+    return table(spark, sf_dir, "events").select(
+        "user_id",
+        "event_id",
+        ((e % 50).cast("double") / 2 + e).alias("at"),
+        when(e % 11 == 3, "tick").when(e % 5 == 1, "legacy").otherwise("report").alias("kind"),
+        when(e % 6 == 0, "scan").when(e % 6 == 1, "ocr").when(e % 6 == 4, "complete").when(e % 6 == 5, "probe").alias("stage"),
+        when(e % 4 != 2, e % 23 - 1).alias("completed"),
+        when(e % 3 == 0, e % 37).alias("total"),
+        when(e % 7 == 0, e % 19).alias("unknown"),
+        when(e % 9 == 0, (e % 500).cast("double")).alias("elapsed"),
+    )
+
+
+#: The reference's accumulator, report by report.
 @query(f"""
-    SELECT user_id, event_id, done, CASE WHEN mt IS NOT NULL THEN greatest(mt, done) END AS total, least(mu, done) AS unsure FROM (
-      SELECT user_id, event_id, max(c) OVER w AS done, max(t) OVER w AS mt, max(u) OVER w AS mu FROM (SELECT user_id, event_id, event_id % 100 AS c, t, u FROM ({PROGRESS_SQL})) WHERE NOT coalesce(c > t, false) AND NOT coalesce(u > c, false)
-      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    WITH RECURSIVE {PROGRESS},
+    clean AS (SELECT *, CASE WHEN completed >= 0 THEN completed END AS c, min(moment) OVER (PARTITION BY user_id) AS anchor FROM reports),
+    steps AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS seen, 0::BIGINT AS done, NULL::BIGINT AS total, NULL::BIGINT AS unsure, 'source' AS stage, 0.0::DOUBLE AS seconds, min(anchor) AS anchor, true AS running, false AS shown FROM clean GROUP BY user_id
+      UNION ALL SELECT user_id, i, event_id, seen OR took = 'report', CASE WHEN took IN ('report', 'counts') THEN greatest(done, coalesce(c, done)) ELSE done END,
+        CASE WHEN took IN ('report', 'counts') AND new_total IS NOT NULL THEN greatest(coalesce(total, 0), new_total, greatest(done, coalesce(c, done))) ELSE total END,
+        CASE WHEN took = 'report' AND unknown IS NOT NULL THEN least(greatest(coalesce(unsure, 0), unknown), greatest(done, coalesce(c, done))) ELSE unsure END,
+        CASE WHEN took IN ('report', 'stage') THEN new_stage ELSE stage END,
+        CASE WHEN took IS NULL THEN seconds ELSE greatest(seconds + CASE WHEN running THEN greatest(moment - anchor, 0) ELSE 0 END, CASE WHEN took = 'report' THEN coalesce(elapsed, 0) ELSE 0 END) END,
+        CASE WHEN took IS NULL THEN anchor ELSE moment END, CASE WHEN took = 'report' THEN new_stage <> 'complete' ELSE running END, took IS NOT NULL
+      FROM (SELECT s.user_id, e.i, e.event_id, s.seen, s.done, s.total, s.unsure, s.stage, s.seconds, s.anchor, s.running, e.c, e.total AS new_total, e.unknown, e.stage AS new_stage, e.elapsed, e.moment,
+          CASE WHEN e.kind = 'tick' THEN 'tick' WHEN e.kind = 'report' AND e.stage IS NOT NULL AND NOT coalesce(e.c > e.total, false) AND NOT coalesce(e.unknown > e.c, false) THEN 'report'
+            WHEN e.kind = 'legacy' AND NOT s.seen THEN CASE WHEN e.completed IS NULL THEN CASE WHEN e.stage IS NOT NULL THEN 'stage' END WHEN e.c <= e.total THEN 'counts' END END AS took FROM steps s JOIN clean e ON e.user_id = s.user_id AND e.i = s.i + 1))
+    SELECT user_id, event_id, done, total, unsure, stage, seconds FROM steps WHERE shown
 """)
 def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-02"""
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (e % 100).alias("c"), F.when(e % 3 == 0, e % 120).alias("t"), F.when(e % 4 == 0, e % 40).alias("u"))
-    out = folds.monotone_progress(rows, "user_id", ["event_id"], "c", "t", "u")
-    return out.select("user_id", "event_id", "done", F.col("of").alias("total"), "unsure")
+    """STM-02, STM-03"""
+    out = folds.progress_reports(progress_events(spark, sf_dir), "user_id", "event_id", "at")
+    return out.select("user_id", "event_id", "done", F.col("of").alias("total"), "unsure", "stage", "seconds")
 
 
 @query("""

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from ..functions.udfs import normalize_text
 from ..operators.features import clamp, gain_quality, rect_union
 
+#: Threshold, expected frames, and what is read of a frame (fixed values).
 THRESHOLD = 55.0
 FRAMES = 3
+MOST_CHARACTERS, MOST_WORDS, MOST_RUNS, MOST_LETTERS, MOST_OBSERVATIONS = 512, 64, 128, 40, 64
 SEAM_FLOOR, CUT_SCALE, JOIN_FLOOR = 1 / 255, 4 / 255, 2 / 255
+#: Host names within a text (fixed value).
 DOMAIN = r"(?<![a-z0-9.-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}(?![a-z0-9.-])"
 #: Words that speak for promotion and for the programme itself (fixed values).
 LEXICON = {
@@ -25,14 +29,17 @@ LEXICON = {
 }
 
 
-def scene_points(joined: Column, start: Column, end: Column, native: Column) -> Column:
-    """0 to 40; zero if a seam is missing. ``native`` is the larger baseline of both sides, or null."""
+def scene_points(joined: Column, start: Column, end: Column, natives: list[Column], contexts: Column) -> Column:
+    """0 to 40; zero if a seam is missing or not within 0 and 1, or the contexts are not usable.
+
+    ``natives`` are the baselines of both sides; those that are not within 0 and 1 do not count.
+    """
     seam = F.least(start, end)
     strength = clamp(1 - joined / F.greatest(seam, F.lit(SEAM_FLOOR)))
     contrast = clamp(seam / CUT_SCALE)
-    base = F.coalesce(native, F.lit(0.0))
+    base = F.coalesce(F.array_max(F.array(*(F.when(n.between(0, 1), n) for n in natives))), F.lit(0.0))
     temporal = clamp(base / SEAM_FLOOR) / (1 + joined / F.greatest(4 * base, F.lit(JOIN_FLOOR)))
-    known = joined.isNotNull() & start.isNotNull() & end.isNotNull()
+    known = joined.between(0, 1) & start.between(0, 1) & end.between(0, 1) & contexts
     return F.when(known, 20 * strength * contrast + 5 * contrast + 15 * temporal * contrast).otherwise(0.0)
 
 
@@ -44,7 +51,7 @@ def audio_points(candidate_rms: Column, candidate_peak: Column, sides: list[tupl
 
 def lexicon_quality(text: Column, family: str) -> Column:
     """The best fuzzy match of a family's words, from 0 at a similarity of a half to 1."""
-    words = F.slice(F.filter(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) <= 40), 1, 64)
+    words = F.slice(F.filter(F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) <= MOST_LETTERS), 1, MOST_WORDS)
     terms = lambda name: F.array(*map(F.lit, LEXICON[name]))
     runs = F.regexp_extract_all(text, F.lit(r"[\x{3400}-\x{9fff}]+"), F.lit(0))
 
@@ -54,7 +61,7 @@ def lexicon_quality(text: Column, family: str) -> Column:
 
     def around(term: Column) -> Column:
         sizes = F.sequence(F.greatest(F.lit(1), F.length(term) - 1), F.length(term) + 1)
-        return F.slice(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(sizes, lambda n: pieces(r, n))))), 1, 128)
+        return F.slice(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(sizes, lambda n: pieces(r, n))))), 1, MOST_RUNS)
 
     best = lambda found: F.coalesce(F.array_max(found), F.lit(0.0))
     latin = F.flatten(F.transform(terms(family), lambda t: F.transform(words, lambda w: similarity(w, t))))
@@ -73,7 +80,8 @@ def text_frames(observations: DataFrame, outside: DataFrame, id_: str = "id") ->
 
     ``outside`` holds (id, domain, quality) of domains that the neighbouring programme shows: they count half as new.
     """
-    o = observations.where("confidence BETWEEN 0 AND 1").withColumns({"q": F.sqrt("confidence"), "text": F.lower("text"), "n": F.monotonically_increasing_id()})
+    o = observations.where("confidence BETWEEN 0 AND 1").withColumns({"q": F.sqrt("confidence"), "text": normalize_text(F.substring("text", 1, MOST_CHARACTERS)), "n": F.monotonically_increasing_id()})
+    o = o.where(F.trim("text") != "")
     o = o.withColumns({"domains": F.array_distinct(F.regexp_extract_all("text", F.lit(DOMAIN), F.lit(0))), "promo": lexicon_quality(F.col("text"), "promotion"), "show": lexicon_quality(F.col("text"), "programme")})
     known = outside.groupBy(id_, "domain").agg(F.max("quality").alias("seen"))
     new = o.select(id_, "time", "q", F.explode("domains").alias("domain")).join(known, [id_, "domain"], "left")

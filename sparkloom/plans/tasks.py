@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import features, playlist, queue, transcripts
+from ..operators import features, queue, transcripts
 from ..registry import query
 from ..streaming import folds
 from . import scoring
@@ -15,42 +15,6 @@ from .catalogue import TASKS_SQL, r6, table, tasks
 from .media import cases, pick
 
 
-def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, manifest): a playlist of three regions, one of them with two segments."""
-    k = F.col("o_orderkey")
-    end = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("#EXT-X-ENDLIST"))
-    key = F.when(k % 7 == 0, F.lit("#EXT-X-KEY:METHOD=AES-128\n")).otherwise(F.lit(""))
-    body = F.format_string("#EXTINF:%d,\na%d.ts\n#EXTINF:2.5,\nb.ts\n#EXT-X-DISCONTINUITY\n#EXTINF:4,\nc.ts?x=1\n\n#EXT-X-DISCONTINUITY\n#EXTINF:1,\nd.ts\n", k % 9 + 1, k)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("#EXTM3U\n#EXT-X-TARGETDURATION:10\n"), key, body, end).alias("manifest"))
-
-
-@query("""
-    SELECT o_orderkey, i AS segment, [0, 0, 1, 2][i + 1]::BIGINT AS region, [o_orderkey % 9 + 1, 2.5, 4, 1][i + 1]::DOUBLE AS seconds, ['a' || o_orderkey || '.ts', 'b.ts', 'c.ts?x=1', 'd.ts'][i + 1] AS uri
-    FROM (SELECT o_orderkey, unnest(range(4)) AS i FROM orders)
-""")
-def manifest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-07, WIN-05"""
-    return playlist.manifest_segments(manifests(spark, sf_dir), "o_orderkey", "manifest").select("o_orderkey", F.col("segment").cast("long"), "region", "seconds", "uri")
-
-
-@query("SELECT o_orderkey, 4::BIGINT AS segments, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS resumable FROM orders")
-def manifest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-08, SRC-09, AUX-05"""
-    flags = playlist.manifest_violations(manifests(spark, sf_dir), "o_orderkey", "manifest")
-    return flags.select("o_orderkey", "segments", (F.col("complete") & ~F.col("encrypted") & ~F.col("ranged") & ~F.col("mapped") & ~F.col("foreign")).alias("resumable"))
-
-
-@query("""
-    SELECT o_orderkey, '#EXTM3U' || chr(10) || '#EXT-X-TARGETDURATION:10' || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '#EXT-X-KEY:METHOD=AES-128' || chr(10) ELSE '' END || '#EXTINF:' || (o_orderkey % 9 + 1) || ',' || chr(10) || 'a' || o_orderkey || '.ts' || chr(10)
-      || '#EXT-X-DISCONTINUITY' || chr(10) || '#EXTINF:4,' || chr(10) || 'c.ts?x=1' || chr(10) || '#EXT-X-DISCONTINUITY' || chr(10) || '#EXTINF:1,' || chr(10) || 'd.ts' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE chr(10) || '#EXT-X-ENDLIST' END AS manifest FROM orders
-""")
-def filtered_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-02"""
-    m = manifests(spark, sf_dir)
-    seg = playlist.manifest_segments(m, "o_orderkey", "manifest")
-    return playlist.filtered_manifest(playlist.manifest_lines(m, "o_orderkey", "manifest"), "o_orderkey", seg, seg.where("segment = 1"))
-
-
 @query("SELECT conv_id, turn, role || ' says ' || turn AS value, 1::BIGINT AS lines FROM conversations")
 def caption_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-17, WIN-15"""
@@ -198,7 +162,7 @@ def ad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC-01 to SC-07, AGG-08, AGG-11, NUM-02, NUM-03, STR-17, STR-19"""
     rows = [(v[0], *map(float, v[1]), 100 * 10 ** (v[2] / 20), v[5]) for v in VECTORS]
     side = (F.lit(100.0), F.lit(200.0))
-    s = scoring.scene_points(F.col("joined"), F.col("start"), F.col("stop"), F.lit(0.01))
+    s = scoring.scene_points(F.col("joined"), F.col("start"), F.col("stop"), [F.lit(0.01), F.lit(0.005)], F.lit(True))
     a = scoring.audio_points(F.col("rms"), F.lit(1000.0), [side, side])
     judged = spark.createDataFrame(rows, "id string, joined double, start double, stop double, rms double, valid boolean").withColumns({"s": s, "a": a})
     seen = spark.createDataFrame([(v[0], t, v[3], 1.0, *v[4]) for v in VECTORS if v[3] for t in (1.0, 5.0, 9.0)], "id string, time double, text string, confidence double, x double, y double, width double, height double")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,12 +82,48 @@ def queue_step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
     return (-1, attempt, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "completed" if kind == "finish" else "failed", "task": task, "attempt": attempt}
 
 
-def monotone_progress(events: DataFrame, key: str, order: list[str], completed: str, total: str, unknown: str) -> DataFrame:
-    """Progress that never goes back: running maxima, invalid reports ignored, unknown at most completed."""
-    ok = ~F.coalesce(F.col(completed) > F.col(total), F.lit(False)) & ~F.coalesce(F.col(unknown) > F.col(completed), F.lit(False))
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    done = F.coalesce(F.max(completed).over(w), F.lit(0))
-    return events.where(ok).withColumn("done", done).withColumns({"of": F.when(F.max(total).over(w).isNotNull(), F.greatest(F.max(total).over(w), F.col("done"))), "unsure": F.least(F.max(unknown).over(w), F.col("done"))})
+def progress_reports(events: DataFrame, key: str, order: str, time: str) -> DataFrame:
+    """Accepted progress reports of each key with what has accumulated: done, of, unsure, seconds, stage.
+
+    Columns read: kind (report, legacy or tick), stage, completed, total, unknown, elapsed. A report whose numbers
+    contradict each other, and any legacy line once a report was accepted, changes nothing and gives no row. Counts never go back:
+    a total is at least what was done when it was told, an unsure count at most that. Time runs from a key's first event
+    until its stage is complete; a told time moves it forward only. A tick is a row of its own and tells time alone.
+    """
+    number = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    done, total, unknown = number("completed"), number("total"), number("unknown")
+    report = (F.col("kind") == "report") & F.col("stage").isNotNull() & ~F.coalesce(done > total, F.lit(False)) & ~F.coalesce(unknown > done, F.lit(False))
+    legacy = (F.col("kind") == "legacy") & F.when(F.col("completed").isNull(), F.col("stage").isNotNull()).otherwise(F.coalesce(done <= total, F.lit(False)))
+    all_ = W.partitionBy(key).orderBy(order)
+    before, until = all_.rowsBetween(W.unboundedPreceding, -1), all_.rowsBetween(W.unboundedPreceding, 0)
+    seen = F.coalesce(F.max(report).over(before), F.lit(False))
+    rows = events.withColumns({"_report": F.coalesce(report, F.lit(False)), "_seen": seen, "_begin": F.min(time).over(W.partitionBy(key))})
+    rows = rows.where(F.col("_report") | (legacy & ~F.col("_seen")) | (F.col("kind") == "tick")).withColumn("_counts", F.col("kind") != "tick")
+    told = lambda c: F.when(F.col("_counts"), c)
+    rows = rows.withColumn("done", F.coalesce(F.max(told(done)).over(until), F.lit(0)))
+    rows = rows.withColumns(
+        {
+            "of": F.max(told(F.when(total.isNotNull(), F.greatest(total, F.col("done"))))).over(until),
+            "unsure": F.max(F.when(F.col("_report"), F.when(unknown.isNotNull(), F.least(unknown, F.col("done"))))).over(until),
+            "stage": F.coalesce(F.last(told(F.col("stage")), ignorenulls=True).over(until), F.lit("source")),
+            "_end": F.coalesce(F.last(F.when(F.col("_report"), F.col("stage") == "complete"), ignorenulls=True).over(until), F.lit(False)),
+        }
+    )
+    stopped = F.coalesce(F.lag("_end").over(all_), F.lit(False))
+    step = F.when(stopped, F.lit(0.0)).otherwise(F.greatest(F.col(time) - F.coalesce(F.lag(time).over(all_), F.col("_begin")), F.lit(0.0)))
+    rows = rows.withColumn("_step", step).withColumn("_ran", F.sum("_step").over(until))
+    lead = F.max(F.when(F.col("_report") & (F.col("elapsed") >= 0), F.col("elapsed") - F.col("_ran"))).over(until)
+    return rows.withColumn("seconds", F.col("_ran") + F.greatest(F.coalesce(lead, F.lit(0.0)), F.lit(0.0))).drop("_report", "_seen", "_begin", "_counts", "_end", "_step", "_ran")
+
+
+def progress_summary(done: Column, of: Column, unsure: Column, ads: Column, seconds: Column, complete: Column) -> Column:
+    """One line: what was handled, what is unsure, what was found, the time, and whether something stays."""
+    known = lambda c, none: F.coalesce(c.cast("string"), F.lit(none))
+    s = F.floor(seconds).cast("long")
+    minutes = F.concat((F.floor(s / 60) % 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    time = F.when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), F.lpad(minutes, 5, "0"))).otherwise(minutes)
+    stays = F.coalesce(unsure > 0, F.lit(False)) | (complete & (of.isNull() | unsure.isNull()))
+    return F.concat(done.cast("string"), F.lit("/"), known(of, "?"), F.lit(" unsure "), known(unsure, "?"), F.lit(" ads "), known(ads, "?"), F.lit(" "), time, F.when(stays, F.lit(" partial")).otherwise(F.lit("")))
 
 
 def idle_sessions(reads: DataFrame, key: str, time: str, timeout: int) -> DataFrame:

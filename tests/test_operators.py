@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import features, matching, playlist, queue, transcripts, windows
 from sparkloom.plans import scoring
 from sparkloom.session import tuned
+from sparkloom.sources import manifests
 from sparkloom.streaming import folds
 
 
@@ -87,16 +90,30 @@ MANIFEST = "#EXTM3U\n#EXT-X-TARGETDURATION:10\n" + "#EXT-X-DISCONTINUITY\n".join
 
 def test_playlists(spark):
     df = spark.createDataFrame([(1, MANIFEST)], "k long, t string")
-    seg = playlist.manifest_segments(df, "k", "t")
-    assert [(r.segment, r.region, r.seconds, r.uri) for r in seg.orderBy("segment").collect()] == [(i, i, 10.0, f"s{i}.ts") for i in range(8)]
+    seg = manifests.segments(df, "k", "t", "https://h/x/l.m3u8")
+    assert [(r.segment, r.region, r.seconds, r.url) for r in seg.orderBy("segment").collect()] == [(i, i, 10.0, f"https://h/x/s{i}.ts") for i in range(8)]
     reg = playlist.regions(seg, "k", "segment", "seconds", F.when(F.col("segment") > 0, 1).otherwise(0))
     assert playlist.candidates(reg, "k").count() == 33
     broken = playlist.regions(seg, "k", "segment", "seconds", F.when(F.col("segment") == 4, 2).when(F.col("segment") > 0, 1).otherwise(0))
     assert broken.count() == 9 and playlist.candidates(broken, "k").count() == 20
-    flags = playlist.manifest_violations(df, "k", "t").first()
-    assert (flags.segments, flags.complete, flags.encrypted, flags.foreign) == (8, True, False, False)
-    kept = playlist.filtered_manifest(playlist.manifest_lines(df, "k", "t"), "k", seg, spark.createDataFrame([(1, 2)], "k long, segment long")).first().manifest
-    assert "s2.ts" not in kept and kept.count("#EXTINF") == 7 and kept.count("#EXT-X-DISCONTINUITY") == 7
+    found = manifests.checks(df, "k", "t", "https://h/l").first()
+    assert (found.segments, found.parsed, found.fingerprint) == (8, True, hashlib.sha256(MANIFEST.encode()).hexdigest())
+    assert manifests.regions(df, "k", "t", seg).count() == 8
+
+
+def test_removed_segments_leave_all_other_lines(spark):
+    """Comments, blank lines and line ends between a duration and its URI stay as they stand."""
+    text = "#EXTM3U\r\n\r\n  #EXTINF:2, \r\n# why\r\n\r\na.ts \r\n#EXTINF:3,\nb.ts\n\n#EXT-X-ENDLIST"
+    df = spark.createDataFrame([(1, text), (2, text)], "k long, t string")
+    seg = manifests.segments(df, "k", "t", "https://h/l")
+    out = {r.k: r.manifest for r in manifests.without(df, "k", "t", seg.where("k = 1 AND segment = 0")).collect()}
+    assert out == {1: "#EXTM3U\r\n\r\n# why\r\n\r\n#EXTINF:3,\nb.ts\n\n#EXT-X-ENDLIST", 2: text}
+
+
+def test_many_regions_give_their_candidates(spark):
+    """A playlist of 1,123 regions of a second has 65,610 candidates of a minute at most."""
+    reg = spark.range(1123).select(F.lit(1).alias("k"), F.col("id").alias("region"), F.lit(1.0).alias("seconds"), F.col("id").alias("first_segment"), F.col("id").alias("last_segment"))
+    assert playlist.candidates(reg, "k").count() == 65_610
 
 
 def test_selection(spark):
@@ -128,7 +145,7 @@ VECTORS = [
 def test_scores(spark):
     scenes = {"same": (0.0, 0.0, 0.0), "cut": (0.2, 0.2, 0.2), "aba": (0.0, 0.2, 0.2)}
     cases = spark.createDataFrame([(v[0], *scenes[v[1]], 100 * 10 ** (v[2] / 20), v[5], v[6]) for v in VECTORS], "id string, j double, b double, e double, rms double, valid boolean, truth string")
-    s = scoring.scene_points(F.col("j"), F.col("b"), F.col("e"), F.lit(0.01))
+    s = scoring.scene_points(F.col("j"), F.col("b"), F.col("e"), [F.lit(0.01), F.lit(1.5)], F.lit(True))
     side = (F.lit(100.0), F.lit(200.0))
     cases = cases.withColumns({"s": s, "a": scoring.audio_points(F.col("rms"), F.lit(1000.0), [side, side])})
     seen = [(v[0], t, v[3], 1.0, *(v[4] or (0.0,) * 4)) for v in VECTORS if v[3] for t in (1.0, 5.0, 9.0)]
