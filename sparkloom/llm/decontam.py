@@ -11,8 +11,9 @@ are shorter); a text contains it only if it has every one of them, so the necess
    window that the shingle can lie in; hits and windows are joined on the shingle. Length and position must fit, and
    then the words themselves must be equal: hashes only ever nominate.
 
-Bit filters drop shingles of no interest in the scans. They have a fixed size; where the benchmark has too many shingles
-for it (``MOST_FILTERED``), scans run without filter and the joins, which are shuffled either way, do all the work.
+Bit filters drop shingles of no interest in the scans. They are built on the executors, a segment in a task, and have a
+fixed size (16 MB at most): with very many benchmark shingles they let more through, which the joins, shuffled either way, drop.
+An item of fewer words than a shingle is its own shingle; a document tells its places once, not a row and its context for each.
 
 Defined cases: null and empty texts have no words, no hits, and are not contaminated; empty and null items have no
 windows; items that repeat an id count once; a null item id counts as the empty string; documents that repeat an id or a
@@ -33,22 +34,43 @@ from . import common
 from . import kernels as K
 
 SHINGLE = 5
-MOST_FILTERED = 1 << 22
+MOST_BITS, SEGMENT = 27, 19  # powers of two: bits of a filter, bits of a segment of it
 RESULT = ["doc_id", "digest", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 class BitFilter:
-    """A Bloom filter of two bits a value, 32 bits of room for each; at most 16 MB."""
-
-    def __init__(self, values: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(1, len(values)) * 32))))
-        self.words = np.zeros(1 << (self.bits - 3), np.uint8)
-        for at in self._slots(values):
-            np.bitwise_or.at(self.words, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    """A Bloom filter of two bits a value, about 32 bits of room for each, as an array of bytes; 16 MB at most."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def over(cls, df: DataFrame, column: str, n: int) -> BitFilter:
+        """The filter of a column with about n values. Each segment is filled by one task; only segments reach the driver."""
+        bits = min(MOST_BITS, max(10, (max(1, n) * 32 - 1).bit_length()))
+        segment = min(bits, SEGMENT)
+        low, high = F.col(column).bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(column, 64 - bits)
+        slots = df.select(F.explode(F.array(low, high)).alias("slot")).distinct()
+        slots = slots.select(F.shiftright("slot", segment).alias("part"), F.col("slot").bitwiseAND((1 << segment) - 1).alias("bit"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for b in batches:
+                part, bit = np.asarray(b.column(0)), np.asarray(b.column(1))
+                for p in np.unique(part).tolist():
+                    at = bit[part == p]
+                    np.bitwise_or.at(parts.setdefault(p, np.zeros(1 << (segment - 3), np.uint8)), at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            for p, words in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["part", "words"])
+
+        words = np.zeros(1 << (bits - 3), np.uint8)
+        for r in slots.repartition("part").mapInArrow(run, "part long, words binary").collect():
+            words[r.part << (segment - 3) : (r.part + 1) << (segment - 3)] |= np.frombuffer(r.words, np.uint8)
+        return cls(bits, words)
 
     def _slots(self, values: np.ndarray) -> list[np.ndarray]:
         low = np.uint64((1 << self.bits) - 1)
-        return [values & low, (values >> np.uint64(64 - self.bits)) & low]
+        return [values & low, values >> np.uint64(64 - self.bits)]
 
     def has(self, values: np.ndarray) -> np.ndarray:
         """Positions of the values that may be in the filter."""
@@ -59,12 +81,6 @@ class BitFilter:
         return left
 
 
-def _filter(df: DataFrame, column: str, n: int) -> BitFilter | None:
-    if n > MOST_FILTERED:
-        return None
-    return BitFilter(np.array([r[0] for r in df.select(column).distinct().collect()], np.int64).view(np.uint64))
-
-
 def _shingles(data: np.ndarray, bounds: np.ndarray, sizes: list[int]):
     """Word borders and numbers, and for each shingle size the hashes and the first word of each shingle."""
     starts, ends = K.words(data, bounds, K.ALNUM)
@@ -115,14 +131,14 @@ def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     return rows.mapInArrow(run, "item_id string, win string, len int, shingles array<long>")
 
 
-def _frequencies(docs: DataFrame, sizes: list[int], wanted: BitFilter | None) -> DataFrame:
+def _frequencies(docs: DataFrame, sizes: list[int], wanted: BitFilter) -> DataFrame:
     """(h, df): document frequencies, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, data, bounds, _ in K.blocks(b.column(0)):
                 for h, n in _shingles(data, bounds, sizes)[3]:
-                    at = wanted.has(h) if wanted else np.arange(len(h))
+                    at = wanted.has(h)
                     doc = np.repeat(np.arange(len(n)), n)[at]
                     h = h[at]
                     order = np.lexsort((doc, h))
@@ -135,8 +151,8 @@ def _frequencies(docs: DataFrame, sizes: list[int], wanted: BitFilter | None) ->
     return docs.select("text").mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
 
-def _hits(docs: DataFrame, sizes: list[int], window: int, wanted: BitFilter | None) -> DataFrame:
-    """A row per document (h is null), and one for each place where it has an indexed shingle."""
+def _hits(docs: DataFrame, sizes: list[int], window: int, wanted: BitFilter) -> DataFrame:
+    """A row per document (h is null), one for each place of an indexed shingle, and one for all places of a shorter window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "digest", "n_words", "h", "pos", "low", "context"]
@@ -146,14 +162,26 @@ def _hits(docs: DataFrame, sizes: list[int], window: int, wanted: BitFilter | No
                 n = len(per_doc)
                 rows = slice(first, first + n)
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(2)[rows], pa.array(per_doc.astype(np.int64)), none, none, none, pa.nulls(n, pa.string())], names=names)
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0)[rows], b.column(2)[rows], pa.array(per_doc.astype(np.int64)), none, pa.nulls(n, lists), none, pa.nulls(n, pa.string())], names=names)
                 word_at = np.cumsum(per_doc) - per_doc
                 blank = K.LOWER[data].copy()
                 blank[~K.ALNUM[data]] = 32
                 for k, (h, m) in zip(sizes, found, strict=True):
-                    at = wanted.has(h) if wanted else np.arange(len(h))
+                    at = wanted.has(h)
                     doc = np.repeat(np.arange(n), m)[at]
                     pos = at - (np.cumsum(m) - m)[doc]
+                    if k < SHINGLE:
+                        a, z = starts[word_at[doc] + pos], ends[word_at[doc] + pos + k - 1]
+                        places: dict[tuple, list[int]] = {}
+                        for d, x, text, p in zip(doc.tolist(), h[at].view(np.int64).tolist(), (b" ".join(blank[i:j].tobytes().split()) for i, j in zip(a.tolist(), z.tolist(), strict=True)), pos.tolist(), strict=True):
+                            places.setdefault((d, x, text), []).append(p)
+                        d, x, text = zip(*places, strict=True) if places else ((), (), ())
+                        take = pa.array(first + np.array(d, np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(take), b.column(2).take(take), pa.array(per_doc[list(d)].astype(np.int64)), pa.array(x, pa.int64()), pa.array(list(places.values()), lists), pa.nulls(len(d), pa.int64()), pa.array([t.decode() for t in text], pa.string())], names=names
+                        )
+                        continue
                     for lo in range(0, len(at), 4096):
                         d, p = doc[lo : lo + 4096], pos[lo : lo + 4096]
                         low = np.maximum(p - (window - k), 0)
@@ -162,10 +190,10 @@ def _hits(docs: DataFrame, sizes: list[int], window: int, wanted: BitFilter | No
                         context = [b" ".join(blank[x:y].tobytes().split()).decode() for x, y in zip(a.tolist(), z.tolist(), strict=True)]
                         take = pa.array(first + d)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(take), b.column(2).take(take), pa.array(per_doc[d].astype(np.int64)), pa.array(h[at[lo : lo + 4096]].view(np.int64)), pa.array(p.astype(np.int64)), pa.array(low.astype(np.int64)), pa.array(context)], names=names
+                            [b.column(0).take(take), b.column(2).take(take), pa.array(per_doc[d].astype(np.int64)), pa.array(h[at[lo : lo + 4096]].view(np.int64)), pa.array(p.astype(np.int64)[:, None].tolist(), lists), pa.array(low.astype(np.int64)), pa.array(context)], names=names
                         )
 
-    return docs.mapInArrow(run, "id long, digest binary, n_words long, h long, pos long, low long, context string")
+    return docs.mapInArrow(run, "id long, digest binary, n_words long, h long, pos array<long>, low long, context string")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
@@ -179,20 +207,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n = inside.select("h").distinct().count()
     sizes = sorted(r.k for r in all_windows.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().collect())
 
-    frequency = _frequencies(base, sizes, _filter(inside, "h", n))
+    frequency = _frequencies(base, sizes, BitFilter.over(inside, "h", n))
     ranked = inside.join(frequency, "h", "left").groupBy("win", "len")
     # the rarest shingle of a window decides; one that no document has rules the window out
     prefix = ranked.agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("x")).where("x.df > 0")
     prefix = common.staged(prefix.select("win", F.col("len"), F.col("x.h").alias("h"), F.col("x.offset").alias("offset")), "prefix", used)
     n = prefix.select("h").distinct().count()
-    hits = common.staged(_hits(base.withColumn("digest", F.unhex(F.md5("text"))), sizes, window, _filter(prefix, "h", n)), "hits")
+    hits = common.staged(_hits(base.withColumn("digest", F.unhex(F.md5("text"))), sizes, window, BitFilter.over(prefix, "h", n)), "hits", used)
 
     # one row per place: copies of a text have the same hits
-    places = hits.where("h IS NOT NULL").dropDuplicates(["digest", "h", "pos"])
-    at = F.col("pos") - F.col("offset")
-    match = places.join(prefix, "h").withColumn("start", at).where((at >= F.col("low")) & (at + F.col("len") <= F.col("n_words")))
+    places = hits.where("h IS NOT NULL").dropDuplicates(["digest", "h", "pos", "context"])
+    match = places.join(prefix, "h").withColumn("start", F.explode(F.transform("pos", lambda p: p - F.col("offset"))))
     words = F.slice(F.split("context", " "), (F.col("start") - F.col("low") + 1).cast("int"), F.col("len"))
-    match = common.staged(match.where(F.array_join(words, " ") == F.col("win")).select("digest", "start", "len", "win"), "matches", used)
+    inside_ = (F.col("start") >= F.col("low")) & (F.col("start") + F.col("len") <= F.col("n_words"))
+    same = F.when(F.col("low").isNull(), F.col("context") == F.col("win")).otherwise(inside_ & (F.array_join(F.when(inside_, words), " ") == F.col("win")))
+    match = common.staged(match.where(same).select("digest", "start", "len", "win"), "matches", used)
 
     order = W.partitionBy("digest").orderBy("start")
     spans = match.groupBy("digest", "start").agg((F.col("start") + F.max("len")).alias("stop"))
@@ -204,5 +233,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = hits.where("h IS NULL").select(F.col("id").alias("doc_id"), "digest", "n_words").join(judged, "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     out = out.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
-    common.drop(spark, *used)
+    common.drop(spark, *(p for p in used if "/hits-" not in p))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

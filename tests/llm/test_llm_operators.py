@@ -140,9 +140,12 @@ def test_decontamination(spark, docs, twisted, nothing):
     assert table(decontam.decontaminate(docs, items.limit(0)), *columns) == sorted(brute.decontaminate(PAIRS, []))
 
 
-def test_decontamination_without_filters(spark, docs, monkeypatch):
+@pytest.mark.parametrize(("bits", "segment"), [(10, 19), (14, 11)])
+def test_decontamination_with_crowded_filters(spark, docs, monkeypatch, bits, segment):
+    """Filters that let much through, in one segment or several."""
     items = spark.createDataFrame(BENCHMARK, "item_id string, text string")
-    monkeypatch.setattr(decontam, "MOST_FILTERED", 0)
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "SEGMENT", segment)
     got = decontam.decontaminate(docs, items)
     assert table(got, "doc_id", "n_hit", "n_items") == sorted((r[0], r[2], r[3]) for r in brute.decontaminate(PAIRS, BENCHMARK))
 
