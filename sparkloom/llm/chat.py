@@ -112,19 +112,25 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = 2048, history: int =
     # the last turns before a border are context of the stretch after it
     tail = (own + 1) * length - F.col("start") <= history
     dealt = placed.withColumn("stretch", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("context", F.col("stretch") > own)
+    dealt = dealt.select("conv", "stretch", F.lit(False).alias("first"), "pos", "role", "text", "tokens", "context")
+    # a stretch gets the system turn once, ahead of its turns
     system = system.select(F.col("conv").alias("s_conv"), "system")
-    dealt = dealt.join(system, dealt.conv.eqNullSafe(system.s_conv), "left").select("conv", "stretch", "pos", "role", "text", "tokens", "context", "system")
-    dealt = dealt.repartition("conv", "stretch").sortWithinPartitions("conv", "stretch", "pos")
+    stretches = placed.select("conv", own.alias("stretch")).distinct().join(system, F.col("conv").eqNullSafe(F.col("s_conv")))
+    system = stretches.select("conv", "stretch", F.lit(True).alias("first"), "system.pos", F.lit("system").alias("role"), "system.text", "system.tokens", F.lit(True).alias("context"))
+    dealt = dealt.unionByName(system).repartition("conv", "stretch").sortWithinPartitions("conv", "stretch", F.desc("first"), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: _Stretch | None = None
         for b in batches:
             out = []
-            for conv, stretch, pos, role, text, tokens, context, sys_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for conv, stretch, first, pos, role, text, tokens, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if open_ is None or (open_.conv, open_.number) != (conv, stretch):
                     out += open_.close() if open_ else []
-                    open_ = _Stretch(conv, stretch, sys_, budget, history)
-                out += open_.add(pos, role, text, tokens, context)
+                    open_ = _Stretch(conv, stretch, budget, history)
+                if first:
+                    open_.system = (pos, role, text, tokens)
+                else:
+                    out += open_.add(pos, role, text, tokens, context)
             if out:
                 yield _batch(out)
         if open_ and (out := open_.close()):
@@ -143,9 +149,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class _Stretch:
     """Fills the windows of one stretch; holds one window and its history at a time."""
 
-    def __init__(self, conv, number, system, budget, history):
+    def __init__(self, conv, number, budget, history):
         self.conv, self.number, self.budget, self.history = conv, number, budget, history
-        self.system = (system["pos"], "system", system["text"], system["tokens"]) if system else None
+        self.system: tuple | None = None
         self.window, self.own, self.past = 0, [], []
         self.context: list[tuple] | None = None
 
