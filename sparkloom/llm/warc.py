@@ -4,7 +4,7 @@ Payloads with equal SHA-256 digests and at least ``least`` bytes are stored once
 the response, the others are revisits that refer to it. Records are dealt over exact key ranges (``Ranges``) and sorted by
 page id, so the same table gives the same files, byte for byte. Each record is a gzip member of its own (no time stamp
 inside); headers, ids, lengths and digests are made anew from the content. A file is closed once its compressed size
-reaches ``roll``. Tasks write under temporary names; the driver renames what succeeded and publishes a manifest with every
+reaches ``roll``, and starts with a warcinfo record. ``date`` is the WARC-Date of every record, as pages carry none. Tasks write under temporary names; the driver renames what succeeded and publishes a manifest with every
 file's size, digest and records last. Files of lost attempts are in no manifest and are removed.
 
 Defined cases: a null payload is empty; a null URL is an empty target; a null page id sorts first and is never
@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -79,21 +80,34 @@ def encode_record(page, url, payload, digest, size, kind, refers, refers_url, da
     return pack.compress(raw) + pack.flush()
 
 
+def encode_info(part: int, number: int, date: str) -> bytes:
+    """The record that a file starts with: what it is and what wrote it."""
+    block = b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, f'file {part} {number}')}>",
+        f"WARC-Date: {date}",
+        "WARC-Block-Digest: sha256:" + base64.b32encode(hashlib.sha256(block).digest()).decode().rstrip("="),
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, roll: int = 128 << 20, pages_per_part: int = 8192, date: str = "2000-01-01T00:00:00Z") -> dict:
     """Write an archive at ``folder`` and return its manifest."""
     common.session(pages.sparkSession)
     ranges = common.Ranges.over(pages, id_col, pages_per_part)
     rows = records(pages, id_col, url_col, payload_col, least)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for b in batches:
-            tie = np.array([zlib.crc32(x.encode()) for x in b.column(1).to_pylist()], np.int64)
-            part = ranges.of(np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_null()), tie)
-            yield pa.RecordBatch.from_arrays([pa.array(part), *b.columns], names=["part", *b.schema.names])
+    @F.arrow_udf("int")
+    def part(page: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array(ranges.of(np.asarray(page.fill_null(0)), np.asarray(page.is_null()), np.asarray(tie)))
 
-    dealt = rows.mapInArrow(place, "part int, " + ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+    # payloads stay in the JVM until they are written
+    dealt = rows.select(part("page", F.crc32(F.col("url").cast("binary"))).alias("part"), "*")
     dealt = dealt.repartitionById(ranges.parts, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("page"), "url", "digest", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +124,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     continue
                 if out is not None and (out.part != part or out.size >= roll):
                     yield out.close()
-                    out = _File(fs, root, part, out.number + 1 if out.part == part else 0)
+                    out = _File(fs, root, part, out.number + 1 if out.part == part else 0, date)
                 if out is None:
-                    out = _File(fs, root, part, 0)
+                    out = _File(fs, root, part, 0, date)
                 revisit = about == (page, url, digest) and again
                 again = True
                 out.add(encode_record(page, url, "" if revisit else payload, digest, size, "revisit" if revisit else "response", *(note if revisit else (None, None)), date))
@@ -135,15 +149,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 class _File:
-    def __init__(self, fs, root: str, part: int, number: int):
+    def __init__(self, fs, root: str, part: int, number: int, date: str):
         self.part, self.number, self.size, self.records = part, number, 0, 0
         self.name = f"{part:06d}-{number:04d}-{uuid.uuid4().hex}.warc.gz.tmp"
         self.file, self.sha = fs.open_output_stream(f"{root}/_attempts/{self.name}", compression=None), hashlib.sha256()
+        self._put(encode_info(part, number, date))
 
-    def add(self, member: bytes) -> None:
+    def _put(self, member: bytes) -> None:
         self.file.write(member)
         self.sha.update(member)
         self.size += len(member)
+
+    def add(self, member: bytes) -> None:
+        self._put(member)
         self.records += 1
 
     def close(self) -> pa.RecordBatch:
@@ -203,6 +221,8 @@ def read(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as file:
                     for offset, raw in members(file):
                         h, block = decode_record(raw)
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         payload = block.partition(b"\r\n\r\n")[2]
                         kind = h["WARC-Type"]
                         label = h["WARC-Payload-Digest"].removeprefix("sha256:")
