@@ -547,6 +547,26 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, twisted):
     assert rows.where("doc_id = 5").count() == 3 and rows.where("doc_id IS NULL").count() == 2
 
 
+def test_texts_of_megabytes(spark):
+    """One very long text beside short ones, for every operator that reads documents."""
+    long = prose(500_000, 4242)
+    rows = [(1, long, "a"), (2, "short text", "a"), (3, None, "b"), (4, long[: len(long) // 2] + " " + prose(300_000, 17), "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    words = {d: len(brute.BLANK.findall(t or "")) for d, t, _ in rows}
+    library = encoder(tokenizer_path()).library
+    tokens = {d: len(library.encode(t or "", add_special_tokens=False).ids) for d, t, _ in rows}
+    assert {r.doc_id: r.n_tokens - 1 for r in token_ids.token_files(df, tokenizer_path()).collect()} == tokens
+    assert {r.doc_id: r.tokens_before for r in token_counts.masked_counts(df, tokenizer_path()).collect()} == tokens
+    items = spark.createDataFrame([("x", prose(20, 3)), ("y", " ".join(brute.ALNUM.findall(long)[-13:]))], "item_id string, text string")
+    assert {r.doc_id: r.n_hit > 0 for r in decontam.decontaminate(df, items).collect()}[1]
+    assert {r.doc_id: r.n_words for r in quality.quality_report(df).collect()} == words
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    assert removed[2] == removed[3] == 0 and abs(removed[1] - len(long.encode()) // 2) < 1000
+    assert {r.doc_id: r["size"] for r in mixing.mix(df).collect()} == words
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_matches for r in licenses.scan(df).collect()} == dict.fromkeys(range(1, 5), 0)
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline
 
