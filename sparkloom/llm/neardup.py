@@ -11,8 +11,10 @@
    nodes to a few of them, which then leave it; what is verified is merged. Groups of near copies collapse there with a
    few pairs per node. Then the pairs of different components that short lists (``MOST``) still hold are compared.
    Longer ones hold texts that share a passage which is a large part of each. For their nodes, lists are made again from the
-   whole sets, where the prefix is exact, the rarest quarter of a set, and positions bound overlaps. They go through star rounds too, until little is left,
-   and that is compared. Pairs inside a component cannot change the result, so no link between components is lost.
+   whole sets, where the prefix is exact, the rarest quarter of a set, and positions bound overlaps. They go through a few
+   star rounds too, with more hubs, and then through rounds of random groups with one hub each, as long as these link
+   one node in ``FRUITFUL``. All pairs of different components that are left then are compared. Pairs inside a component
+   cannot change the result, so no link between components is lost.
 4. A pair is first estimated from the bottom k of the union of both sketches, and dropped if that is more than seven standard errors below
    the threshold. What is left is verified on the full sets, recomputed from the whole texts.
 
@@ -36,10 +38,12 @@ from . import kernels as K
 from .components import components
 
 SKETCH = 64
-HUBS = 3
-MOST = 32
-#: Star rounds over crowded lists go on while more than so many pairs an entry are left, so many times at most.
-ENOUGH, ROUNDS = 16, 3
+#: Hubs of a star round, of one over crowded lists, and the longest list that is not crowded. None of them decides a link.
+HUBS, CROWD_HUBS, MOST = 3, 12, 32
+#: Star rounds over crowded lists go on while they leave more than so many pairs an entry; they and random rounds, while they link one node in so many.
+ENOUGH, FRUITFUL = 1, 64
+#: Star rounds over crowded lists at most, and rounds of the components between comparisons.
+CROWD_ROUNDS, ROUNDS = 3, 3
 
 
 def least_shared(keep: int, percent: int) -> int:
@@ -189,9 +193,11 @@ class _Merge:
     def labelled(self, lists: DataFrame) -> DataFrame:
         return lists.select("v", "s", "node", "n", "pos").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def verify(self, pairs: DataFrame) -> None:
+    def verify(self, pairs: DataFrame) -> int:
         """Compare the pairs (u, w, nu, nw, pu, pw) that were not compared before; u is the node that many of them share.
 
+        Returns how many of them are links.
+
         In the list of the rarest value that two sets share, all that they share lies at or after it, so the remaining
         sizes bound the overlap; without positions this is the bound by sizes alone.
         """
@@ -203,28 +209,30 @@ class _Merge:
         ends = pairs.select("u", (F.col("x") + F.col("y") - F.col("u")).alias("v"))
         good = common.staged(_verify(_estimated(ends, self.sketch, self.percent, self.keep), self.texts, self.k, self.percent), "links", self.used)
         self.tried = pairs.select("x", "y") if self.tried is None else self.tried.unionByName(pairs.select("x", "y"))
-        if good.limit(1).count():
+        linked = good.count()
+        if linked:
             self.links = good if self.links is None else self.links.unionByName(good)
             # a few rounds save most comparisons that cannot change the result; the last call settles the rest
             self.labels = components(self.links, ROUNDS)
+        return linked
 
     def settled(self) -> DataFrame:
         """(node, comp) of every node that has a link."""
         return self.labels if self.links is None else components(self.links)
 
-    def star(self, lists: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """A star round; returns the entries of lists that still hold several components, and these lists, or None.
+    def star(self, lists: DataFrame, many: int = HUBS) -> tuple[DataFrame, DataFrame, int] | None:
+        """A star round; returns the entries of lists that still hold several components, these lists, and the number of new links, or None.
 
-        ``HUBS`` nodes of each list are compared with all others in it and then leave it, since all their pairs there
-        are done. Hubs are nodes of random components, so stragglers become hubs as soon as a large component does.
+        ``many`` nodes of each list are compared with all others in it and then leave it, since all their pairs there
+        are done. Hubs are random nodes of random components, so stragglers become hubs as soon as a large component does.
         """
         open_ = self.labelled(lists)
-        hubs = [F.min(F.struct(F.xxhash64("comp", F.lit(i)), "node", "n", "comp", "pos")) for i in range(HUBS)]
+        hubs = [F.min(F.struct(F.xxhash64("comp", F.lit(i)), F.xxhash64("node", F.lit(i)), "node", "n", "comp", "pos")) for i in range(many)]
         mixed = open_.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*(F.struct(*(h[c].alias(c) for c in ("node", "n", "comp", "pos"))) for h in hubs))).alias("hubs"))
         mixed = mixed.where("lo <> hi").select("v", "s", "hubs")
         left = common.staged(open_.join(mixed, ["v", "s"]), "lists", self.used)
         stars = left.select("node", "n", "comp", "pos", F.explode("hubs").alias("hub")).where("comp <> hub.comp")
-        self.verify(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
+        linked = self.verify(stars.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
         others = left.where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
         if not others.limit(1).count():
             return None
@@ -233,7 +241,18 @@ class _Merge:
         near = F.count_if(F.col("pos") * (100 + self.percent) <= F.col("n") * (100 - self.percent))
         sizes = open_.groupBy("v", "s", "comp").agg(F.count("*").alias("c"), near.alias("e")).groupBy("v", "s")
         sizes = sizes.agg(F.sum("c").alias("many"), F.max("c").alias("top"), F.sum("e").alias("near"), F.max("e").alias("near_top")).where("many > top")
-        return open_, common.staged(sizes, "sizes", self.used)
+        return open_, common.staged(sizes, "sizes", self.used), linked
+
+    def mingle(self, lists: DataFrame, salt: int) -> int:
+        """Deal the entries of lists (with their length ``many``) into random groups, and compare each group to one of its own.
+
+        That takes a pair an entry, splits long lists over tasks, and joins what star rounds have left apart.
+        """
+        dealt = self.labelled(lists).join(lists.select("v", "s", "many").distinct(), ["v", "s"])
+        dealt = dealt.withColumn("group", F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.floor(F.col("many") / MOST), F.lit(1))))
+        hub = dealt.groupBy("v", "s", "group").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt + 1)), "node", "n", "comp", "pos")).alias("hub"))
+        both = dealt.join(hub, ["v", "s", "group"]).where("comp <> hub.comp")
+        return self.verify(both.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
 
     def rest(self, lists: DataFrame) -> None:
         """Compare all pairs of different components within the lists."""
@@ -247,22 +266,29 @@ def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percen
     found = merge.star(lists)
     if found is None:
         return merge.settled()
-    left, sizes = found
+    left, sizes, _ = found
     merge.rest(left.join(sizes.where(F.col("many") <= MOST), ["v", "s"]))
     crowd = left.join(sizes.where(F.col("many") > MOST), ["v", "s"], "left_semi").select("node").distinct()
     crowd = common.staged(texts.join(crowd, "node", "left_semi"), "crowd", used)
-    if not crowd.limit(1).count():
+    nodes = crowd.count()
+    if not nodes:
         return merge.settled()
     left = common.staged(_lists(_full_sets(crowd, k), None, percent), "lists", used)
-    for _ in range(ROUNDS):
-        found = merge.star(left)
+    for _ in range(CROWD_ROUNDS):
+        found = merge.star(left, CROWD_HUBS)
         if found is None:
             return merge.settled()
-        left, sizes = found
+        left, sizes, linked = found
         n = sizes.agg(F.sum("many").alias("entries"), F.sum(F.col("near") * (F.col("near") - F.col("near_top"))).alias("pairs")).first()
-        if (n.pairs or 0) <= ENOUGH * (n.entries or 0):
+        if linked * FRUITFUL < nodes or (n.pairs or 0) <= ENOUGH * (n.entries or 0):
             break
-    merge.rest(left.join(sizes, ["v", "s"]))
+    left = common.staged(left.drop("comp").join(sizes.select("v", "s", "many"), ["v", "s"]), "lists", used)
+    salt = 0
+    while merge.mingle(left, salt) * FRUITFUL >= nodes:
+        salt += 2
+    left = merge.labelled(left)
+    open_ = left.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    merge.rest(left.join(open_, ["v", "s"]))
     return merge.settled()
 
 
