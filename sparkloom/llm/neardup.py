@@ -39,7 +39,7 @@ from .components import components
 
 SKETCH = 64
 #: Hubs of a star round, of one over crowded lists, and the longest list that is not crowded. None of them decides a link.
-HUBS, CROWD_HUBS, MOST = 3, 12, 32
+HUBS, CROWD_HUBS, MOST = 3, 8, 32
 #: Star rounds over crowded lists go on while they leave more than so many pairs an entry; they and random rounds, while they link one node in so many.
 ENOUGH, FRUITFUL = 1, 64
 #: Star rounds over crowded lists at most, and rounds of the components between comparisons.
@@ -191,7 +191,7 @@ class _Merge:
         self.labels = texts.sparkSession.createDataFrame([], "node long, comp long")
 
     def labelled(self, lists: DataFrame) -> DataFrame:
-        return lists.select("v", "s", "node", "n", "pos").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return lists.select("v", "s", "node", "n", "pos", *(c for c in ("many",) if c in lists.columns)).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def verify(self, pairs: DataFrame) -> int:
         """Compare the pairs (u, w, nu, nw, pu, pw) that were not compared before; u is the node that many of them share.
@@ -243,13 +243,18 @@ class _Merge:
         sizes = sizes.agg(F.sum("c").alias("many"), F.max("c").alias("top"), F.sum("e").alias("near"), F.max("e").alias("near_top")).where("many > top")
         return open_, common.staged(sizes, "sizes", self.used), linked
 
+    def forget(self) -> None:
+        """Delete the lists and sizes of earlier rounds."""
+        old = [[p for p in self.used if f"/{label}-" in p][:-1] for label in ("lists", "sizes")]
+        common.drop(self.texts.sparkSession, *old[0], *old[1])
+        self.used[:] = [p for p in self.used if p not in old[0] + old[1]]
+
     def mingle(self, lists: DataFrame, salt: int) -> int:
         """Deal the entries of lists (with their length ``many``) into random groups, and compare each group to one of its own.
 
         That takes a pair an entry, splits long lists over tasks, and joins what star rounds have left apart.
         """
-        dealt = self.labelled(lists).join(lists.select("v", "s", "many").distinct(), ["v", "s"])
-        dealt = dealt.withColumn("group", F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.floor(F.col("many") / MOST), F.lit(1))))
+        dealt = self.labelled(lists).withColumn("group", F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.floor(F.col("many") / MOST), F.lit(1))))
         hub = dealt.groupBy("v", "s", "group").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt + 1)), "node", "n", "comp", "pos")).alias("hub"))
         both = dealt.join(hub, ["v", "s", "group"]).where("comp <> hub.comp")
         return self.verify(both.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
@@ -274,15 +279,18 @@ def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percen
     if not nodes:
         return merge.settled()
     left = common.staged(_lists(_full_sets(crowd, k), None, percent), "lists", used)
+    merge.forget()
     for _ in range(CROWD_ROUNDS):
         found = merge.star(left, CROWD_HUBS)
         if found is None:
             return merge.settled()
         left, sizes, linked = found
+        merge.forget()
         n = sizes.agg(F.sum("many").alias("entries"), F.sum(F.col("near") * (F.col("near") - F.col("near_top"))).alias("pairs")).first()
         if linked * FRUITFUL < nodes or (n.pairs or 0) <= ENOUGH * (n.entries or 0):
             break
     left = common.staged(left.drop("comp").join(sizes.select("v", "s", "many"), ["v", "s"]), "lists", used)
+    merge.forget()
     salt = 0
     while merge.mingle(left, salt) * FRUITFUL >= nodes:
         salt += 2
