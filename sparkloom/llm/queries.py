@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, licenses, mixing, neardup, packing, quality, suffix_dedup, token_counts, token_ids, warc
+from . import chat, common, decontam, licenses, mixing, neardup, packing, phrases, quality, suffix_dedup, token_counts, token_ids, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -67,13 +67,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_ids, op2_decontamination, op3_token_counts, op4_quality_rules, op5_suffix_dedup)
-    found += (op6_warc, op7_chat_windows, op8_license_scan, op9_mixing, op10_near_duplicates, op12_packing)
+    found += (op6_warc, op7_chat_windows, op8_license_scan, op9_mixing, op10_near_duplicates, op11_phrases, op12_packing)
     return {f.__name__: f for f in found}
 
 
@@ -143,7 +147,22 @@ OP10 = rf"""
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(v) AS component_id, min(v) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.u = d.doc_id GROUP BY d.doc_id, n
 """
 
+OP11 = rf"""
+    WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+    pieces AS (SELECT lang, r, row_number() OVER () AS p, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, r, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM docs)),
+    grams AS (SELECT lang, list_slice(w, i, i + m - 1) AS g, m FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+    f AS (SELECT lang, g, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+    kept AS (SELECT * FROM f c WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM f o WHERE o.lang = c.lang AND o.m > c.m AND 100 * o.a >= 100 * c.a
+      AND contains(' ' || array_to_string(o.g, ' ') || ' ', ' ' || array_to_string(c.g, ' ') || ' '))),
+    cuts AS (SELECT c.*, k, x.a AS l, y.a AS r, n, (1000 * c.a::HUGEINT * n) // (x.a::HUGEINT * y.a) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) c
+      JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:] JOIN totals t ON t.lang = c.lang),
+    low AS (SELECT lang, g, a, n, min(row(score, k, l, r)) AS s FROM cuts GROUP BY ALL),
+    ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, s[3] AS l, s[4] AS r, n, s[1]::BIGINT AS score, row_number() OVER (PARTITION BY lang ORDER BY s[1] DESC, a DESC, array_to_string(g, ' ')) AS rank FROM low)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries whose whole result it can express; the others are held against brute force in tests/llm."""
-    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op6_warc": OP6, "op8_license_scan": _op8(), "op10_near_duplicates": OP10}
+    return {"op2_decontamination": OP2, "op4_quality_rules": OP4, "op6_warc": OP6, "op8_license_scan": _op8(), "op10_near_duplicates": OP10, "op11_phrases": OP11}
