@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, licenses, mixing, neardup, packing, phrases, quality, suffix_dedup, token_counts, token_ids, warc
+from . import chat, common, decontam, licenses, mixing, neardup, packing, phrases, quality, spelling, suffix_dedup, token_counts, token_ids, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,9 +75,13 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_ids, op2_decontamination, op3_token_counts, op4_quality_rules, op5_suffix_dedup)
-    found += (op6_warc, op7_chat_windows, op8_license_scan, op9_mixing, op10_near_duplicates, op11_phrases, op12_packing)
+    found += (op6_warc, op7_chat_windows, op8_license_scan, op9_mixing, op10_near_duplicates, op11_phrases, op12_packing, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
