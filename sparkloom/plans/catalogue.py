@@ -470,9 +470,9 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROGRESS = """
     reports AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_id % 50)::DOUBLE / 2 + event_id AS moment,
       CASE WHEN event_id % 11 = 3 THEN 'tick' WHEN event_id % 5 = 1 THEN 'legacy' ELSE 'report' END AS kind,
-      CASE event_id % 6 WHEN 0 THEN 'scan' WHEN 1 THEN 'ocr' WHEN 4 THEN 'complete' WHEN 5 THEN 'probe' END AS stage,
+      CASE event_id % 6 WHEN 0 THEN 'scan' WHEN 1 THEN 'ocr' WHEN 3 THEN 'paused' WHEN 4 THEN 'complete' WHEN 5 THEN 'probe' END AS stage,
       CASE WHEN event_id % 4 <> 2 THEN event_id % 23 - 1 END AS completed, CASE WHEN event_id % 3 = 0 THEN event_id % 37 END AS total,
-      CASE WHEN event_id % 7 = 0 THEN event_id % 19 END AS unknown, CASE WHEN event_id % 9 = 0 THEN (event_id % 500)::DOUBLE END AS elapsed FROM events)
+      CASE WHEN event_id % 7 = 0 THEN event_id % 19 END AS unknown, CASE WHEN event_id % 8 = 1 THEN event_id % 5 - 1 END AS ads, CASE WHEN event_id % 9 = 0 THEN (event_id % 500)::DOUBLE END AS elapsed FROM events)
 """
 
 
@@ -485,34 +485,51 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         ((e % 50).cast("double") / 2 + e).alias("at"),
         when(e % 11 == 3, "tick").when(e % 5 == 1, "legacy").otherwise("report").alias("kind"),
-        when(e % 6 == 0, "scan").when(e % 6 == 1, "ocr").when(e % 6 == 4, "complete").when(e % 6 == 5, "probe").alias("stage"),
+        when(e % 6 == 0, "scan").when(e % 6 == 1, "ocr").when(e % 6 == 3, "paused").when(e % 6 == 4, "complete").when(e % 6 == 5, "probe").alias("stage"),
         when(e % 4 != 2, e % 23 - 1).alias("completed"),
         when(e % 3 == 0, e % 37).alias("total"),
         when(e % 7 == 0, e % 19).alias("unknown"),
+        when(e % 8 == 1, e % 5 - 1).alias("ads"),
         when(e % 9 == 0, (e % 500).cast("double")).alias("elapsed"),
     )
 
 
-#: The reference's accumulator, report by report.
-@query(f"""
-    WITH RECURSIVE {PROGRESS},
-    clean AS (SELECT *, CASE WHEN completed >= 0 THEN completed END AS c, min(moment) OVER (PARTITION BY user_id) AS anchor FROM reports),
-    steps AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS seen, 0::BIGINT AS done, NULL::BIGINT AS total, NULL::BIGINT AS unsure, 'source' AS stage, 0.0::DOUBLE AS seconds, min(anchor) AS anchor, true AS running, false AS shown FROM clean GROUP BY user_id
+#: The accumulator, report by report.
+ACCUMULATED = f"""
+    {PROGRESS},
+    clean AS (SELECT *, CASE WHEN completed >= 0 THEN completed END AS c, stage IN ('source', 'scan', 'probe', 'ocr', 'restoring', 'remux', 'validate', 'complete') AS listed, min(moment) OVER (PARTITION BY user_id) AS anchor FROM reports),
+    steps AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS seen, 0::BIGINT AS done, NULL::BIGINT AS total, NULL::BIGINT AS unsure, NULL::BIGINT AS ads, 'source' AS stage, 0.0::DOUBLE AS seconds, min(anchor) AS anchor, true AS running, false AS shown FROM clean GROUP BY user_id
       UNION ALL SELECT user_id, i, event_id, seen OR took = 'report', CASE WHEN took IN ('report', 'counts') THEN greatest(done, coalesce(c, done)) ELSE done END,
         CASE WHEN took IN ('report', 'counts') AND new_total IS NOT NULL THEN greatest(coalesce(total, 0), new_total, greatest(done, coalesce(c, done))) ELSE total END,
         CASE WHEN took = 'report' AND unknown IS NOT NULL THEN least(greatest(coalesce(unsure, 0), unknown), greatest(done, coalesce(c, done))) ELSE unsure END,
+        CASE WHEN took = 'report' AND new_ads >= 0 THEN new_ads ELSE ads END,
         CASE WHEN took IN ('report', 'stage') THEN new_stage ELSE stage END,
-        CASE WHEN took IS NULL THEN seconds ELSE greatest(seconds + CASE WHEN running THEN greatest(moment - anchor, 0) ELSE 0 END, CASE WHEN took = 'report' THEN coalesce(elapsed, 0) ELSE 0 END) END,
-        CASE WHEN took IS NULL THEN anchor ELSE moment END, CASE WHEN took = 'report' THEN new_stage <> 'complete' ELSE running END, took IS NOT NULL
-      FROM (SELECT s.user_id, e.i, e.event_id, s.seen, s.done, s.total, s.unsure, s.stage, s.seconds, s.anchor, s.running, e.c, e.total AS new_total, e.unknown, e.stage AS new_stage, e.elapsed, e.moment,
-          CASE WHEN e.kind = 'tick' THEN 'tick' WHEN e.kind = 'report' AND e.stage IS NOT NULL AND NOT coalesce(e.c > e.total, false) AND NOT coalesce(e.unknown > e.c, false) THEN 'report'
-            WHEN e.kind = 'legacy' AND NOT s.seen THEN CASE WHEN e.completed IS NULL THEN CASE WHEN e.stage IS NOT NULL THEN 'stage' END WHEN e.c <= e.total THEN 'counts' END END AS took FROM steps s JOIN clean e ON e.user_id = s.user_id AND e.i = s.i + 1))
-    SELECT user_id, event_id, done, total, unsure, stage, seconds FROM steps WHERE shown
-""")
+        CASE WHEN took = 'none' THEN seconds ELSE greatest(seconds + CASE WHEN running THEN greatest(moment - anchor, 0) ELSE 0 END, CASE WHEN took = 'report' THEN coalesce(elapsed, 0) ELSE 0 END) END,
+        CASE WHEN took = 'none' THEN anchor ELSE moment END, CASE WHEN took = 'report' THEN new_stage <> 'complete' ELSE running END, took <> 'none'
+      FROM (SELECT s.user_id, e.i, e.event_id, s.seen, s.done, s.total, s.unsure, s.ads, s.stage, s.seconds, s.anchor, s.running, e.c, e.total AS new_total, e.unknown, e.ads AS new_ads, e.stage AS new_stage, e.elapsed, e.moment,
+          CASE WHEN e.kind = 'tick' THEN 'tick' WHEN e.kind = 'report' AND coalesce(e.listed, false) AND NOT coalesce(e.c > e.total, false) AND NOT coalesce(e.unknown > e.c, false) THEN 'report'
+            WHEN e.kind = 'legacy' AND NOT s.seen AND e.completed IS NULL AND coalesce(e.listed, false) THEN 'stage' WHEN e.kind = 'legacy' AND NOT s.seen AND e.c <= e.total THEN 'counts' ELSE 'none' END AS took FROM steps s JOIN clean e ON e.user_id = s.user_id AND e.i = s.i + 1))
+"""
+
+
+@query(f"WITH RECURSIVE {ACCUMULATED} SELECT user_id, event_id, done, total, unsure, ads, stage, seconds FROM steps WHERE shown")
 def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-02, STM-03"""
     out = folds.progress_reports(progress_events(spark, sf_dir), "user_id", "event_id", "at")
-    return out.select("user_id", "event_id", "done", F.col("of").alias("total"), "unsure", "stage", "seconds")
+    return out.select("user_id", "event_id", "done", F.col("of").alias("total"), "unsure", "ads", "stage", "seconds")
+
+
+@query(f"""
+    WITH RECURSIVE {ACCUMULATED},
+    told AS (SELECT *, floor(seconds)::BIGINT AS s, coalesce(unsure > 0, false) OR (stage = 'complete' AND (total IS NULL OR unsure IS NULL)) AS stays FROM steps WHERE shown)
+    SELECT user_id, event_id, done || '/' || coalesce(total::VARCHAR, '?') || ' unsure ' || coalesce(unsure::VARCHAR, '?') || ' ads ' || coalesce(ads::VARCHAR, '?') || ' '
+      || CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' ELSE (s // 60) || ':' END || lpad((s % 60)::VARCHAR, 2, '0') || CASE WHEN stays THEN ' partial' ELSE '' END AS summary FROM told
+""")
+def progress_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUX-25"""
+    out = folds.progress_reports(progress_events(spark, sf_dir), "user_id", "event_id", "at")
+    text = folds.progress_summary(F.col("done"), F.col("of"), F.col("unsure"), F.col("ads"), F.col("seconds"), F.col("stage") == "complete")
+    return out.select("user_id", "event_id", text.alias("summary"))
 
 
 @query("""

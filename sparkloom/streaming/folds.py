@@ -82,30 +82,39 @@ def queue_step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
     return (-1, attempt, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "completed" if kind == "finish" else "failed", "task": task, "attempt": attempt}
 
 
-def progress_reports(events: DataFrame, key: str, order: str, time: str) -> DataFrame:
-    """Accepted progress reports of each key with what has accumulated: done, of, unsure, seconds, stage.
+#: Stages that a progress report or an older stage line may name (fixed values).
+STAGES = ("source", "scan", "probe", "ocr", "restoring", "remux", "validate", "complete")
+
 
-    Columns read: kind (report, legacy or tick), stage, completed, total, unknown, elapsed. A report whose numbers
-    contradict each other, and any legacy line once a report was accepted, changes nothing and gives no row. Counts never go back:
-    a total is at least what was done when it was told, an unsure count at most that. Time runs from a key's first event
-    until its stage is complete; a told time moves it forward only. A tick is a row of its own and tells time alone.
+def progress_reports(events: DataFrame, key: str, order: str, time: str) -> DataFrame:
+    """Accepted progress reports of each key with what has accumulated: done, of, unsure, ads, seconds, stage.
+
+    Columns read: kind (report, legacy or tick), stage, completed, total, unknown, ads, elapsed. A report whose stage is none of
+    ``STAGES`` or whose numbers contradict each other, and any legacy line once a report was accepted, changes nothing and
+    gives no row. A legacy line without a count names a stage and sets that alone; one with a count sets the counts alone.
+    Counts never go back: a total is at least what was done when it was told, an unsure count at most that; the last count of
+    ads holds. Time runs from a key's first event until a report's stage is complete; a told time moves it forward only. A tick is a
+    row of its own and tells time alone.
     """
     number = lambda c: F.when(F.col(c) >= 0, F.col(c))
     done, total, unknown = number("completed"), number("total"), number("unknown")
-    report = (F.col("kind") == "report") & F.col("stage").isNotNull() & ~F.coalesce(done > total, F.lit(False)) & ~F.coalesce(unknown > done, F.lit(False))
-    legacy = (F.col("kind") == "legacy") & F.when(F.col("completed").isNull(), F.col("stage").isNotNull()).otherwise(F.coalesce(done <= total, F.lit(False)))
+    staged = F.coalesce(F.col("stage").isin(*STAGES), F.lit(False))
+    report = (F.col("kind") == "report") & staged & ~F.coalesce(done > total, F.lit(False)) & ~F.coalesce(unknown > done, F.lit(False))
+    legacy = (F.col("kind") == "legacy") & F.when(F.col("completed").isNull(), staged).otherwise(F.coalesce(done <= total, F.lit(False)))
     all_ = W.partitionBy(key).orderBy(order)
     before, until = all_.rowsBetween(W.unboundedPreceding, -1), all_.rowsBetween(W.unboundedPreceding, 0)
     seen = F.coalesce(F.max(report).over(before), F.lit(False))
     rows = events.withColumns({"_report": F.coalesce(report, F.lit(False)), "_seen": seen, "_begin": F.min(time).over(W.partitionBy(key))})
-    rows = rows.where(F.col("_report") | (legacy & ~F.col("_seen")) | (F.col("kind") == "tick")).withColumn("_counts", F.col("kind") != "tick")
-    told = lambda c: F.when(F.col("_counts"), c)
-    rows = rows.withColumn("done", F.coalesce(F.max(told(done)).over(until), F.lit(0)))
+    rows = rows.where(F.col("_report") | (legacy & ~F.col("_seen")) | (F.col("kind") == "tick"))
+    counts = F.when(F.col("_report") | ((F.col("kind") == "legacy") & F.col("completed").isNotNull()), F.lit(True))
+    named = F.when(F.col("_report") | ((F.col("kind") == "legacy") & F.col("completed").isNull()), F.col("stage"))
+    rows = rows.withColumn("done", F.coalesce(F.max(F.when(counts, done)).over(until), F.lit(0)))
     rows = rows.withColumns(
         {
-            "of": F.max(told(F.when(total.isNotNull(), F.greatest(total, F.col("done"))))).over(until),
+            "of": F.max(F.when(counts & total.isNotNull(), F.greatest(total, F.col("done")))).over(until),
             "unsure": F.max(F.when(F.col("_report"), F.when(unknown.isNotNull(), F.least(unknown, F.col("done"))))).over(until),
-            "stage": F.coalesce(F.last(told(F.col("stage")), ignorenulls=True).over(until), F.lit("source")),
+            "ads": F.last(F.when(F.col("_report"), number("ads")), ignorenulls=True).over(until),
+            "stage": F.coalesce(F.last(named, ignorenulls=True).over(until), F.lit("source")),
             "_end": F.coalesce(F.last(F.when(F.col("_report"), F.col("stage") == "complete"), ignorenulls=True).over(until), F.lit(False)),
         }
     )
@@ -113,7 +122,7 @@ def progress_reports(events: DataFrame, key: str, order: str, time: str) -> Data
     step = F.when(stopped, F.lit(0.0)).otherwise(F.greatest(F.col(time) - F.coalesce(F.lag(time).over(all_), F.col("_begin")), F.lit(0.0)))
     rows = rows.withColumn("_step", step).withColumn("_ran", F.sum("_step").over(until))
     lead = F.max(F.when(F.col("_report") & (F.col("elapsed") >= 0), F.col("elapsed") - F.col("_ran"))).over(until)
-    return rows.withColumn("seconds", F.col("_ran") + F.greatest(F.coalesce(lead, F.lit(0.0)), F.lit(0.0))).drop("_report", "_seen", "_begin", "_counts", "_end", "_step", "_ran")
+    return rows.withColumn("seconds", F.col("_ran") + F.greatest(F.coalesce(lead, F.lit(0.0)), F.lit(0.0))).drop("_report", "_seen", "_begin", "_end", "_step", "_ran")
 
 
 def progress_summary(done: Column, of: Column, unsure: Column, ads: Column, seconds: Column, complete: Column) -> Column:
