@@ -563,15 +563,6 @@ def emit_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", (~before.eqNullSafe(F.col("event_type"))).alias("changed"))
 
 
-@query("""
-    SELECT user_id, event_id FROM (SELECT user_id, event_id, bool_and(ok) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS good FROM (SELECT user_id, event_id, event_id % 23 <> 0 AS ok FROM events)) WHERE good
-""")
-def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-17, STM-07"""
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").withColumn("good", F.bool_and(F.col("event_id") % 23 != 0).over(w)).where("good").select("user_id", "event_id")
-
-
 # Text
 
 
