@@ -3,17 +3,18 @@
 Texts are cut at punctuation and line ends into pieces, and these into words. Counting goes through suffix arrays of word
 ids, one per shard of about ``SHARD`` words: prefix doubling in NumPy sorts the suffixes by their first words, neighbours
 with a common prefix of m words form the LCP interval of an m-word phrase, and its width is the phrase's count in the
-shard. Counts of equal keys are merged over all shards. A phrase cannot be frequent unless its parts are, so there are three
-rounds, each over what the one before has left:
+shard. Counts of equal keys are merged over all shards. A phrase cannot be frequent unless its parts are, so there is a
+round for each length, over what the one before has left:
 
-1. Words: each shard's dictionary is merged by (language, word). Frequent words get a number, and go back to the shards that
-   hold them; the others become breaks.
-2. Pairs: LCP intervals of two words are merged; frequent ones go back, and what no frequent pair covers becomes a break.
-3. Phrases of three words and more: LCP intervals of the little that is left, merged by the words' numbers.
+1. Words: each shard's dictionary is merged by (language, word). Frequent words get a number.
+2. to 5. LCP intervals of m words are merged by the words' numbers.
+
+After each round the frequent ones go back to the shards that hold them, as places in the shard, and a shard keeps only the
+runs of words in which every such phrase is frequent. Both are bounded by the shard's size.
 
 Numbers are exact: a word's is the least (shard, place in its dictionary) that holds it. A key occurs once per shard at
-most, so no key is hot. What returns to a shard is bounded by the shard's size. Shards are cut anywhere; each carries the next
-words of its last piece along, which phrases may reach into but not start from.
+most, so no key is hot. Shards are cut anywhere; each carries the next words of its last piece along, which phrases may
+reach into but not start from.
 
 Then every way to cut a candidate in two is scored in exact decimal arithmetic, candidates that a longer one contains just
 as often are dropped, and each language's first ones are ranked (first within slices, so that no task ranks a language).
@@ -39,8 +40,10 @@ from . import kernels as K
 
 #: Words in a shard.
 SHARD = 1 << 21
-#: Places in a shard's dictionary that a word's number leaves room for; a shard has fewer words than that.
-CODES = 1 << 22
+#: Places in a shard that a number leaves room for; a shard has fewer words than that, breaks included.
+CODES = 1 << 24
+#: Shards of a task that a number leaves room for.
+PER_TASK = 1 << 12
 MOST_WORDS = 5
 _SPLIT = K.table(".,;:!?\n\x0b\x0c\r")
 _WORD = ~(_SPLIT | K.table(" \t"))
@@ -49,6 +52,7 @@ ROWS = 1 << 16
 _DICTIONARY = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 SHARDS = "shard long, starts int, low binary, high binary, breaks binary, dictionary binary, words map<string, long>"
 STATE = "shard long, starts int, low binary, high binary, numbers binary"
+_STATE = pa.schema([("shard", pa.int64()), ("starts", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("numbers", pa.binary())])
 
 
 def _packed(schema: pa.Schema, columns: list[pa.Array]) -> bytes:
@@ -67,6 +71,16 @@ def _codes(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
 
 
+def _dense(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, all below ``size``, and each key's place among them."""
+    if size > 1 << 26:
+        return np.unique(key, return_inverse=True)
+    there = np.zeros(size, bool)
+    there[key] = True
+    place = np.cumsum(there, dtype=np.int32) - 1
+    return np.flatnonzero(there), place[key]
+
+
 class _Buffer:
     """Words that wait for their shard: letters, lengths, language codes, and whether a piece begins."""
 
@@ -90,7 +104,7 @@ class _Buffer:
         self.n -= starts
         text = pa.LargeStringArray.from_buffers(held, pa.py_buffer(at[: held + 1].astype(np.int64)), pa.py_buffer(letters[: at[held]])).dictionary_encode()
         key = np.asarray(text.indices).astype(np.int64) * len(self.langs) + lang[:held]
-        keys, code = np.unique(key, return_inverse=True)
+        keys, code = _dense(key, len(text.dictionary) * len(self.langs))
         names = np.array(list(self.langs), object)
         of = (keys % len(self.langs)).astype(np.int64)
         n = np.bincount(code[:starts], minlength=len(keys))
@@ -98,7 +112,9 @@ class _Buffer:
         dictionary = _packed(_DICTIONARY, [pa.array(names[of], pa.string()), words, pa.array(n)])
         per_lang = np.bincount(lang[:starts], minlength=len(names))
         totals = [(names[i], int(per_lang[i])) for i in np.flatnonzero(per_lang).tolist()]
-        number = TaskContext.get().partitionId() << 20 | self.made
+        if self.made >= PER_TASK:
+            raise ValueError(f"more than {PER_TASK} shards in a task; read the texts in smaller partitions")
+        number = TaskContext.get().partitionId() * PER_TASK + self.made
         self.made += 1
         low, high = _planes(code)
         columns = [[number], [starts], [low], [high], [np.packbits(begins[:held]).tobytes()], [dictionary], [totals]]
@@ -145,6 +161,7 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
                     held.add(letters, length, code[first + doc], begins)
                     while held.n >= size + MOST_WORDS:
                         yield held.shard()
+                        pa.default_memory_pool().release_unused()
         if held.n:
             yield held.shard(last=True)
 
@@ -172,141 +189,142 @@ def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
     """Positions other than breaks (code 0), sorted by their first ``depth`` codes up to a break: prefix doubling."""
     at = np.flatnonzero(code)
     rank, h = code, 1
-    while h < depth:
-        wide = int(rank.max(initial=0)) + 1
-        next_ = np.zeros(len(code), np.int64)
-        next_[:-h] = rank[h:]
-        _, dense = np.unique(rank[at] * wide + next_[at], return_inverse=True)
+
+    def key(shift: int) -> np.ndarray:
+        out = rank[at] * (int(rank.max(initial=0)) + 1)
+        inside = at + shift < len(code)
+        out[inside] += rank[at[inside] + shift]
+        return out
+
+    while 2 * h < depth:
+        _, dense = np.unique(key(h), return_inverse=True)
         rank = np.zeros(len(code), np.int64)
         rank[at] = dense + 1
         h *= 2  # suffixes that end sooner may be told apart by what follows their break; their prefixes stay together
-    return at[np.argsort(rank[at], kind="stable")]
-
-
-def intervals(code: np.ndarray, starts: int, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(m, a position of each m-code phrase, how many positions below ``starts`` it has), from the LCP intervals."""
-    padded = np.concatenate([code, np.zeros(most, np.int64)])
-    order = suffix_array(code, most)
-    if not len(order):
-        return
-    lcp, alike = np.zeros(len(order), np.int64), np.ones(len(order) - 1, bool)
-    room, inside = np.zeros(len(order), np.int64), np.ones(len(order), bool)
-    for j in range(most):
+    return at[np.argsort(key(depth - h) if depth > h else rank[at], kind="stable")]
+
+
+def intervals(code: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with m codes before a break in the order of the suffix array, and where its LCP intervals of m codes begin."""
+    order = suffix_array(code, m)
+    padded = np.concatenate([code, np.zeros(m, code.dtype)])
+    room, lcp = np.zeros(len(order), np.int8), np.zeros(len(order), np.int8)
+    inside, alike = np.ones(len(order), bool), np.ones(max(len(order) - 1, 0), bool)
+    for j in range(m):
         here = padded[order + j]
         inside &= here != 0
         room += inside
         alike &= inside[1:] & (here[1:] == here[:-1])
         lcp[1:] += alike
-    own = (order < starts).astype(np.int64)
-    for m in range(least, most + 1):
-        head = np.flatnonzero(lcp < m)
-        good = room[head] >= m
-        n = np.add.reduceat(own, head)
-        yield m, order[head[good]], n[good]
-
-
-def _translate(shard: pa.Table, found: pa.Table) -> pa.Table:
-    """A shard whose words are numbered anew, frequent ones alone; others, and ends of pieces, are breaks (code 0)."""
-    out = {"shard": [], "starts": [], "low": [], "high": [], "numbers": []}
-    if len(shard):
-        row = shard.to_pylist()[0]
+    # a shorter suffix shares less than m codes with every other one, so it is an interval of its own
+    return order[room >= m], np.flatnonzero(lcp[room >= m] < m)
+
+
+def _runs(word: np.ndarray, link: np.ndarray, m: int, starts: int) -> tuple[np.ndarray, int]:
+    """The runs of words whose phrases of m - 1 words are all frequent, a break after each, and where what is only carried along begins.
+
+    link[i]: the phrases of m - 1 words at i and at i + 1 are, so a phrase of m words at i may be. Each such i is in one run;
+    words at the ends of runs may come twice.
+    """
+    edge = np.diff(np.concatenate([[0], link.astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)  # links first..last-1: words first..last+m-2
+    length = last - first + m - 1
+    begin = np.cumsum(length + 1) - (length + 1)
+    seq = np.zeros(int((length + 1).sum()), np.int64)
+    at = np.repeat(begin, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    seq[at] = word[at - np.repeat(begin - first, length)]
+    k = int(np.searchsorted(last, starts, "right"))  # the first run with a link at ``starts`` or later
+    return seq, len(seq) if k == len(first) else int(begin[k]) + max(0, starts - int(first[k]))
+
+
+def _state(shard: int, seq: np.ndarray, starts: int, numbers: bytes) -> pa.Table:
+    low, high = _planes(seq)
+    return pa.table({"shard": [shard], "starts": [starts], "low": [low], "high": [high], "numbers": [numbers]}, _STATE)
+
+
+def _numbered(shard: pa.Table, found: pa.Table) -> pa.Table:
+    """A shard's runs of frequent words, with codes of its own for them."""
+    if not len(shard) or not len(found):
+        return _STATE.empty_table()
+    row = shard.to_pylist()[0]
+    code = _codes(row["low"], row["high"])
+    begins = np.unpackbits(np.frombuffer(row["breaks"], np.uint8), count=len(code)).astype(bool)
+    mine = np.asarray(found.column("code").combine_chunks())
+    order = np.argsort(mine, kind="stable")
+    numbers = np.asarray(found.column("number").combine_chunks())[order]
+    new = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+    new[mine[order]] = np.arange(1, len(mine) + 1)
+    word = new[code]
+    link = (word[1:] > 0) & (word[:-1] > 0) & ~begins[1:]
+    return _state(row["shard"], *_runs(word, link, 2, row["starts"]), numbers.tobytes())
+
+
+def _narrowed(m: int):
+    """A shard's runs of frequent phrases of m words."""
+
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(state) or not len(found):
+            return _STATE.empty_table()
+        row = state.to_pylist()[0]
         code = _codes(row["low"], row["high"])
-        begins = np.unpackbits(np.frombuffer(row["breaks"], np.uint8), count=len(code)).astype(bool)
-        mine = np.sort(np.asarray(found.column("code").combine_chunks()))
-        by_code = np.argsort(np.asarray(found.column("code").combine_chunks()), kind="stable")
-        numbers = np.asarray(found.column("number").combine_chunks())[by_code]
-        new = np.zeros(int(code.max(initial=0)) + 1, np.int64)
-        new[mine] = np.arange(1, len(mine) + 1)
-        word = new[code]
-        link = np.zeros(len(code) + 1, bool)  # whether a word follows the one before it in a piece
-        link[1:-1] = (word[1:] > 0) & (word[:-1] > 0) & ~begins[1:]
-        seq, starts = _cut(word, link, int(row["starts"]))
-        low, high = _planes(seq)
-        out = {"shard": [row["shard"]], "starts": [starts], "low": [low], "high": [high], "numbers": [numbers.tobytes()]}
-    return pa.table(out, pa.schema([("shard", pa.int64()), ("starts", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("numbers", pa.binary())]))
-
-
-def _cut(word: np.ndarray, link: np.ndarray, starts: int) -> tuple[np.ndarray, int]:
-    """Runs of linked words with a break after each, and where the words from ``starts`` on begin. link[i]: i follows i - 1."""
-    keep = link[:-1] | link[1:]
-    ends = keep & ~link[1:]
-    at = np.flatnonzero(keep)
-    place = np.arange(len(at)) + np.cumsum(ends[at]) - ends[at]
-    seq = np.zeros(len(at) + int(ends.sum()), np.int64)
-    seq[place] = word[at]
-    k = int(np.searchsorted(at, starts))
-    return seq, int(place[k]) if k < len(at) else len(seq)
-
-
-def _pairs(state: DataFrame) -> DataFrame:
-    """Each shard's two-word phrases, with their numbers and their codes in the shard."""
+        order, head = intervals(code, m)
+        group = np.zeros(len(code), np.int64)
+        group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order)))) + 1
+        good = np.zeros(len(head) + 1, bool)
+        good[group[np.asarray(found.column("at").combine_chunks())]] = True
+        frequent = good[group]
+        return _state(row["shard"], *_runs(code, frequent[:-1] & frequent[1:], m + 1, row["starts"]), row["numbers"])
+
+    return run
+
+
+def _phrases(state: DataFrame, m: int) -> DataFrame:
+    """Each shard's phrases of m words: their numbers, a place that has one, and how many start in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                code, number = _codes(row["low"], row["high"]), np.frombuffer(row["numbers"], np.int64)
-                for _, at, n in intervals(code, row["starts"], 2, 2):
-                    for lo in range(0, len(at), ROWS):
-                        a, z = code[at[lo : lo + ROWS]], code[at[lo : lo + ROWS] + 1]
-                        yield pa.RecordBatch.from_arrays([pa.array(number[a - 1]), pa.array(number[z - 1]), pa.array(np.full(len(a), row["shard"])), pa.array(a << 32 | z), pa.array(n[lo : lo + ROWS])], ["g1", "g2", "shard", "pair", "n"])
-
-    return state.mapInArrow(run, "g1 long, g2 long, shard long, pair long, n long")
-
-
-_LONG = pa.schema([(f"g{i}", pa.int64()) for i in range(1, MOST_WORDS + 1)] + [("n", pa.int64())])
-
-
-def _longer(state: pa.Table, pairs: pa.Table) -> pa.Table:
-    """A shard's phrases of three words and more whose pairs are all frequent."""
-    if not len(state) or not len(pairs):
-        return _LONG.empty_table()
-    row = state.to_pylist()[0]
-    code, number = _codes(row["low"], row["high"]), np.frombuffer(row["numbers"], np.int64)
-    good = np.sort(np.asarray(pairs.column("pair").combine_chunks()))
-    pair = code[:-1] << 32 | code[1:]
-    at = np.minimum(np.searchsorted(good, pair), len(good) - 1)
-    link = np.zeros(len(code) + 1, bool)
-    link[1:-1] = (good[at] == pair) & (code[:-1] > 0) & (code[1:] > 0)
-    # a run of two words holds no phrase of three
-    alone = link[1:-1] & ~link[:-2] & ~link[2:]
-    link[1:-1] &= ~alone
-    seq, starts = _cut(code, link, int(row["starts"]))
-    number = np.concatenate([[0], number])
-    padded = np.concatenate([seq, np.zeros(MOST_WORDS, np.int64)])
-    out = []
-    for m, where, n in intervals(seq, starts, 3, MOST_WORDS):
-        where, n = where[n > 0], n[n > 0]
-        out.append(pa.table([pa.array(number[padded[where + j]] if j < m else np.zeros(len(where), np.int64)) for j in range(MOST_WORDS)] + [pa.array(n)], schema=_LONG))
-    return pa.concat_tables(out) if out else _LONG.empty_table()
+                code, numbers = _codes(row["low"], row["high"]), np.frombuffer(row["numbers"], np.int64)
+                order, head = intervals(code, m)
+                if not len(head):
+                    continue
+                n = np.add.reduceat((order < row["starts"]).astype(np.int64), head)
+                at = order[head]
+                for lo in range(0, len(at), ROWS):
+                    part = at[lo : lo + ROWS]
+                    columns = [pa.array(numbers[code[part + j] - 1]) for j in range(m)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(part + row["shard"] * CODES), pa.array(n[lo : lo + ROWS])], [*(f"g{j + 1}" for j in range(m)), "place", "n"])
+
+    return state.mapInArrow(run, ", ".join(f"g{j + 1} long" for j in range(m)) + ", place long, n long")
 
 
 def count_phrases(docs: DataFrame, least: int = 100, text_col: str = "text", lang_col: str = "lang", size: int = SHARD, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words in each language, frequent words with their numbers, frequent phrases of any length as number arrays)."""
-    common.session(docs.sparkSession)
-    first: list[str] = []
-    cut = common.staged(shards(docs, text_col, lang_col, size), "phrases-shards", first)
+    spark = common.session(docs.sparkSession)
+    left: list[str] = []
+    cut = common.staged(shards(docs, text_col, lang_col, size), "phrases-shards", left)
     totals = common.staged(cut.select(F.explode("words").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals", paths)
     # a dictionary holds a word once, so no key is hot: it has a row per shard at most, and needs no join to find its way back
     same = Window.partitionBy("lang", "word")
     place = F.col("shard") * CODES + F.col("code") + 1
     words = _entries(cut).select("*", F.sum("n").over(same).alias("a"), F.min(place).over(same).alias("number")).where(F.col("a") >= least)
-    words = common.staged(words.select("shard", "code", "number", "lang", "word", "a"), "phrases-words", paths)
-    found = words.select("shard", "code", "number")
-    state = common.staged(cut.select("shard", "starts", "low", "high", "breaks").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_translate, STATE), "phrases-state", first)
-    known = words.where((F.col("shard") * CODES + F.col("code") + 1) == F.col("number")).select("number", "lang", "word", "a")
-
-    same = Window.partitionBy("g1", "g2")
-    pairs = _pairs(state).withColumn("a", F.sum("n").over(same)).where(F.col("a") >= least)
-    pairs = common.staged(pairs, "phrases-pairs", paths)
-    longer = state.groupBy("shard").cogroup(pairs.select("shard", "pair").groupBy("shard")).applyInArrow(_longer, ", ".join(f"g{i} long" for i in range(1, MOST_WORDS + 1)) + ", n long")
-    keys = [f"g{i}" for i in range(1, MOST_WORDS + 1)]
-    longer = longer.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    two = pairs.groupBy("g1", "g2").agg(F.max("a").alias("a"))
-    phrases = known.select(F.array("number").alias("g"), "a").unionByName(two.select(F.array("g1", "g2").alias("g"), "a"))
-    phrases = phrases.unionByName(longer.select(F.filter(F.array(*keys), lambda x: x != 0).alias("g"), "a"))
-    phrases = common.staged(phrases, "phrases-found", paths)
-    common.drop(docs.sparkSession, *first)
-    return totals, known, phrases
+    first = F.col("number") == place
+    words = common.staged(words.select("shard", "code", "number", *(F.when(first, F.col(c)).alias(c) for c in ("lang", "word", "a"))), "phrases-words", paths)
+    known = words.where("a IS NOT NULL").select("number", "lang", "word", "a")
+    state = cut.select("shard", "starts", "low", "high", "breaks").groupBy("shard").cogroup(words.select("shard", "code", "number").groupBy("shard")).applyInArrow(_numbered, STATE)
+    phrases = known.select(F.array("number").alias("g"), "a")
+    for m in range(2, MOST_WORDS + 1):
+        state = common.staged(state, f"phrases-state-{m}", left)
+        common.drop(spark, *left[:-1])
+        left = left[-1:]
+        keys = [f"g{j + 1}" for j in range(m)]
+        found = _phrases(state, m).withColumn("a", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("a") >= least).drop("n")
+        found = common.staged(found, f"phrases-found-{m}", paths)
+        phrases = phrases.unionByName(found.groupBy(*keys).agg(F.max("a").alias("a")).select(F.array(*keys).alias("g"), "a"))
+        back = found.select(F.expr(f"place div {CODES}").alias("shard"), (F.col("place") % CODES).alias("at"))
+        state = state.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_narrowed(m), STATE)
+    common.drop(spark, *left)
+    return totals, known, common.staged(phrases, "phrases", paths)
 
 
 def collocations(docs: DataFrame, least: int = 100, inside: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang", size: int = SHARD) -> DataFrame:

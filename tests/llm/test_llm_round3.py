@@ -110,6 +110,10 @@ def test_suffix_arrays():
 
         keys = [prefix(p) for p in order]
         assert keys == sorted(keys) and sorted(order) == np.flatnonzero(code).tolist()
+        for m in range(1, 6):
+            at, head = phrases.intervals(code, m)
+            grams = Counter(tuple(code[p : p + m].tolist()) for p in range(len(code) - m + 1) if 0 not in code[p : p + m])
+            assert {tuple(code[p : p + m].tolist()): n for p, n in zip(at[head], np.diff(np.append(head, len(at))), strict=True)} == grams
 
 
 @pytest.mark.parametrize("capacity", [1024, 64, 8, 1, 48])
