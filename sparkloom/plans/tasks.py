@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import features, queue, transcripts
 from ..registry import query
-from ..streaming import folds
+from ..streaming import stateful
 from . import scoring
 from .catalogue import TASKS_SQL, r6, table, tasks
 from .media import cases, pick
@@ -171,22 +171,86 @@ def ad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", r6("score").alias("score"), "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 2).alias("pruned"))
 
 
-@query("""
-    WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'finish' ELSE 'fail' END AS kind FROM events),
-    f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, -1::BIGINT AS active, 0::BIGINT AS claims, NULL::VARCHAR AS state FROM (SELECT DISTINCT user_id FROM e)
-      UNION ALL SELECT user_id, k, event_id, CASE state WHEN 'claimed' THEN 1 WHEN 'completed' THEN -1 WHEN 'failed' THEN -1 ELSE active END, claims + (state IS NOT DISTINCT FROM 'claimed')::BIGINT, state FROM (
-        SELECT e.user_id, e.k, e.event_id, f.active, f.claims, CASE WHEN kind = 'claim' AND active < 0 THEN 'claimed' WHEN kind <> 'claim' AND active >= 0 AND (e.event_id % 3 <> 0) THEN CASE kind WHEN 'finish' THEN 'completed' ELSE 'failed' END END AS state
-        FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
-    SELECT user_id, event_id, state FROM f WHERE state IS NOT NULL
+#: Events as news of a queue of five jobs: the attempt that a report names is right in two of three cases.
+_JOBS = """
+    e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_ms(ts) AS t, event_id % 5 + 1 AS task, event_id % 3 AS off, event_id % 4 > 0 AS text,
+      CASE event_id % 9 WHEN 0 THEN 'enqueue' WHEN 1 THEN 'enqueue' WHEN 2 THEN 'claim' WHEN 3 THEN 'claim' WHEN 4 THEN 'beat' WHEN 5 THEN 'beat' WHEN 6 THEN 'finish' WHEN 7 THEN 'fail' ELSE 'cancel' END AS kind FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS action, NULL::BIGINT AS task, NULL::BIGINT AS attempt, NULL::BIGINT AS parts, false AS lost, NULL::BIGINT AS lost_task,
+        ['none', 'none', 'none', 'none', 'none'] AS st, [0, 0, 0, 0, 0]::BIGINT[] AS att, [0, 0, 0, 0, 0]::BIGINT[] AS pl, [0, 0, 0, 0, 0]::BIGINT[] AS pa, [false, false, false, false, false] AS tx, 0::BIGINT AS nxt, 0::BIGINT AS run, 0::BIGINT AS heard FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, k, event_id, action, CASE WHEN action IS NOT NULL THEN job END,
+        CASE WHEN action = 'claimed' THEN att[job] + 1 ELSE att[job] END, CASE action WHEN 'heard' THEN pa[job] + 1 WHEN 'queued' THEN CASE WHEN st[job] = 'failed' THEN pa[job] ELSE 0 END ELSE pa[job] END, lost, lost_task,
+        CASE WHEN action IS NULL OR action = 'heard' THEN st ELSE list_transform(st, lambda x, i: CASE WHEN i = job THEN CASE action WHEN 'claimed' THEN 'running' ELSE action END ELSE x END) END,
+        CASE WHEN action = 'claimed' THEN list_transform(att, lambda x, i: x + (i = job)::BIGINT) ELSE att END,
+        CASE WHEN action = 'queued' THEN list_transform(pl, lambda x, i: CASE WHEN i = job THEN nxt ELSE x END) ELSE pl END,
+        CASE WHEN action = 'heard' THEN list_transform(pa, lambda x, i: x + (i = job)::BIGINT) WHEN action = 'queued' AND st[job] <> 'failed' THEN list_transform(pa, lambda x, i: CASE WHEN i = job THEN 0 ELSE x END) ELSE pa END,
+        CASE WHEN action IN ('completed', 'failed') THEN list_transform(tx, lambda x, i: CASE WHEN i = job THEN text ELSE x END) WHEN action = 'queued' THEN list_transform(tx, lambda x, i: i <> job AND x) ELSE tx END,
+        nxt + (action IS NOT DISTINCT FROM 'queued')::BIGINT, CASE WHEN action = 'claimed' THEN job WHEN action IN ('completed', 'failed') OR (action = 'cancelled' AND run = job) THEN 0 ELSE run END,
+        CASE WHEN action IN ('claimed', 'heard') THEN t ELSE heard END
+      FROM (SELECT *, CASE kind WHEN 'enqueue' THEN CASE WHEN st[task] IN ('queued', 'running') OR (st[task] = 'completed' AND tx[task]) THEN NULL ELSE 'queued' END
+            WHEN 'claim' THEN CASE WHEN run = 0 AND first > 0 THEN 'claimed' END
+            WHEN 'cancel' THEN CASE WHEN st[task] IN ('queued', 'running') THEN 'cancelled' END
+            ELSE CASE WHEN st[task] = 'running' AND (off <> 2) THEN CASE kind WHEN 'beat' THEN 'heard' WHEN 'finish' THEN 'completed' ELSE 'failed' END END END AS action,
+            CASE WHEN kind = 'claim' THEN first ELSE task END AS job
+          FROM (SELECT *, coalesce(list_sort(list_filter(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN st[i] = 'queued' THEN {'p': pl[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i, 0) AS first
+            FROM (SELECT e.user_id, e.k, e.event_id, e.t, e.task, e.off, e.text, e.kind, f.att, f.pl, f.pa, f.tx, f.nxt, f.heard, f.run > 0 AND f.heard + 86400000 <= e.t AS lost, f.run AS lost_task,
+              CASE WHEN f.run > 0 AND f.heard + 86400000 <= e.t THEN 0 ELSE f.run END AS run,
+              CASE WHEN f.run > 0 AND f.heard + 86400000 <= e.t THEN list_transform(f.st, lambda x, i: CASE WHEN i = f.run THEN 'queued' ELSE x END) ELSE f.st END AS st
+              FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))))
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_JOBS}
+    SELECT user_id, event_id, action, task, attempt, parts FROM f WHERE action IS NOT NULL
+    UNION ALL SELECT a.user_id, NULL, 'expired', a.lost_task, b.att[a.lost_task], b.pa[a.lost_task] FROM f a JOIN f b ON b.user_id = a.user_id AND b.k = a.k - 1 WHERE a.lost
 """)
 def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-09, STM-15: every third report is of an attempt that is over"""
+    """STM-09, STM-13, STM-15"""
+    e = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("enqueue", "enqueue", "claim", "claim", "beat", "beat", "finish", "fail", "cancel")))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.get(kinds, (e % 9).cast("int")).alias("kind"), (e % 5 + 1).alias("task"), (e % 3 != 2).alias("right"), (e % 4 > 0).alias("text"))
+
+    class Reports(stateful.Jobs):
+        """News names its attempt as right or wrong, as the table has no attempts."""
 
-    def step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
-        stale = int(row["event_id"]) % 3 == 0
-        return folds.queue_step(state, row | {"attempt": state[1] - stale})
+        def step(self, state: dict, row: dict) -> list[dict]:
+            job = state["jobs"].get(str(row["task"]))
+            return super().step(state, row | {"attempt": job["attempt"] - (not row["right"]) if job else 0})
 
-    kind = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "finish").otherwise("fail")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"), F.lit(1).cast("long").alias("task"))
-    out = folds.fold_batch(rows, "user_id", ["event_id"], step, (-1, 0, 0), "user_id long, event_id long, state string, task long, attempt long")
-    return out.select("user_id", "event_id", "state")
+    return stateful.over_table(rows, "user_id", "ts", ["event_id"], Reports(86400000))
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 6 = 0 AS restart, CASE WHEN event_id % 24 = 6 THEN NULL ELSE event_id % 5000 END AS seen, event_id % 97 AS size,
+      CASE WHEN event_id % 60 = 12 THEN 'other' ELSE 'own' END AS identity, CASE event_id % 10 WHEN 3 THEN -1 WHEN 4 THEN 1 ELSE 0 END AS off FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS result, NULL::VARCHAR AS s_id, 0::BIGINT AS s_n, 0::BIGINT AS s_a, 0::BIGINT AS s_z, NULL::BIGINT AS n, 0::BIGINT AS z, NULL::BIGINT AS o_n, NULL::BIGINT AS o_a, NULL::BIGINT AS o_z FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL SELECT user_id, k, event_id, result, CASE WHEN result = 'prepared' AND s_id IS NULL THEN identity ELSE s_id END, CASE WHEN result = 'appended' THEN n + 1 ELSE s_n END, CASE WHEN result = 'appended' THEN z ELSE s_a END, CASE WHEN result = 'appended' THEN z + size ELSE s_z END,
+        CASE result WHEN 'prepared' THEN greatest(0, s_n - 1) WHEN 'appended' THEN n + 1 ELSE n END, CASE result WHEN 'prepared' THEN s_a WHEN 'appended' THEN z + size ELSE z END,
+        CASE result WHEN 'prepared' THEN greatest(0, s_n - 1) WHEN 'appended' THEN n + 1 END, CASE result WHEN 'prepared' THEN s_a WHEN 'appended' THEN z END, CASE result WHEN 'prepared' THEN s_a WHEN 'appended' THEN z + size END
+      FROM (SELECT e.*, f.s_id, f.s_n, f.s_a, f.s_z, f.n, f.z, CASE WHEN restart THEN CASE WHEN f.s_id IS NULL THEN CASE WHEN coalesce(seen, 0) > 0 THEN 'no_checkpoint' ELSE 'prepared' END WHEN f.s_id <> identity THEN 'other_session'
+          WHEN coalesce(seen, 0) < f.s_a OR (f.s_n > 0 AND seen IS NULL) THEN 'shorter' ELSE 'prepared' END
+        WHEN f.n IS NULL OR e.off <> 0 OR size = 0 OR f.n >= 40 THEN 'refused' ELSE 'appended' END AS result FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+    SELECT user_id, event_id, result, o_n AS fragment, o_a AS start, o_z AS stop FROM f WHERE result IS NOT NULL
+""")
+def append_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-06"""
+    e = F.col("event_id")
+    restart = e % 6 == 0
+    rows = table(spark, sf_dir, "events").select(
+        "user_id",
+        "event_id",
+        "ts",
+        F.when(restart, "restart").otherwise("append").alias("kind"),
+        F.when(restart, F.when(e % 24 != 6, e % 5000)).otherwise(e % 97).alias("size"),
+        F.when(e % 60 == 12, "other").otherwise("own").alias("identity"),
+        F.when(e % 10 == 3, -1).when(e % 10 == 4, 1).otherwise(0).alias("off"),
+    )
+
+    class Offsets(stateful.Appends):
+        """Fragments are told as the next one plus an offset, as the table has no numbers."""
+
+        def step(self, state: dict, row: dict) -> list[dict]:
+            return super().step(state, row | {"fragment": (state["fragment"] or 0) + 1 + row["off"]})
+
+    return stateful.over_table(rows, "user_id", "ts", ["event_id"], Offsets(40))

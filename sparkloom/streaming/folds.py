@@ -1,6 +1,6 @@
 """Ordered folds: the same step function over a batch and inside a stateful stream.
 
-A fold's state belongs to one key. In batch, a key's rows are folded in event order in one grouped pass; in a stream, each
+A fold's state belongs to one key. In batch, a key's rows are folded in event order in one sorted pass; in a stream, each
 micro-batch continues from the stored state, so both give the same rows for the same input.
 """
 
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 Step = Callable[[tuple, dict], tuple[tuple, dict | None]]
 
@@ -20,18 +23,31 @@ Step = Callable[[tuple, dict], tuple[tuple, dict | None]]
 FLUSH_BYTES, FLUSH_SEGMENTS, FLUSH_SECONDS = 8 << 20, 12, 30.0
 
 
+def from_ddl(schema: str) -> pa.Schema:
+    """The Arrow schema of a DDL string."""
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def fold_batch(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, schema: str) -> DataFrame:
-    """Apply a step to each key's rows in order; ``schema`` is that of the key and the emitted rows."""
+    """Apply a step to each key's rows in order; ``schema`` is that of the key and the emitted rows.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = start, []
-        for row in rows.sort_values(order, kind="stable").to_dict("records"):
-            state, made = step(state, row)
-            if made is not None:
-                out.append(made)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+    Rows stream through a task in key order: it holds one state, however many rows a key has.
+    """
+    kinds = from_ddl(schema)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, start
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if now != (row[key],):
+                    now, state = (row[key],), start
+                state, made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, start: tuple, state_schema: str, schema: str) -> DataFrame:
@@ -64,24 +80,6 @@ def flush_step(key: str, id_: str, size: str, seconds: str) -> tuple[Step, tuple
     return step, (0, 0, 0, 0.0), "number long, n long, bytes long, seconds double", f"{key} long, batch long, last_id long, segments long, bytes long, seconds double"
 
 
-def queue_step(state: tuple, row: dict) -> tuple[tuple, dict | None]:
-    """STM-09: one event of a queue with a single worker. A claim fences later events of older attempts.
-
-    State: (active task, its attempt, claims so far). Events: claim, finish and fail carry the task and the attempt that
-    they believe in; an event of another attempt is stale and ignored.
-    """
-    active, attempt, claims = state
-    kind, task, believed = row["kind"], int(row["task"]), int(row["attempt"])
-    if kind == "claim":
-        if active >= 0:
-            return state, None
-        claims += 1
-        return (task, claims, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "claimed", "task": task, "attempt": claims}
-    if active != task or believed != attempt:
-        return state, None
-    return (-1, attempt, claims), {"user_id": row["user_id"], "event_id": row["event_id"], "state": "completed" if kind == "finish" else "failed", "task": task, "attempt": attempt}
-
-
 #: Stages that a progress report or an older stage line may name (fixed values).
 STAGES = ("source", "scan", "probe", "ocr", "restoring", "remux", "validate", "complete")
 
