@@ -124,16 +124,6 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", media.mime_type(media.extension(url)).alias("mime"), media.image_kind(head).alias("kind"))
 
 
-@query("""
-    SELECT page_id, CASE page_id % 4 WHEN 0 THEN ['7', '2', '3'] END AS page FROM pages
-""")
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-02, STR-03, STR-04, STR-05, PRJ-18"""
-    urls = cases("https://WWW.Site.tv:443/play/7-2-3.html?t=1", "http://site.tv/play/7-2-3.html", "https://user@site.tv/play/7-2-3.html", "https://site.tv:8443/play/7-2-3.html")
-    page = media.site_page(pick(urls, F.col("page_id") % 4), ["site.tv", "www.site.tv"], r"^/play/(\d+)-(\d+)-(\d+)\.html$")
-    return table(spark, sf_dir, "pages").select("page_id", page.alias("page"))
-
-
 @query("""
     SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1500000 WHEN 1 THEN 500 WHEN 5 THEN 1000 END::BIGINT AS rate FROM part
 """)

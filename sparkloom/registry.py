@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import catalogue, evidence, media, rules, tasks  # noqa: F401  they register their queries
+    from .plans import catalogue, evidence, media, rules, tasks, webpages  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

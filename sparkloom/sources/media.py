@@ -144,13 +144,6 @@ def default_choice(is_image: Column, wants_audio: Column, cap: Column) -> Column
     return F.when(is_image, "IMAGE").when(wants_audio, "AUDIO").when(cap.isNull(), "BEST").otherwise("CAPPED")
 
 
-def site_page(url: Column, hosts: list[str], path: str) -> Column:
-    """Groups of a page's path on an HTTPS site without user info or a foreign port; null if it is not one of them."""
-    host = F.lower(F.regexp_extract(url, r"^(?i:https)://([^/?#@:]+)(?::443)?(?:[/?#]|$)", 1))
-    raw = F.regexp_extract(url, r"^(?i:https)://[^/?#@:]+(?::443)?([^?#]*)", 1)
-    return F.when(host.isin(*hosts) & F.rlike(raw, F.lit(path)), F.array(*(F.regexp_extract(raw, path, i + 1) for i in range(path.count("(") - path.count("(?")))))
-
-
 def rate(amount: Column, unit: Column) -> Column:
     """Bytes a second of a decimal amount and a unit size; null for fractions of a byte, zero, overflow and bad numbers."""
     plain = F.replace(F.trim(amount), F.lit(","), F.lit("."))
