@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,7 +97,45 @@ def exclusive_time(spans: DataFrame, key: str) -> DataFrame:
     return inner.groupBy(key, "category").agg(F.sum(F.col("hi") - F.col("lo")).alias("seconds"))
 
 
-def ordered_digest(rows: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    """(key, n, digest): SHA-256 over a group's values in order, each ended by a newline."""
-    listed = F.sort_array(F.collect_list(F.struct(*order, value.alias("value"))))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), listed.alias("rows")).select(key, "n", F.sha2(F.concat(F.array_join(F.transform("rows", lambda r: r["value"]), "\n"), F.lit("\n")), 256).alias("digest"))
+def ordered_digest(rows: DataFrame, key: str, order: list[str], value: Column, prefix: int = 4096, around: tuple[str, str, str] = ("", "\n", "\n")) -> DataFrame:
+    """(key, n, digest, kept, kept_digest): SHA-256 over a group's values in order, and over its first ``prefix`` ones.
+
+    ``around``: what stands before all values, between two of them, and after the last. With ("[", ",", "]") and canonical JSON
+    as values this is the digest of their canonical array. Rows stream through a task in order; it holds two digests, however
+    large a group is. A digest is sequential, so one group is one task's work. Null values count as empty.
+    """
+    head, between, tail = (x.encode() for x in around)
+    kind = dict(rows.dtypes)[key]
+    schema = f"{key} {kind}, n long, digest string, kept long, kept_digest string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, whole, first = None, 0, None, None
+        names = [key, "n", "digest", "kept", "kept_digest"]
+
+        def close() -> tuple:
+            whole.update(tail)
+            if n <= prefix:
+                first.update(tail)
+            return (now[0], n, whole.hexdigest(), min(n, prefix), first.hexdigest())
+
+        for b in batches:
+            done = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if now != (k,):
+                    if now is not None:
+                        done.append(close())
+                    now, n, whole, first = (k,), 0, hashlib.sha256(head), hashlib.sha256(head)
+                part = (between if n else b"") + v.encode()
+                n += 1
+                whole.update(part)
+                if n <= prefix:
+                    first.update(part)
+                elif n == prefix + 1:
+                    first.update(tail)
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate([b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string()])], names)
+        if now is not None:
+            d = close()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(d, [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string()], strict=True)], names)
+
+    columns = rows.select(key, *(F.col(c) for c in order if c != key), F.coalesce(value, F.lit("")).alias("_value"))
+    return columns.repartition(key).sortWithinPartitions(key, *(c for c in order if c != key)).mapInArrow(run, schema)

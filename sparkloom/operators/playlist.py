@@ -48,43 +48,49 @@ def candidates(regions_: DataFrame, key: str, most: float = MOST_SECONDS) -> Dat
     return a.join(z, near).select(key, "first_region", "last_region", (F.col("sum") - F.col("before")).alias("seconds"), "first_segment", "last_segment")
 
 
-def select_disjoint(scored: DataFrame, key: str, threshold: float = 55.0) -> DataFrame:
-    """Add ``selection``: passing rows by descending score, shorter first, take what no earlier choice overlaps.
+def select_disjoint(scored: DataFrame, key: str, threshold: float = 55.0, known: DataFrame | None = None) -> DataFrame:
+    """Add ``selection`` and ``blocked``: passing rows by descending score, shorter first, take what no earlier choice overlaps.
 
-    Choices depend on each other only within a stretch of overlapping passing rows, so these stretches are the groups:
-    a key's rows are split wherever no row crosses.
+    ``known``: (key, first_region, last_region, first_segment, last_segment) of groups that are taken before all others; they give no
+    rows. ``blocked`` lists the regions of the choices that a row overlaps, in the order in which they were made. Choices depend on each
+    other only within a stretch of overlapping passing rows and known groups, so these stretches are the groups: a
+    key's rows are split wherever no row crosses.
     """
-    passing = (F.col("valid") & (F.col("score") >= threshold)).alias("passing")
-    rows = scored.withColumn("passing", passing)
+    names = scored.columns
+    spans = "array<struct<first_region:bigint,last_region:bigint>>"
+    rows = scored.withColumn("passing", F.coalesce(F.col("valid") & (F.col("score") >= threshold), F.lit(False)))
+    passing = rows.where("passing").drop("passing").withColumn("known", F.lit(False))
+    if known is not None:
+        passing = passing.unionByName(known.select(key, "first_region", "last_region", "first_segment", "last_segment").withColumn("known", F.lit(True)), allowMissingColumns=True)
     w = W.partitionBy(key).orderBy("first_segment", "last_segment").rowsBetween(W.unboundedPreceding, -1)
     begins = (F.col("first_segment") > F.coalesce(F.max("last_segment").over(w), F.lit(-1))).cast("int")
-    grouped = rows.where("passing").withColumn("begins", begins)
-    grouped = grouped.withColumn("island", F.sum("begins").over(W.partitionBy(key).orderBy("first_segment", "last_segment"))).drop("begins", "passing")
-
+    grouped = passing.withColumn("begins", begins)
+    grouped = grouped.withColumn("island", F.sum("begins").over(W.partitionBy(key).orderBy("first_segment", "last_segment"))).drop("begins")
     grouped = grouped.withColumn("alone", F.count("*").over(W.partitionBy(key, "island")) == 1)
-    alone = grouped.where("alone").drop("alone", "island").withColumn("selection", F.lit("selected"))
-
-    names = scored.columns
+    none = F.array().cast(spans)
+    alone = grouped.where("alone AND NOT known").select(*names, F.lit("selected").alias("selection"), none.alias("blocked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive by island and rank, so one island's choices are held at a time."""
         now, taken = None, []
         for b in batches:
-            out = []
-            for k, island, a, z in zip(*(b.column(n).to_pylist() for n in (key, "island", "first_segment", "last_segment")), strict=True):
+            out, hits = [], []
+            own = b.column("known").to_pylist()
+            for k, island, a, z, r, s, there in zip(*(b.column(n).to_pylist() for n in (key, "island", "first_segment", "last_segment", "first_region", "last_region")), own, strict=True):
                 if now != (k, island):
                     now, taken = (k, island), []
-                free = all(z < x or a > y for x, y in taken)
-                if free:
-                    taken.append((a, z))
-                out.append("selected" if free else "overlapped")
-            kept = b.select(names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*names, "selection"])
+                hit = [] if there else [{"first_region": t[2], "last_region": t[3]} for t in taken if not (z < t[0] or a > t[1])]
+                if not hit:
+                    taken.append((a, z, r, s))
+                out.append("overlapped" if hit else "selected")
+                hits.append(hit)
+            kept = pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(out, pa.string()), pa.array(hits, pa.list_(pa.struct([("first_region", pa.int64()), ("last_region", pa.int64())])))], names=[*names, "selection", "blocked"])
+            yield kept.filter(pa.array([not x for x in own]))
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in scored.schema]
-    ranked = grouped.where("NOT alone").repartition(key, "island").sortWithinPartitions(key, "island", F.desc("score"), "seconds", "first_region", "last_region")
-    chosen = ranked.mapInArrow(run, ", ".join([*fields, "selection string"])).unionByName(alone)
-    return chosen.unionByName(rows.where(~F.coalesce("passing", F.lit(False))).drop("passing").withColumn("selection", F.lit("unknown")))
+    ranked = grouped.where("NOT alone").repartition(key, "island").sortWithinPartitions(key, "island", F.desc("known"), F.desc("score"), "seconds", "first_region", "last_region")
+    chosen = ranked.mapInArrow(run, ", ".join([*fields, "selection string", f"blocked {spans}"])).unionByName(alone)
+    return chosen.unionByName(rows.where("NOT passing").select(*names, F.lit("unknown").alias("selection"), none.alias("blocked")))
 
 
 def keep_some(selected: DataFrame, key: str, total: Column) -> DataFrame:

@@ -149,6 +149,25 @@ SELECT_SQL = f"""
 """
 
 
+@query(f"""
+    {SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1)},
+    known AS (SELECT l_orderkey, first_region, last_region, first_segment, last_segment FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY last_region DESC, first_region) AS k FROM scored) WHERE k = 1 AND l_orderkey % 3 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, seconds, first_region, last_region) AS k FROM scored WHERE valid AND score >= 55),
+    pick AS (SELECT s.l_orderkey, 0::BIGINT AS k, CASE WHEN k.l_orderkey IS NULL THEN [] ELSE [[k.first_segment, k.last_segment, k.first_region, k.last_region]] END AS taken, NULL::BOOLEAN AS chosen, NULL::VARCHAR AS blocked FROM (SELECT DISTINCT l_orderkey FROM scored) s LEFT JOIN known k USING (l_orderkey)
+        UNION ALL SELECT l_orderkey, k, CASE WHEN len(hit) = 0 THEN list_append(taken, [first_segment, last_segment, first_region, last_region]) ELSE taken END, len(hit) = 0, array_to_string(list_transform(hit, lambda x: x[3] || '-' || x[4]), ',')
+        FROM (SELECT r.*, p.taken, list_filter(p.taken, lambda x: x[1] <= r.last_segment AND r.first_segment <= x[2]) AS hit FROM pick p JOIN ranked r ON r.l_orderkey = p.l_orderkey AND r.k = p.k + 1) r)
+    SELECT s.l_orderkey, s.first_region, s.last_region, CASE WHEN p.chosen IS NULL THEN 'unknown' WHEN p.chosen THEN 'selected' ELSE 'overlapped' END AS selection, coalesce(p.blocked, '') AS blocked
+    FROM scored s LEFT JOIN ranked r USING (l_orderkey, first_region, last_region) LEFT JOIN pick p ON p.l_orderkey = r.l_orderkey AND p.k = r.k
+""")
+def candidate_select_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-18, SC-11: known groups are there first, and each row names the choices that it overlaps"""
+    scored = scored_candidates(spark, sf_dir)
+    last = W.partitionBy("l_orderkey").orderBy(F.desc("last_region"), "first_region")
+    known = scored.where("l_orderkey % 3 = 0").withColumn("k", F.row_number().over(last)).where("k = 1").select("l_orderkey", "first_region", "last_region", "first_segment", "last_segment")
+    chosen = playlist.select_disjoint(scored, "l_orderkey", known=known)
+    return chosen.select("l_orderkey", "first_region", "last_region", "selection", F.array_join(F.transform("blocked", lambda x: F.concat_ws("-", x["first_region"], x["last_region"])), ",").alias("blocked"))
+
+
 @query(SELECT_SQL)
 def candidate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-18, SC-11"""
@@ -167,8 +186,8 @@ def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    {CANDIDATES_SQL} SELECT c.l_orderkey, c.first_region, c.last_region, b.seconds AS before_seconds, a.seconds AS after_seconds FROM cand c
-    LEFT JOIN regions b ON b.l_orderkey = c.l_orderkey AND b.region = c.first_region - 1 LEFT JOIN regions a ON a.l_orderkey = c.l_orderkey AND a.region = c.last_region + 1
+    {CANDIDATES_SQL}, c AS MATERIALIZED (SELECT l_orderkey, first_region, last_region, first_region - 1 AS b, last_region + 1 AS a FROM cand), r AS MATERIALIZED (SELECT l_orderkey, region, seconds FROM regions)
+    SELECT c.l_orderkey, c.first_region, c.last_region, b.seconds AS before_seconds, a.seconds AS after_seconds FROM c LEFT JOIN r b ON b.l_orderkey = c.l_orderkey AND b.region = c.b LEFT JOIN r a ON a.l_orderkey = c.l_orderkey AND a.region = c.a
 """)
 def candidate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-05"""
@@ -282,7 +301,20 @@ def rectangle_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-09, SRC-20"""
-    return features.ordered_digest(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.sha2(F.coalesce("text", F.lit("")), 256))
+    return features.ordered_digest(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.sha2(F.coalesce("text", F.lit("")), 256)).select("conv_id", "n", "digest")
+
+
+@query(f"""
+    {CANDIDATES_SQL}, described AS (SELECT *, '{{"duration_seconds":' || seconds || ',"region_indices":' || replace(range(first_region, last_region + 1)::VARCHAR, ' ', '') || ',"segment_indices":' || replace(range(first_segment, last_segment + 1)::VARCHAR, ' ', '') || '}}' AS d,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY first_region, last_region) AS k FROM cand)
+    SELECT l_orderkey, count(*) AS candidates, sha256('[' || string_agg(d, ',' ORDER BY k) || ']') AS digest, least(count(*), 20) AS kept, sha256('[' || string_agg(d, ',' ORDER BY k) FILTER (k <= 20) || ']') AS kept_digest FROM described GROUP BY l_orderkey
+""")
+def population_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: the candidates of one playlist as a canonical array under one digest, with a prefix that is kept"""
+    listed = lambda a, z: F.concat(F.lit("["), F.array_join(F.sequence(F.col(a), F.col(z)).cast("array<string>"), ","), F.lit("]"))
+    text = F.concat(F.lit('{"duration_seconds":'), F.col("seconds").cast("string"), F.lit(',"region_indices":'), listed("first_region", "last_region"), F.lit(',"segment_indices":'), listed("first_segment", "last_segment"), F.lit("}"))
+    found = features.ordered_digest(order_candidates(spark, sf_dir), "l_orderkey", ["first_region", "last_region"], text, 20, ("[", ",", "]"))
+    return found.withColumnRenamed("n", "candidates")
 
 
 @query("""

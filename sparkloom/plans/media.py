@@ -274,13 +274,6 @@ def retained_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(items.where("l_quantity > 45"), "o_orderkey", "left_semi").join(items.where("l_returnflag = 'R'"), "o_orderkey", "left_anti")
 
 
-@query("SELECT l_orderkey, count(*) AS candidates, sha256('[' || string_agg(l_partkey || ':' || l_suppkey, ',' ORDER BY l_partkey, l_suppkey) || ']') AS digest FROM lineitem GROUP BY l_orderkey")
-def population_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-10: the candidates of one playlist in canonical order, under one digest"""
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey"))), lambda x: F.concat_ws(":", x["l_partkey"], x["l_suppkey"])), ",")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("candidates"), F.sha2(F.concat(F.lit("["), listed, F.lit("]")), 256).alias("digest"))
-
-
 def check_uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     """SRC-03: keys that occur more than once."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
