@@ -7,6 +7,7 @@ those that were read. The constants are fixed values of the score's definition.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
@@ -75,31 +76,45 @@ def unit_box(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.when((width > 0) & (height > 0) & (box[2] > box[0]) & (box[3] > box[1]), F.struct(*(b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True))))
 
 
+def frame_observations(observations: DataFrame, id_: str = "id") -> DataFrame:
+    """AUX-06: what is read of each frame (id, time): its first observations by ``nth``, without those that say nothing.
+
+    Of (nth, text, confidence, x, y, width, height) the first 64 of a frame are looked at; a missing text, a confidence that is not
+    within 0 and 1 and a blank text drop out. Adds ``q``, the normalised text, ``box``, the part within the image, and ``missing`` for a
+    box that has none. Without a column ``nth`` all are looked at.
+    """
+    o = observations
+    if "nth" in o.columns:
+        o = o.withColumn("at", F.row_number().over(W.partitionBy(id_, "time").orderBy("nth"))).where(F.col("at") <= MOST_OBSERVATIONS).drop("at")
+    o = o.where("text IS NOT NULL AND confidence BETWEEN 0 AND 1").withColumns({"q": F.sqrt("confidence"), "text": normalize_text(F.substring("text", 1, MOST_CHARACTERS)), "n": F.monotonically_increasing_id()})
+    o = o.where(F.trim("text") != "").withColumn("box", unit_box(F.col("x"), F.col("y"), F.col("width"), F.col("height")))
+    return o.withColumn("missing", F.when(F.col("box").isNull(), "missing_or_invalid_unit_image_geometry"))
+
+
 def text_frames(observations: DataFrame, outside: DataFrame, id_: str = "id") -> DataFrame:
-    """(id, time, domain, semantic, programme, p, large, edge) of each frame of (id, time, text, confidence, x, y, width, height).
+    """(id, time, domain, semantic, programme, p, large, edge, invalid) of each frame of (id, time, text, confidence, x, y, width, height).
 
-    ``outside`` holds (id, domain, quality) of domains that the neighbouring programme shows: they count half as new.
+    ``outside`` holds (id, domain, quality) of domains that the neighbouring programme shows: they count half as new. ``invalid``
+    counts the observations whose box is not within the image.
     """
-    o = observations.where("confidence BETWEEN 0 AND 1").withColumns({"q": F.sqrt("confidence"), "text": normalize_text(F.substring("text", 1, MOST_CHARACTERS)), "n": F.monotonically_increasing_id()})
-    o = o.where(F.trim("text") != "")
+    o = frame_observations(observations, id_)
     o = o.withColumns({"domains": F.array_distinct(F.regexp_extract_all("text", F.lit(DOMAIN), F.lit(0))), "promo": lexicon_quality(F.col("text"), "promotion"), "show": lexicon_quality(F.col("text"), "programme")})
     known = outside.groupBy(id_, "domain").agg(F.max("quality").alias("seen"))
     new = o.select(id_, "time", "q", F.explode("domains").alias("domain")).join(known, [id_, "domain"], "left")
     new = new.groupBy(id_, "time").agg(F.max(F.col("q") * (1 - 0.5 * F.coalesce("seen", F.lit(0.0)))).alias("domain"))
-    box = unit_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    o = o.withColumn("box", box)
     area = lambda a, b, c, d: F.greatest(c - a, F.lit(0.0)) * F.greatest(d - b, F.lit(0.0))
     b = {n: F.col(f"box.{n}") for n in ("x0", "y0", "x1", "y1")}
     middle = area(F.greatest(b["x0"], F.lit(0.2)), F.greatest(b["y0"], F.lit(0.25)), F.least(b["x1"], F.lit(0.8)), F.least(b["y1"], F.lit(0.75)))
-    large = F.col("q") * clamp((b["y1"] - b["y0"]) / 0.12) * clamp(middle / area(*b.values()))
-    frames = o.groupBy(id_, "time").agg(F.max(F.col("q") * F.col("promo")).alias("semantic"), F.max(F.col("q") * F.col("show")).alias("programme"), F.coalesce(F.max(large), F.lit(0.0)).alias("large"))
+    # clamp() passes over nulls, so a box without a place is asked for first
+    large = F.when(F.col("box").isNotNull(), F.col("q") * clamp((b["y1"] - b["y0"]) / 0.12) * clamp(F.try_divide(middle, area(*b.values()))))
+    frames = o.groupBy(id_, "time").agg(F.max(F.col("q") * F.col("promo")).alias("semantic"), F.max(F.col("q") * F.col("show")).alias("programme"), F.coalesce(F.max(large), F.lit(0.0)).alias("large"), F.count("missing").alias("invalid"))
     weight = F.col("q") * F.greatest((F.size("domains") > 0).cast("double"), F.col("promo") * F.col("promo"))
     rects = o.where("box IS NOT NULL").select(F.struct(id_, "time").alias("f"), *(c.alias(n) for n, c in b.items()), weight.alias("weight"))
     union = rect_union(rects, "f").withColumnRenamed("area", "whole")
     top = rects.withColumn("y1", F.least("y1", F.lit(0.2)))
     bottom = rects.withColumn("y0", F.greatest("y0", F.lit(0.8)))
     edges = rect_union(top, "f").unionByName(rect_union(bottom, "f")).groupBy("f").agg(F.sum("area").alias("edge"))
-    share = union.join(edges, "f", "left").select(F.col(f"f.{id_}").alias(id_), F.col("f.time").alias("time"), clamp(F.coalesce("edge", F.lit(0.0)) / F.col("whole")).alias("edge"))
+    share = union.join(edges, "f", "left").select(F.col(f"f.{id_}").alias(id_), F.col("f.time").alias("time"), clamp(F.coalesce(F.try_divide(F.coalesce("edge", F.lit(0.0)), F.col("whole")), F.lit(0.0))).alias("edge"))
     frames = frames.join(new, [id_, "time"], "left").join(share, [id_, "time"], "left").na.fill(0.0, ["domain", "edge"])
     return frames.withColumn("p", 0.65 * F.col("domain") + 0.35 * F.col("semantic"))
 

@@ -171,6 +171,64 @@ def ad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", r6("score").alias("score"), "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 2).alias("pruned"))
 
 
+#: Documents as cases: seams and loudness from their numbers, frames from their texts, some with words that speak for either side.
+def _best(terms: str) -> str:
+    words = ", ".join(f"'{t}'" for t in scoring.LEXICON[terms])
+    return f"greatest(0, least(1, (coalesce(list_max(list_transform(w, lambda x: list_max(list_transform([{words}], lambda t: CASE WHEN x = t THEN 1.0 ELSE 1 - levenshtein(x, t)::DOUBLE / greatest(length(x), length(t)) END)))), 0.0) - 0.5) / 0.5))"
+
+
+SCORES = f"""
+    observed AS (SELECT doc_id AS id, 1 + 4 * j AS time, i, regexp_replace(substr(coalesce(text, ''), (1 + 40 * (2 * j + i))::INT, 40), '[^ -~]|[.]', ' ', 'g') || CASE (doc_id + 3 * j + i) % 7 WHEN 0 THEN ' shop' || (doc_id % 50) || '.example.com' WHEN 1 THEN ' Register bonus' WHEN 2 THEN ' elenco' WHEN 3 THEN ' kasino' ELSE '' END AS t,
+        (doc_id + 3 * j + i) % 7 = 0 AS named, CASE (doc_id + j + i) % 9 WHEN 8 THEN 1.5 WHEN 7 THEN 0.25 WHEN 6 THEN 0.64 ELSE 1.0 END::DOUBLE AS confidence, i * 0.5::DOUBLE AS x0, CASE (doc_id + j) % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.0 ELSE 0.35 END::DOUBLE AS y0, CASE WHEN (doc_id + i) % 11 = 5 THEN -1.0 ELSE 0.5 END::DOUBLE AS width, 0.1 + 0.05 * (doc_id % 3)::DOUBLE AS height
+      FROM documents, (SELECT unnest(range(3)) AS j), (SELECT unnest(range(2)) AS i)),
+    read AS (SELECT *, sqrt(confidence) AS q, regexp_extract_all(lower(t), '[a-z]+') AS w, least(x0 + width, 1.0) AS x1, least(y0 + height, 1.0) AS y1, width > 0 AS fits FROM observed WHERE confidence BETWEEN 0 AND 1 AND trim(t) <> ''),
+    judged AS (SELECT *, {_best("promotion")} AS promo, {_best("programme")} AS own FROM read),
+    weighed AS (SELECT *, q * greatest(named::INT, promo * promo) AS weight, q * least(1, (y1 - y0) / 0.12) * greatest(0, least(x1, 0.8) - greatest(x0, 0.2)) * greatest(0, least(y1, 0.75) - greatest(y0, 0.25)) / ((x1 - x0) * (y1 - y0)) AS big FROM judged),
+    frames AS (SELECT id, time, max(CASE WHEN named THEN q * (1 - CASE WHEN id % 3 = 0 THEN 0.25 ELSE 0 END) ELSE 0 END) AS domain, max(q * promo) AS semantic, max(q * own) AS programme, coalesce(max(CASE WHEN fits THEN big END), 0) AS large, count(*) FILTER (NOT fits) AS invalid,
+        coalesce(sum(CASE WHEN fits THEN weight * (x1 - x0) * (greatest(0, least(y1, 0.2) - y0) + greatest(0, y1 - greatest(y0, 0.8))) END) / nullif(sum(CASE WHEN fits THEN weight * (x1 - x0) * (y1 - y0) END), 0), 0) AS edge FROM weighed GROUP BY id, time),
+    texts AS (SELECT id, sum(domain) / 3 AS domain, sum(semantic) / 3 AS semantic, sum(programme) / 3 AS programme, sum(large) / 3 AS large, sum(20 * (0.65 * domain + 0.35 * semantic) * least(1, edge) * (1 - large)) / 3 AS o, sum(invalid) AS invalid FROM frames GROUP BY id),
+    seams AS (SELECT doc_id AS id, (doc_id % 11) / 50.0::DOUBLE AS joined, least((doc_id % 7) / 25.0::DOUBLE, (doc_id % 5) / 20.0::DOUBLE) AS seam, greatest((doc_id % 3) / 100.0::DOUBLE, (doc_id % 2) / 50.0::DOUBLE) AS base, doc_id % 13 <> 4 AS contexts, greatest(0, least(1, 20 * log10(1 + doc_id % 6) / 12)) AS gain, doc_id % 8 <> 3 AS valid FROM documents),
+    parts AS (SELECT *, greatest(0, least(1, 1 - joined / greatest(seam, 1 / 255))) AS strength, least(1, seam / (4 / 255)) AS contrast, least(1, base / (1 / 255)) / (1 + joined / greatest(4 * base, 2 / 255)) AS temporal FROM seams),
+    cases AS (SELECT id, CASE WHEN contexts THEN 20 * strength * contrast + 5 * contrast + 15 * temporal * contrast ELSE 0 END AS s, 25 * gain AS a, valid FROM parts),
+    summed AS (SELECT c.*, coalesce(o, 0) AS o, coalesce(invalid, 0)::BIGINT AS invalid, 25 * (0.65 * least(1, coalesce(domain, 0)) + 0.35 * least(1, coalesce(semantic, 0))) AS p, 40 * least(1, coalesce(programme, 0)) AS m, coalesce(large, 0) AS large FROM cases c LEFT JOIN texts USING (id)),
+    total AS (SELECT *, greatest(0, least(100, s + a + least(60, p + 50 * large) - o - m)) AS score FROM summed)
+"""
+
+
+@query(f"WITH {SCORES} SELECT id AS doc_id, round(s, 6) AS s, round(a, 6) AS a, round(p, 6) AS p, round(o, 6) AS o, round(m, 6) AS programme, round(score, 6) AS score, CASE WHEN valid AND score >= 55 THEN 'candidate' ELSE 'unknown' END AS decision, s + a + 50 + 2 < 55 AS pruned, invalid FROM total")
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-01 to SC-07, AGG-08, AGG-11, AUX-06, STR-16, STR-17, STR-19, NUM-02, NUM-03"""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    d, j, i = F.col("id"), F.col("j"), F.col("i")
+    grid = docs.withColumn("j", F.explode(F.array(*map(F.lit, range(3))))).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    shop = F.concat(F.lit("shop"), (d % 50).cast("string"), F.lit(".example.com"))
+    kind = (d + 3 * j + i) % 7
+    word = F.when(kind == 0, F.concat(F.lit(" "), shop)).when(kind == 1, " Register bonus").when(kind == 2, " elenco").when(kind == 3, " kasino").otherwise("")
+    said = F.regexp_replace(F.substr("text", (1 + 40 * (2 * j + i)).cast("int"), F.lit(40)), "[^ -~]|[.]", " ")
+    sure = (d + j + i) % 9
+    seen = grid.select(
+        "id",
+        (1.0 + 4 * j).alias("time"),
+        i.alias("nth"),
+        F.concat(said, word).alias("text"),
+        F.when(sure == 8, 1.5).when(sure == 7, 0.25).when(sure == 6, 0.64).otherwise(1.0).alias("confidence"),
+        (i * 0.5).alias("x"),
+        F.when((d + j) % 4 == 0, 0.85).when((d + j) % 4 == 1, 0.0).otherwise(0.35).alias("y"),
+        F.when((d + i) % 11 == 5, -1.0).otherwise(0.5).alias("width"),
+        (0.1 + 0.05 * (d % 3)).alias("height"),
+    )
+    outside = docs.where("id % 3 = 0").select("id", shop.alias("domain"), F.lit(0.5).alias("quality"))
+    side = (F.lit(100.0), F.lit(200.0))
+    silent = (F.when(d % 4 == 1, 0.0).otherwise(100.0), F.lit(200.0))
+    s = scoring.scene_points((d % 11) / 50, (d % 7) / 25, (d % 5) / 20, [(d % 3) / 100, (d % 2) / 50], d % 13 != 4)
+    a = scoring.audio_points(100.0 * (1 + d % 6), F.lit(1000.0), [side, silent])
+    cases = docs.select("id", s.alias("s"), a.alias("a"), (d % 8 != 3).alias("valid"))
+    frames = scoring.text_frames(seen, outside)
+    scored = scoring.score(cases, frames).join(frames.groupBy("id").agg(F.sum("invalid").alias("invalid")), "id", "left")
+    rounded = [r6(c).alias(c) for c in ("s", "a", "p", "o", "programme", "score")]
+    return scored.select(F.col("id").alias("doc_id"), *rounded, "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 3, -8.0).alias("pruned"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+
+
 #: Events as news of a queue of five jobs: the attempt that a report names is right in two of three cases.
 _JOBS = """
     e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_ms(ts) AS t, event_id % 5 + 1 AS task, event_id % 3 AS off, event_id % 4 > 0 AS text,
