@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import journal, payloads
+from ..operators import journal, payloads, retained
 from ..registry import query
 from .catalogue import table
 
@@ -178,3 +178,62 @@ def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, candidates, jobs = journals(spark, sf_dir)
     usable = journal.checked(records, candidates, jobs).where("usable").select("key", "ordinal")
     return usable.join(candidates, ["key", "ordinal"]).select(F.col("key").alias("user_id"), "event_id")
+
+
+# Kept media: orders as files, their lineitems as packets of two streams, with a receipt that is damaged in one way or another
+
+MEDIA = """
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem),
+    packets AS (SELECT l_orderkey AS key, CASE WHEN i % 2 = 1 THEN 'video' ELSE 'audio' END AS kind, i AS position, l_quantity::BIGINT AS size, sha256(l_partkey || ':' || l_suppkey) AS digest, i * 2 AS pts, CASE WHEN l_orderkey % 23 = 5 AND i = 3 THEN 0 ELSE i END AS dts FROM numbered),
+    rel AS (SELECT *, pts - min(pts) OVER (PARTITION BY key, kind) AS p, dts - min(dts) OVER (PARTITION BY key, kind) AS d FROM packets),
+    prints AS (SELECT key, kind, sum(size)::BIGINT AS amount, sha256(string_agg(digest, chr(10) ORDER BY position) || chr(10)) AS sha FROM packets GROUP BY ALL
+      UNION ALL SELECT key, 'video_timing', count(*), sha256(string_agg(p || ',' || d, chr(10) ORDER BY position) || chr(10)) FROM rel WHERE kind = 'video' GROUP BY key),
+    health AS (SELECT key, bool_or(coalesce(back, false)) AS back, count(DISTINCT kind) AS streams FROM (SELECT *, dts <= max(dts) OVER (PARTITION BY key, kind ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM packets) GROUP BY key),
+    files AS (SELECT key, back, streams, (SELECT count(*) FROM prints p WHERE p.key = h.key) = 3 AS whole FROM health h),
+    told AS (SELECT *, CASE WHEN key % 10 = 1 THEN 'not_enabled' WHEN key % 10 = 2 THEN 'receipt_unavailable' WHEN key % 11 IN (1, 2, 3, 4, 5) THEN 'incomplete_or_stale_receipt' WHEN key % 13 IN (1, 2) THEN 'unsupported_audio_configuration' WHEN key % 13 = 3 THEN 'validator_or_engine_changed'
+        WHEN key % 17 = 1 OR NOT whole THEN 'invalid_fingerprints' WHEN key % 17 IN (2, 3) THEN 'encoded_content_mismatch_or_unavailable' ELSE 'complete_decode_and_encoded_content_match' END AS why FROM files),
+    judged AS (SELECT *, CASE WHEN key % 7 = 3 THEN 'requires_requested_streams:aac,h264' WHEN key % 7 = 4 THEN 'retained_duration_mismatch' WHEN back THEN 'non_monotonic_retained_packet_dts' WHEN streams <> 2 THEN 'retained_packet_probe_failed' END AS early,
+        why = 'complete_decode_and_encoded_content_match' AS reused FROM told)
+"""
+
+
+@query(f"""
+    WITH {MEDIA}, ended AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN NOT reused AND key % 3 = 1 THEN 'retained_full_av_decode_failed' WHEN key % 29 = 7 THEN 'retained_media_changed_during_validation' END AS reason FROM judged)
+    SELECT key AS l_orderkey, CASE WHEN reason IS NULL THEN 'valid' ELSE 'unknown' END AS status, reason, CASE WHEN early IS NULL THEN CASE WHEN reused THEN 'during_download' ELSE 'after_download' END END AS method, CASE WHEN early IS NULL THEN why END AS receipt FROM ended
+""")
+def kept_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-16, AGG-09, AGG-20, SC-15"""
+    i, key = F.col("i"), F.col("key")
+    own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    packets = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(own)).select(
+        F.col("l_orderkey").alias("key"),
+        F.when(i % 2 == 1, "video").otherwise("audio").alias("kind"),
+        i.alias("position"),
+        F.col("l_quantity").cast("long").alias("size"),
+        F.sha2(F.concat_ws(":", "l_partkey", "l_suppkey"), 256).alias("digest"),
+        (i * 2).alias("pts"),
+        F.when((F.col("l_orderkey") % 23 == 5) & (i == 3), 0).otherwise(i).alias("dts"),
+    )
+    # a receipt has the fingerprints of what was downloaded, which is the file unless it was changed
+    prints = retained.fingerprints(packets)
+    changed = F.transform_values("prints", lambda k, v: F.when((k == "audio") & (F.col("key") % 17 == 2) | (k == "video_timing") & (F.col("key") % 17 == 3), v.withField("sha256", F.lit("0" * 64))).otherwise(v))
+    said = F.when(key % 17 == 1, F.map_filter("prints", lambda k, v: k != "audio")).otherwise(changed)
+    odd = lambda r, a, b: F.when(key % 11 == r, a).otherwise(b)
+    session = F.struct(F.lit(1).alias("schema"), F.lit("video").alias("mode"), F.lit("t").alias("token"), F.lit("s").alias("identity"), F.array(F.lit(4.5), F.lit(5.5)).alias("durations"))
+    receipt = F.struct(
+        F.lit(1).alias("schema"), odd(1, "open", "valid").alias("status"), odd(2, "other", "s").alias("identity"), F.lit("t").alias("token"), F.lit("video").alias("mode"), F.lit(True).alias("eof"), odd(3, F.lit(None).cast("boolean"), F.lit(True)).alias("full_decode"),
+        odd(4, 3, 2).alias("segments"), F.lit(9).alias("source_bytes"), odd(5, "x", "a" * 64).alias("source_sha256"), F.when(key % 13 == 3, "old").otherwise("tool").alias("tool"), said.alias("prints"),
+    )
+    files = prints.select(
+        "key",
+        F.lit(10.0).alias("expected"),
+        F.when(key % 7 == 4, 11.5).otherwise(10.5).alias("actual"),
+        F.when(key % 7 == 3, F.array(F.lit("aac"), F.lit("hevc"))).otherwise(F.array(F.lit("h264"), F.lit("aac"))).alias("codecs"),
+        F.when(key % 10 != 1, session).alias("session"),
+        F.when(key % 10 != 2, receipt).alias("receipt"),
+        F.struct(F.when(key % 13 == 1, "HE-AAC").otherwise("LC").alias("profile"), F.when(key % 13 == 2, 6).otherwise(2).alias("channels")).alias("audio"),
+        F.lit("tool").alias("tool"),
+        (key % 3 != 1).alias("decodes"),
+        (key % 29 == 7).alias("changed"),
+    )
+    return retained.validated(files, packets).withColumnRenamed("key", "l_orderkey")
