@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..operators import features, queue
 from ..registry import query
-from ..sources import media
+from ..sources import media, reports
 from .catalogue import r6, table
 
 
@@ -194,6 +194,16 @@ def shared_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.substring_index(below, "/", 1).alias("child")).agg(F.max(F.instr(below, "/") > 0).alias("folder"), F.count("*").alias("files"))
 
 
+@query("SELECT page_id, url AS path, length(html)::BIGINT AS size FROM pages WHERE url LIKE 'http://t%' AND page_id % 7 <> 3 AND page_id > 20")
+def shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06, SNK-03: the predicate goes down to the published parts"""
+    folder = reports.new_folder(spark, "listing")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.length("html").cast("long").alias("size"), (F.col("page_id") % 7 == 3).cast("int").alias("pending"))
+    reports.publish(rows, folder)
+    found = reports.published(spark, folder).where("path LIKE 'http://t%' AND pending = 0 AND page_id > 20")
+    return found.orderBy("page_id").select("page_id", "path", "size")
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 10 OFFSET 5")
 def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-08"""
