@@ -1,7 +1,7 @@
 """Operator 8: licence scans by the Dice coefficient over word bigrams, in native expressions only.
 
-A text is lower-cased; its words are runs of letters and digits. A licence has templates (whole texts, standard headers,
-notices). A template of n words meets windows of n words of the text, wherever lines break and whatever stands around
+A text is lower-cased; its words are runs of letters and digits. A licence has templates (short texts, headers and
+notices; long licences are known by these alone). A template of n words meets windows of n words of the text, wherever lines break and whatever stands around
 them; at a text's ends windows are shorter. A window matches if twice the number of word bigrams it shares with the
 template is at least ``percent`` / 100 of both numbers of distinct bigrams together.
 
@@ -13,7 +13,7 @@ by as much; a match is one aligned window, as defined here, and the SQL version
 those stay that overlap no better one (higher coefficient, then more words, then the first licence by name, then place), so
 licences of one family are told apart.
 
-Words meet the index in a join inside code generation; only candidates go on, and only matches are shuffled. The index is
+A text is scanned in pieces, so work grows with its length only. Words meet the index in a join inside code generation; only candidates go on, with their piece, and only matches are shuffled. The index is
 broadcast as its size is known: it is made from templates that the caller gives (``MOST_BROADCAST`` rows at most, else it
 is a shuffled join). Defined cases: null and empty texts have no words and no matches; a text of one word has no
 bigrams; ties go to the first window; repeated rows each get the matches of their text; null ids stay; texts of any
@@ -33,6 +33,8 @@ from .license_texts import TEMPLATES
 from .quality import let
 
 MOST_BROADCAST = 1 << 16
+#: Words in a piece of a text, at least.
+STEP = 512
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -74,39 +76,50 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
 
 
-def matches(texts: DataFrame, templates: dict[str, tuple[str, ...]], percent: int) -> DataFrame:
+def matches(texts: DataFrame, templates: dict[str, tuple[str, ...]], percent: int, paths: list[str] | None = None) -> DataFrame:
     """(digest, matches) of (digest, text): an array of structs of license, start, words and dice, ascending by place."""
     spark = texts.sparkSession
     table, entries = index(templates, percent)
     known = _small(spark, [(t, license_, n, gs, len(gs)) for t, license_, n, gs in table], "t int, license string, n int, grams array<string>, b int")
     first = _small(spark, [(*g.split(" "), t, o) for g, t, o in entries], "a string, z string, t int, o int")
-    split = texts.select("digest", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
-    placed = split.select("digest", "w", F.posexplode("w").alias("p", "a")).withColumn("z", F.get("w", F.col("p") + 1))
+    reach = max(n for _, _, n, _ in table)
+    step = max(STEP, reach)
+    split = texts.select("digest", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w")).withColumn("total", F.size("w"))
+    # pieces of a text with the words around them that windows reach into: a candidate takes its piece along, not the text
+    begins = F.when(F.col("total") > 0, F.sequence(F.lit(0), F.col("total") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    piece = lambda at: F.struct(at.alias("at"), F.greatest(at - reach, F.lit(0)).alias("low"), F.slice("w", F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)) + step + reach).alias("w"))
+    pieces = split.select("digest", "total", F.explode(F.transform(begins, piece)).alias("piece")).select("digest", "total", "piece.*")
+    placed = pieces.select("digest", "total", "at", "low", "w", F.posexplode("w").alias("i", "a")).withColumns({"p": F.col("low") + F.col("i"), "z": F.get("w", F.col("i") + 1)})
+    placed = placed.where((F.col("p") >= F.col("at")) & (F.col("p") < F.col("at") + step))
     found = placed.join(first, ["a", "z"]).join(known, "t")
-    start, stop = F.greatest(F.col("p") - F.col("o"), F.lit(0)), F.least(F.col("p") - F.col("o") + F.col("n"), F.size("w"))
-    found = found.select("digest", "license", "grams", "b", start.alias("start"), (stop - start).alias("m"), "w")
+    start, stop = F.greatest(F.col("p") - F.col("o"), F.lit(0)), F.least(F.col("p") - F.col("o") + F.col("n"), F.col("total"))
+    found = found.select("digest", "license", "grams", "b", start.alias("start"), (stop - start).alias("m"), "low", "w")
     # a window of m words has m - 1 bigrams at most, and must share that many
     found = found.where((F.col("m") - 1) * (200 - percent) >= F.col("b") * percent)
-    window = F.slice("w", F.col("start") + 1, F.col("m"))
+    window = F.slice("w", F.col("start") - F.col("low") + 1, F.col("m"))
     dice = let(_bigrams(window), lambda g: 2 * F.size(F.array_intersect(F.col("grams"), g)) / (F.size(g) + F.col("b")))
     scored = found.select("digest", "license", "start", "m", dice.alias("dice")).where(F.col("dice") * 100 >= percent)
     best = scored.groupBy("digest", "license", "start").agg(F.max(F.struct("dice", F.col("m").alias("words"))).alias("best"))
+    best = common.staged(best.select("digest", "start", "license", "best.words", "best.dice"), "license-matches", paths)
+    # matches meet in the stretches that they touch; a stretch is as long as the longest match, so its matches are bounded
+    touched = best.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("start") + F.col("words") - 1) / reach))))
+    other = touched.select("digest", "stretch", *(F.col(c).alias(f"o_{c}") for c in ("start", "license", "words", "dice")))
+    overlap = (F.col("o_start") < F.col("start") + F.col("words")) & (F.col("start") < F.col("o_start") + F.col("o_words"))
+    rank = lambda c: F.struct(-F.col(f"{c}dice"), -F.col(f"{c}words"), F.col(f"{c}license"), F.col(f"{c}start"))
+    worse = touched.join(other, ["digest", "stretch"]).where(overlap & (rank("o_") < rank(""))).select("digest", "license", "start").distinct()
+    kept = best.join(worse, ["digest", "license", "start"], "left_anti")
     # as long as a text has matching windows
-    all_ = best.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "license", "best.words", "best.dice"))).alias("all"))
-
-    def better(o: Column, m: Column) -> Column:
-        rank = lambda x: F.struct(-x["dice"], -x["words"], x["license"], x["start"])
-        return (o["start"] < m["start"] + m["words"]) & (m["start"] < o["start"] + o["words"]) & (rank(o) < rank(m))
-
-    return all_.select("digest", F.filter("all", lambda m: ~F.exists("all", lambda o: better(o, m))).alias("matches"))
+    return kept.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "license", "words", "dice"))).alias("matches"))
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_matches, licenses, best_dice, matches) of every row; licenses is a sorted, comma-joined list."""
     common.session(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    per = matches(rows.select("digest", "text"), templates or TEMPLATES, percent)
-    out = rows.select("doc_id", "digest").join(common.staged(per, "licenses"), "digest", "left")
+    left: list[str] = []
+    per = common.staged(matches(rows.select("digest", "text"), templates or TEMPLATES, percent, left), "licenses")
+    common.drop(docs.sparkSession, *left)
+    out = rows.select("doc_id", "digest").join(per, "digest", "left")
     out = out.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<start:int,license:string,words:int,dice:double>>")))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"), "matches")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernels as K
-from sparkloom.llm import packing, phrases, spelling
+from sparkloom.llm import licenses, packing, phrases, spelling
 from sparkloom.llm.automaton import Automaton
 from sparkloom.llm.queries import tokenizer_path
 
@@ -288,3 +288,12 @@ def test_automata_are_minimal_and_number_their_words():
 def test_blanks_and_splitters():
     assert not phrases._WORD[[9, 10, 11, 12, 13, 32, *map(ord, ".,;:!?")]].any() and phrases._WORD[[0, 28, 160, 255]].all()
     assert K.LOWER[ord("Z")] == ord("z")
+
+
+def test_license_notices_repeated_in_a_long_text(spark, monkeypatch):
+    notice = "Released under the MIT License.\n"
+    monkeypatch.setattr(licenses, "STEP", 16)
+    rows = [(1, notice * 12000), (1, notice * 12000), (None, notice), (None, None), (2, "x " * 300 + notice + "y " * 300), (3, notice * 40 + "z")]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_matches, r.licenses) for r in out) == [("1", 12000, "MIT"), ("1", 12000, "MIT"), ("2", 1, "MIT"), ("3", 40, "MIT"), ("None", 0, ""), ("None", 1, "MIT")]
+    assert [m.start for m in next(r for r in out if r.doc_id == 3).matches] == list(range(0, 200, 5))
