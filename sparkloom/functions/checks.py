@@ -154,7 +154,7 @@ def cdn_url(url: Column, suffix: str, end: str = "") -> Column:
 
 def thumbnail(value: Column, base: str, suffix: str) -> Column:
     """A picture's URL from its hash or, where it is on the right host, as it stands."""
-    return F.when(F.rlike(value, F.lit(r"^[A-Za-z0-9._-]{1,256}\z")), F.concat(F.lit(base), value)).when(cdn_url(value, suffix), value)
+    return F.when(F.rlike(value, F.lit(r"^[A-Za-z0-9_-]{1,200}\z")), F.concat(F.lit(base), value)).when(cdn_url(value, suffix), value)
 
 
 def reel_url(link: Column) -> Column:

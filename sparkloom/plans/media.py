@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..operators import features, queue
 from ..registry import query
-from ..sources import media, reports
+from ..sources import media, products, reports
 from .catalogue import r6, table
 
 
@@ -168,12 +168,32 @@ def episode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("user_id", F.col("e.event_id").alias("event_id"), rank.cast("long").alias("rank"))
 
 
-@query("SELECT l_orderkey, max_by(l_partkey, (l_returnflag = 'A', l_extendedprice, l_quantity, l_partkey)) AS best, min_by(l_suppkey, (l_linestatus <> 'F', l_extendedprice, l_suppkey)) AS caption FROM lineitem GROUP BY l_orderkey")
+_CODECS, _LANGS, _ENDS = ("h.264", "HEVC", "", "avc1", "vp9"), ("en-US", "ja", "zh-TW", "fr", "", "ko", "zh"), ("mp4", "webm", "part", "m4a", "jpg", "opus")
+_listed = lambda values, n: f"[{', '.join(repr(v) for v in values)}][({n} % {len(values)} + 1)::INT]"
+
+
+@query(f"""
+    WITH items AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, l_partkey AS p, {_listed(_CODECS, "l_partkey")} AS codec, (l_suppkey % 5 - 1) * 100 AS w, (l_partkey % 3) * 50 AS h,
+      {_listed(_LANGS, "l_suppkey")} AS lang, {_listed(_ENDS, "l_partkey")} AS ending, (l_quantity * 100)::BIGINT AS size FROM lineitem),
+    named AS (SELECT *, 'media.' || CASE WHEN lang = '' THEN '' ELSE lang || '.' END || 'vtt' AS cap, CASE WHEN p % 7 = 2 THEN 'other.' WHEN p % 7 = 4 THEN 'media.x-Frag1.' ELSE 'media.' END || ending AS file,
+      CASE lower(codec) WHEN 'h.264' THEN 2 WHEN 'avc1' THEN 2 WHEN 'hevc' THEN 0 ELSE 1 END AS rank, CASE lang WHEN 'zh-TW' THEN 1 WHEN 'zh' THEN 3 WHEN 'en-US' THEN 6 WHEN 'ja' THEN 7 WHEN 'ko' THEN 8 WHEN 'fr' THEN 9 ELSE 3 END AS place FROM items)
+    SELECT l_orderkey, arg_max('u' || p, (rank, greatest(w, 0) * greatest(h, 0), h, -i)) AS best, arg_min(cap, (CASE WHEN lang = '' THEN 99 ELSE place END, i)) AS caption,
+      coalesce(CASE l_orderkey % 3 WHEN 0 THEN coalesce(arg_min(file, i) FILTER (ok AND ending = 'opus'), arg_min(file, i) FILTER (ok AND ending IN ('m4a', 'opus'))) WHEN 1 THEN arg_min(file, i) FILTER (ok AND ending = 'jpg') END, arg_max(file, (size, -i)) FILTER (ok)) AS output
+    FROM (SELECT *, file LIKE 'media.%' AND file NOT LIKE '%-Frag%' AND ending <> 'part' AS ok FROM named) GROUP BY l_orderkey
+""")
 def best_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-06, SRT-07, SRT-09"""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-    best = F.max_by("l_partkey", F.struct(F.col("l_returnflag") == "A", "l_extendedprice", "l_quantity", "l_partkey"))
-    return items.agg(best.alias("best"), F.min_by("l_suppkey", F.struct(F.col("l_linestatus") != "F", "l_extendedprice", "l_suppkey")).alias("caption"))
+    own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    chosen = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    lang, ending = chosen(_LANGS, supp), chosen(_ENDS, part)
+    form = F.struct(F.concat(F.lit("u"), part.cast("string")).alias("url"), ((supp % 5 - 1) * 100).cast("int").alias("width"), (part % 3 * 50).cast("int").alias("height"), F.lit(None).cast("string").alias("size"), chosen(_CODECS, part).alias("codec"))
+    cap = F.concat(F.lit("media."), F.when(lang == "", "").otherwise(F.concat(lang, F.lit("."))), F.lit("vtt"))
+    file = F.struct(F.concat(F.when(part % 7 == 2, "other.").when(part % 7 == 4, "media.x-Frag1.").otherwise("media."), ending).alias("name"), (F.col("l_quantity") * 100).cast("long").alias("size"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(own)).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", form.alias("form"), cap.alias("cap"), file.alias("file")))).alias("x"))
+    of = lambda n: F.transform("x", lambda r: r[n])
+    kind = F.when(F.col("l_orderkey") % 3 == 0, "AUDIO").when(F.col("l_orderkey") % 3 == 1, "IMAGE").otherwise("BEST")
+    return rows.select("l_orderkey", products.best_video(of("form"))["url"].alias("best"), products.caption_file(of("cap")).alias("caption"), products.output_file(of("file"), kind, F.lit("OPUS")).alias("output"))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 3000")

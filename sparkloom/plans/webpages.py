@@ -6,11 +6,13 @@ must give; titles and counts come from the page around it.
 
 from __future__ import annotations
 
+from json import dumps as _json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import pages
+from ..sources import pages, products
 from .catalogue import table
 from .rules import of_cases, sql_cases
 
@@ -205,3 +207,23 @@ def frame_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-15"""
     rows = set_in(spark, sf_dir, [f[1] for f in FRAMES], address=[f[0] for f in FRAMES], player=[f[2] for f in FRAMES])
     return pages.frame_players(rows, "page_id", "address", "html", "player").withColumnRenamed("key", "page_id")
+
+
+# Product snapshots: (snapshot, rows)
+_snap = lambda images, videos, **other: _json({"documentUrl": "https://shopee.tw/product/5/{k}", "documentMatches": True, "found": True, "shopId": "5", "itemId": "{k}", "gallerySourceCount": len(images), "galleryComplete": True, "imageHashes": images, "itemHasVideo": bool(videos), "videoSourceCount": len(videos), "videos": videos} | other)
+_mp4 = lambda n, **other: {"url": f"https://a.vod.susercontent.com/{n}.mp4"} | other
+_shot = lambda n, h: (n - 1, f"ShopeeImage_5_{{k}}_{n}", products.IMAGE_BASE + h, products.IMAGE_BASE + h, None, None, None)
+SNAPSHOTS = [
+    (_snap(["a-{k}", "b_2"], []), [_shot(1, "a-{k}"), _shot(2, "b_2")]),
+    (_snap(["a"], [{"durationSeconds": 9, "thumbnail": "t-{k}", "formats": [_mp4("x", width=10, height=90, codec="hevc"), _mp4("y", width=9, height=5, size="77", codec="H.264"), _mp4("z", width=5, height=9, size=88, codec="avc1")]}, {"thumbnail": "http://no", "formats": [_mp4("w", size=0)]}], more=1),
+     [(0, "ShopeeVideo_5_{k}_1", "https://a.vod.susercontent.com/z.mp4", products.IMAGE_BASE + "t-{k}", 9, 9, 88), (1, "ShopeeVideo_5_{k}_2", "https://a.vod.susercontent.com/w.mp4", None, None, None, None), (2, "ShopeeImage_5_{k}_1", products.IMAGE_BASE + "a", products.IMAGE_BASE + "a", None, None, None)]),
+    (_snap(["a"], [], itemHasVideo=True), []), (_snap(["a", "b c"], []), []), (_snap([], []), []), (_snap(["a"], [], gallerySourceCount=2), []), (_snap(["a"], [], shopId=5), []), (_snap(["a"], [], itemId="other"), []), (_snap(["a"], [], galleryComplete=False), []), (_snap(["a"], [], found=None), []),
+    (_snap(["a"], [], documentUrl="https://shopee.tw/product/5/1{k}"), []), (_snap(["a"], [{"formats": []}]), []), (_snap(["a"], [{"formats": [_mp4("x"), {"url": "https://a.example/x.mp4"}]}]), []), (_snap(["a"] * 51, []), []), ("{broken", []), (_snap(["a"], [{"formats": [{"url": "https://a.vod.susercontent.com/x.webm"}]}]), []), (_snap(["a", None], []), []),
+]
+
+
+@query(rows_sql([s[1] for s in SNAPSHOTS], ["place", "name", "url", "image", "seconds", "height", "bytes"]))
+def product_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12, SRT-06"""
+    rows = of_cases(spark, sf_dir, "pages", "page_id", snapshot=[s[0] for s in SNAPSHOTS]).withColumns({"shop": F.lit("5"), "item": F.col("page_id").cast("string")})
+    return products.product_media(rows, "page_id", "snapshot", "shop", "item").withColumnRenamed("key", "page_id")
