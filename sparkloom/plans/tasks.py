@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import convert
 from ..functions import text as T
 from ..operators import features, queue, transcripts
 from ..registry import query
@@ -171,6 +172,22 @@ def ad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", r6("score").alias("score"), "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 2).alias("pruned"))
 
 
+#: A dictionary as a table, phrases within phrases among it; longest first for the SQL.
+PHRASES = (("the of", "[of the]"), ("ation", "ación"), ("tion", "ción"), ("thre", "3"), ("the", "THE"), ("an", "um"), ("th", "þ"), ("é", "e"), ("o", ""))
+
+
+@query(f"""
+    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?s){"|".join(p[0] for p in PHRASES)}|.'), lambda x: CASE x {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PHRASES)} ELSE x END), '') AS text,
+      CASE WHEN doc_id % 3 = 0 THEN replace(coalesce(text, ''), 'e', 'E') ELSE coalesce(text, '') END AS chinese FROM documents
+""")
+def converted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-23, STR-22"""
+    known = convert.dictionary(spark.createDataFrame(list(PHRASES), "source string, target string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    language = F.when(F.col("doc_id") % 6 == 0, "zh-Hans").when(F.col("doc_id") % 6 == 3, "YUE").otherwise("en")
+    return docs.select("doc_id", convert.converted(F.col("text"), known).alias("text"), convert.normalized(F.col("text"), language, {"e": "E"}).alias("chinese"))
+
+
 #: Documents as cases: seams and loudness from their numbers, frames from their texts, some with words that speak for either side.
 def _best(terms: str) -> str:
     words = ", ".join(f"'{t}'" for t in scoring.LEXICON[terms])
