@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import even_sample
+
 
 def nearest_rank(value: str, fraction: float) -> Column:
     """Nearest-rank percentile of a group; null for an empty one."""
@@ -42,13 +44,46 @@ def frame_gap(frames: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def top_bin_share(pixels: DataFrame, key: str, red: str, green: str, blue: str) -> DataFrame:
-    """(key, top_share, dark_share): the share of the fullest of 8 x 8 x 8 colour bins, and of pixels below 16 throughout."""
+    """(key, top_share, dark_share): the share of the fullest of 8 x 8 x 8 colour bins, and of pixels of 16 at most throughout."""
     bin_ = F.floor(F.col(red) / 32) * 64 + F.floor(F.col(green) / 32) * 8 + F.floor(F.col(blue) / 32)
-    dark = (F.greatest(red, green, blue) < 16).cast("int")
+    dark = (F.greatest(red, green, blue) <= 16).cast("int")
     per = pixels.groupBy(key, bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum(dark).alias("dark"))
     return per.groupBy(key).agg((F.max("n") / F.sum("n")).alias("top_share"), (F.sum("dark") / F.sum("n")).alias("dark_share"))
 
 
+#: Profiles of a summary, and the mean error up to which neighbouring frames stand still (fixed values).
+PROFILES, NEAR_STATIC = ("full", "weighted_decision"), 1 / 255
+
+
+def visual_summary(frames: DataFrame, profile: str) -> DataFrame:
+    """AGG-05, (key, frame_count, sample_count, top_color_bin_median, black_pixel_fraction_median, adjacent_mae_median, near_static, native_adjacent_count, native_adjacent_mae_p90).
+
+    Frames: key, role (before, after or another), i from 0, time, pixels (red, green, blue, red, ...). Colours are those of at most 30 frames, evenly
+    spread; native movement is that of the pairs within a second of the edge that meets the candidate. ``weighted_decision`` needs
+    native movement on the two sides alone: all else is null there, and errors of other pairs are not computed.
+    """
+    if profile not in PROFILES:
+        raise ValueError(f"no profile {profile}")
+    own = W.partitionBy("key")
+    in_order = own.orderBy("i")
+    rows = frames.withColumns({"n": F.count("*").over(own), "next": F.lead(F.struct("time", "pixels")).over(in_order), "first": F.min("time").over(own), "last": F.max("time").over(own)})
+    near = F.when(F.col("role") == "before", F.col("time") >= F.col("last") - 1).otherwise(F.col("next.time") <= F.col("first") + 1) & F.col("next").isNotNull()
+    wanted = near & F.col("role").isin("before", "after") if profile == "weighted_decision" else F.col("next").isNotNull()
+    rows = rows.withColumn("mae", F.when(wanted, mean_absolute_error(F.col("pixels"), F.col("next.pixels")))).withColumn("native", F.when(near, F.col("mae")))
+    pairs = rows.groupBy("key", "role").agg(F.count("*").alias("frame_count"), F.median("mae").alias("middle"), F.count("native").alias("count"), nearest_rank("native", 0.9).alias("p90"))
+    if profile == "weighted_decision":
+        side = F.col("role").isin("before", "after")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("sample_count", "long"), ("top_color_bin_median", "double"), ("black_pixel_fraction_median", "double"), ("adjacent_mae_median", "double"), ("near_static", "boolean"))]
+        return pairs.select("key", "frame_count", *none, F.when(side, F.col("count")).alias("native_adjacent_count"), F.when(side, F.col("p90")).alias("native_adjacent_mae_p90"))
+    picked = rows.where(F.array_contains(even_sample(F.col("n").cast("int")), F.col("i").cast("int"))).select("key", "i", F.posexplode(F.sequence(F.lit(1), F.size("pixels") - 2, F.lit(3))).alias("k", "at"), "pixels")
+    channels = [F.element_at("pixels", F.col("at") + j).alias(c) for j, c in enumerate(("r", "g", "b"))]
+    colours = top_bin_share(picked.select(F.struct("key", "i").alias("f"), *channels), "f", "r", "g", "b")
+    colours = colours.groupBy(F.col("f.key").alias("key")).agg(F.count("*").alias("sample_count"), F.median("top_share").alias("top_color_bin_median"), F.median("dark_share").alias("black_pixel_fraction_median"))
+    still = F.coalesce(F.col("middle") <= NEAR_STATIC, F.lit(False))
+    out = pairs.join(colours, "key", "left")
+    return out.select("key", "frame_count", "sample_count", "top_color_bin_median", "black_pixel_fraction_median", F.col("middle").alias("adjacent_mae_median"), still.alias("near_static"), F.col("count").alias("native_adjacent_count"), F.col("p90").alias("native_adjacent_mae_p90"))
+
+
 def rms(value: Column) -> Column:
     return F.sqrt(F.avg(value * value))
 

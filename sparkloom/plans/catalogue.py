@@ -266,7 +266,7 @@ def gain_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT s_nationkey, max(n) / sum(n) AS top_share, sum(dark) / sum(n) AS dark_share FROM (
-      SELECT s_nationkey, (r // 32) * 64 + (g // 32) * 8 + b // 32 AS bin, count(*) AS n, sum((greatest(r, g, b) < 16)::INT) AS dark
+      SELECT s_nationkey, (r // 32) * 64 + (g // 32) * 8 + b // 32 AS bin, count(*) AS n, sum((greatest(r, g, b) <= 16)::INT) AS dark
       FROM (SELECT s_nationkey, s_suppkey * 37 % 256 AS r, s_suppkey * 11 % 64 AS g, s_suppkey % 16 AS b FROM supplier) GROUP BY ALL) GROUP BY s_nationkey
 """)
 def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +276,29 @@ def color_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.top_bin_share(rows, "s_nationkey", "r", "g", "b")
 
 
+@query("""
+    WITH f AS (SELECT label AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n, list_transform(embedding[1:63], lambda x: greatest(0, least(255, floor(x::DOUBLE * 300 + 40)))::BIGINT) AS px FROM embeddings),
+    t AS (SELECT *, i * 0.3::DOUBLE AS time, lead(px) OVER (PARTITION BY key ORDER BY i) AS nx, CASE key % 3 WHEN 0 THEN 'before' WHEN 1 THEN 'after' ELSE 'candidate' END AS role, key % 2 = 0 AS whole FROM f),
+    m AS (SELECT *, CASE WHEN nx IS NOT NULL THEN list_sum(list_transform(list_zip(px, nx), lambda x: abs(x[1] - x[2])))::DOUBLE / (63 * 255) END AS mae, nx IS NOT NULL AND CASE WHEN role = 'before' THEN time >= (n - 1) * 0.3::DOUBLE - 1 ELSE (i + 1) * 0.3::DOUBLE <= 1 END AS near FROM t),
+    pairs AS (SELECT key, role, whole, count(*) AS frame_count, median(mae) AS middle, count(*) FILTER (near) AS c, quantile_disc(mae, 0.9) FILTER (near) AS p90 FROM m GROUP BY ALL),
+    picked AS (SELECT key, i, px FROM f WHERE list_contains(list_transform(range(least(n, 30)), lambda j: round_even(j * (n - 1) / greatest(least(n, 30) - 1, 1), 0)::BIGINT), i)),
+    bins AS (SELECT key, i, b, count(*) AS n, sum(d) AS dark FROM (SELECT key, i, px[k] // 32 * 64 + px[k + 1] // 32 * 8 + px[k + 2] // 32 AS b, (greatest(px[k], px[k + 1], px[k + 2]) <= 16)::INT AS d FROM (SELECT *, unnest(range(1, 62, 3)) AS k FROM picked)) GROUP BY ALL),
+    colours AS (SELECT key, count(*) AS s, median(top) AS top, median(dark) AS dark FROM (SELECT key, i, max(n) / sum(n) AS top, sum(dark) / sum(n) AS dark FROM bins GROUP BY key, i) GROUP BY key)
+    SELECT key AS label, frame_count, CASE WHEN whole THEN s END AS sample_count, CASE WHEN whole THEN round(top, 6) END AS top_color_bin_median, CASE WHEN whole THEN round(dark, 6) END AS black_pixel_fraction_median, CASE WHEN whole THEN round(middle, 6) END AS adjacent_mae_median,
+      CASE WHEN whole THEN coalesce(middle <= 1 / 255, false) END AS near_static, CASE WHEN whole OR role <> 'candidate' THEN c END AS native_adjacent_count, CASE WHEN whole OR role <> 'candidate' THEN round(p90, 6) END AS native_adjacent_mae_p90
+    FROM pairs JOIN colours USING (key)
+""")
+def visual_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-05: even labels in full, odd ones for the weighted decision"""
+    pixel = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 300 + 40))).cast("long")
+    role = F.when(F.col("label") % 3 == 0, "before").when(F.col("label") % 3 == 1, "after").otherwise("candidate")
+    i = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    frames = table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), role.alias("role"), i.alias("i"), F.transform(F.slice("embedding", 1, 63), pixel).alias("pixels")).withColumn("time", F.col("i") * F.lit(0.3))
+    both = features.visual_summary(frames.where("key % 2 = 0"), "full").unionByName(features.visual_summary(frames.where("key % 2 <> 0"), "weighted_decision"))
+    rounded = [r6(c).alias(c) for c in ("top_color_bin_median", "black_pixel_fraction_median", "adjacent_mae_median", "native_adjacent_mae_p90")]
+    return both.select(F.col("key").alias("label"), "frame_count", "sample_count", "near_static", "native_adjacent_count", *rounded)
+
+
 RECTS_SQL = """
     rects AS (SELECT l_orderkey, (l_linenumber % 4) / 8.0 AS x0, (l_linenumber % 3) / 8.0 AS y0, (l_linenumber % 4) / 8.0 + l_quantity / 100 AS x1, (l_linenumber % 3) / 8.0 + 0.25 AS y1, l_discount * 0.7314159 AS weight FROM lineitem)
 """
