@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,20 +107,33 @@ def digital_silence(samples: Column) -> Column:
     return (F.size(samples) > 0) & F.forall(samples, lambda x: x == 0)
 
 
+def rect_area(rects: Column) -> Column:
+    """The integral of the largest weight over the union of an array of rectangles, struct<x0, y0, x1, y1, weight>; 0 if none has an area.
+
+    The rectangles' sides cut the plane into strips, and those that cover a strip cut it into cells; each cell counts with the largest
+    weight that covers it.
+    """
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+    def summed(held: Column, lo: str, hi: str, height: Callable[[Column], Column]) -> Column:
+        """The sum of length times ``height`` of those that cover it, over the pieces between the sides."""
+        sides = F.array_sort(F.array_distinct(F.flatten(F.transform(held, lambda r: F.array(r[lo], r[hi])))))
+        pieces = let(sides, lambda s: F.filter(F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda p: p["z"].isNotNull()))
+        return F.aggregate(pieces, F.lit(0.0), lambda t, p: t + (p["z"] - p["a"]) * height(F.filter(held, lambda r: (r[lo] <= p["a"]) & (r[hi] >= p["z"]))))
+
+    top = lambda held: F.coalesce(F.array_max(F.transform(held, lambda r: r["weight"])), F.lit(0.0))
+    good = F.filter(rects, lambda r: (r["weight"] > 0) & (r["x1"] > r["x0"]) & (r["y1"] > r["y0"]))
+    return let(good, lambda all_: summed(all_, "x0", "x1", lambda strip: let(strip, lambda held: summed(held, "y0", "y1", top))))
+
+
 def rect_union(rects: DataFrame, key: str) -> DataFrame:
     """(key, area): the integral of the largest weight over the union of weighted rectangles (x0, y0, x1, y1, weight).
 
-    The rectangles of one key cut the plane into a grid; each grid cell counts with the largest weight that covers it.
-    A key is one frame, whose number of rectangles is limited by its producer (64 observations).
+    A key is one frame, whose number of rectangles is limited by its producer (64 observations), so they are gathered into one array:
+    one shuffle and one sort, where joins of rectangles to the cells they cover held several tables at once.
     """
-    rects = rects.where("weight > 0 AND x1 > x0 AND y1 > y0")
-    cuts = lambda a, z, name: (
-        rects.select(key, F.explode(F.array(a, z)).alias("lo")).distinct().withColumn("hi", F.lead("lo").over(W.partitionBy(key).orderBy("lo"))).where("hi IS NOT NULL").select(key, F.col("lo").alias(f"{name}lo"), F.col("hi").alias(f"{name}hi"))
-    )
-    xs, ys = cuts("x0", "x1", "x"), cuts("y0", "y1", "y")
-    cells = rects.join(xs, key).where("x0 <= xlo AND x1 >= xhi").join(ys, key).where("y0 <= ylo AND y1 >= yhi")
-    best = cells.groupBy(key, "xlo", "xhi", "ylo", "yhi").agg(F.max("weight").alias("weight"))
-    return best.groupBy(key).agg(F.sum((F.col("xhi") - F.col("xlo")) * (F.col("yhi") - F.col("ylo")) * F.col("weight")).alias("area"))
+    held = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "weight")))
+    return rects.where("weight > 0 AND x1 > x0 AND y1 > y0").groupBy(key).agg(F.collect_list(held).alias("_rects")).select(key, rect_area(F.col("_rects")).alias("area"))
 
 
 def exclusive_time(spans: DataFrame, key: str) -> DataFrame:

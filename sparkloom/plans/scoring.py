@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import similarity
 from ..functions.udfs import normalize_text
-from ..operators.features import clamp, gain_quality, rect_union
+from ..operators.features import clamp, gain_quality, rect_area
 
 #: Threshold, expected frames, and what is read of a frame (fixed values).
 THRESHOLD = 55.0
@@ -99,36 +99,40 @@ def text_frames(observations: DataFrame, outside: DataFrame, id_: str = "id") ->
     """
     o = frame_observations(observations, id_)
     o = o.withColumns({"domains": F.array_distinct(F.regexp_extract_all("text", F.lit(DOMAIN), F.lit(0))), "promo": lexicon_quality(F.col("text"), "promotion"), "show": lexicon_quality(F.col("text"), "programme")})
-    known = outside.groupBy(id_, "domain").agg(F.max("quality").alias("seen"))
-    new = o.select(id_, "time", "q", F.explode("domains").alias("domain")).join(known, [id_, "domain"], "left")
-    new = new.groupBy(id_, "time").agg(F.max(F.col("q") * (1 - 0.5 * F.coalesce("seen", F.lit(0.0)))).alias("domain"))
+    # what an observation says costs much more than the rest, so it is made once: a frame's few observations go into arrays, not into joins
+    known = outside.groupBy(id_, "domain").agg(F.max("quality").alias("seen")).groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("domain", "seen"))).alias("seen"))
     area = lambda a, b, c, d: F.greatest(c - a, F.lit(0.0)) * F.greatest(d - b, F.lit(0.0))
     b = {n: F.col(f"box.{n}") for n in ("x0", "y0", "x1", "y1")}
     middle = area(F.greatest(b["x0"], F.lit(0.2)), F.greatest(b["y0"], F.lit(0.25)), F.least(b["x1"], F.lit(0.8)), F.least(b["y1"], F.lit(0.75)))
     # clamp() passes over nulls, so a box without a place is asked for first
     large = F.when(F.col("box").isNotNull(), F.col("q") * clamp((b["y1"] - b["y0"]) / 0.12) * clamp(F.try_divide(middle, area(*b.values()))))
-    frames = o.groupBy(id_, "time").agg(F.max(F.col("q") * F.col("promo")).alias("semantic"), F.max(F.col("q") * F.col("show")).alias("programme"), F.coalesce(F.max(large), F.lit(0.0)).alias("large"), F.count("missing").alias("invalid"))
     weight = F.col("q") * F.greatest((F.size("domains") > 0).cast("double"), F.col("promo") * F.col("promo"))
-    rects = o.where("box IS NOT NULL").select(F.struct(id_, "time").alias("f"), *(c.alias(n) for n, c in b.items()), weight.alias("weight"))
-    union = rect_union(rects, "f").withColumnRenamed("area", "whole")
-    top = rects.withColumn("y1", F.least("y1", F.lit(0.2)))
-    bottom = rects.withColumn("y0", F.greatest("y0", F.lit(0.8)))
-    edges = rect_union(top, "f").unionByName(rect_union(bottom, "f")).groupBy("f").agg(F.sum("area").alias("edge"))
-    share = union.join(edges, "f", "left").select(F.col(f"f.{id_}").alias(id_), F.col("f.time").alias("time"), clamp(F.coalesce(F.try_divide(F.coalesce("edge", F.lit(0.0)), F.col("whole")), F.lit(0.0))).alias("edge"))
-    frames = frames.join(new, [id_, "time"], "left").join(share, [id_, "time"], "left").na.fill(0.0, ["domain", "edge"])
+    frames = o.groupBy(id_, "time").agg(
+        F.max(F.col("q") * F.col("promo")).alias("semantic"),
+        F.max(F.col("q") * F.col("show")).alias("programme"),
+        F.coalesce(F.max(large), F.lit(0.0)).alias("large"),
+        F.count("missing").alias("invalid"),
+        F.collect_list(F.when(F.size("domains") > 0, F.struct("q", "domains"))).alias("named"),
+        F.collect_list(F.when(F.col("box").isNotNull(), F.struct(*(c.alias(n) for n, c in b.items()), weight.alias("weight")))).alias("rects"),
+    )
+    frames = frames.join(known, id_, "left")
+    fresh = F.flatten(F.transform("named", lambda x: F.transform(x["domains"], lambda d: x["q"] * (1 - 0.5 * F.coalesce(F.try_element_at("seen", d), F.lit(0.0))))))
+    edges = rect_area(F.transform("rects", lambda r: r.withField("y1", F.least(r["y1"], F.lit(0.2))))) + rect_area(F.transform("rects", lambda r: r.withField("y0", F.greatest(r["y0"], F.lit(0.8)))))
+    edge = clamp(F.coalesce(F.try_divide(edges, rect_area(F.col("rects"))), F.lit(0.0)))
+    frames = frames.select(id_, "time", "semantic", "programme", "large", "invalid", F.coalesce(F.array_max(fresh), F.lit(0.0)).alias("domain"), edge.alias("edge"))
     return frames.withColumn("p", 0.65 * F.col("domain") + 0.35 * F.col("semantic"))
 
 
 def score(cases: DataFrame, frames: DataFrame, id_: str = "id") -> DataFrame:
-    """(id, s, a, p, c, o, programme, score, decision) of cases with columns s, a and valid."""
+    """(id, s, a, p, c, o, programme, score, decision, invalid) of cases with columns s, a and valid."""
     mean = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) / FRAMES
-    text = frames.groupBy(id_).agg(mean("domain").alias("domain"), mean("semantic").alias("semantic"), mean("programme").alias("programme"), mean("large").alias("large"), mean(20 * F.col("p") * F.col("edge") * (1 - F.col("large"))).alias("o"))
-    out = cases.join(text, id_, "left").na.fill(0.0, ["domain", "semantic", "programme", "large", "o"])
+    text = frames.groupBy(id_).agg(mean("domain").alias("domain"), mean("semantic").alias("semantic"), mean("programme").alias("programme"), mean("large").alias("large"), mean(20 * F.col("p") * F.col("edge") * (1 - F.col("large"))).alias("o"), F.sum("invalid").alias("invalid"))
+    out = cases.join(text, id_, "left").na.fill(0.0, ["domain", "semantic", "programme", "large", "o", "invalid"])
     out = out.withColumn("p", 25 * (0.65 * clamp(F.col("domain")) + 0.35 * clamp(F.col("semantic")))).withColumn("programme", 40 * clamp(F.col("programme")))
     out = out.withColumn("c", F.least(F.lit(60.0), F.col("p") + 50 * F.col("large")))
     out = out.withColumn("score", 100 * clamp((F.col("s") + F.col("a") + F.col("c") - F.col("o") - F.col("programme")) / 100))
     decision = F.when(F.col("valid") & (F.col("score") >= THRESHOLD), "candidate").otherwise("unknown")
-    return out.select(id_, "s", "a", "p", "c", "o", "programme", "score", decision.alias("decision"))
+    return out.select(id_, "s", "a", "p", "c", "o", "programme", "score", decision.alias("decision"), "invalid")
 
 
 def cannot_pass(s: Column, a: Column, frames: int, margin: float = 0.0) -> Column:

@@ -240,10 +240,9 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scoring.scene_points((d % 11) / 50, (d % 7) / 25, (d % 5) / 20, [(d % 3) / 100, (d % 2) / 50], d % 13 != 4)
     a = scoring.audio_points(100.0 * (1 + d % 6), F.lit(1000.0), [side, silent])
     cases = docs.select("id", s.alias("s"), a.alias("a"), (d % 8 != 3).alias("valid"))
-    frames = scoring.text_frames(seen, outside)
-    scored = scoring.score(cases, frames).join(frames.groupBy("id").agg(F.sum("invalid").alias("invalid")), "id", "left")
+    scored = scoring.score(cases, scoring.text_frames(seen, outside))
     rounded = [r6(c).alias(c) for c in ("s", "a", "p", "o", "programme", "score")]
-    return scored.select(F.col("id").alias("doc_id"), *rounded, "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 3, -8.0).alias("pruned"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+    return scored.select(F.col("id").alias("doc_id"), *rounded, "decision", scoring.cannot_pass(F.col("s"), F.col("a"), 3, -8.0).alias("pruned"), "invalid")
 
 
 #: Events as news of a queue of five jobs: the attempt that a report names is right in two of three cases.

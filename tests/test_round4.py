@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import base64
+import random
 
 from pyspark.sql import functions as F
 
+from sparkloom import registry
 from sparkloom.functions import text as T
+from sparkloom.operators import features
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_ids_of_long_paths_stand_in_one_line(spark):
@@ -15,3 +20,31 @@ def test_ids_of_long_paths_stand_in_one_line(spark):
     for r in spark.createDataFrame([(p,) for p in paths], "path string").select("path", id_.alias("id"), T.object_path(id_).alias("back")).collect():
         assert r.id == base64.urlsafe_b64encode(r.path.encode()).decode().rstrip("=")
         assert r.back == r.path
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_observations_of_a_case_are_read_once(spark):
+    found = plan(registry.queries()["document_scores"](spark, SF))
+    assert 0 < found.count("normalize_text(") <= 2  # for the filter and for what follows
+
+
+def test_payloads_of_a_journal_are_parsed_once(spark):
+    for name in ("journal_restore", "valid_prefix"):
+        assert plan(registry.queries()[name](spark, SF)).count("parse_json") + plan(registry.queries()[name](spark, SF)).count("parseJson") == 1
+
+
+def test_area_of_many_rectangles_without_joins(spark):
+    rng = random.Random(5)
+    rects = [(k, *sorted(rng.choices(range(9), k=2)), *sorted(rng.choices(range(9), k=2)), rng.choice([0.0, 0.5, 1.0, 2.0])) for k in range(12) for _ in range(k)]
+    rows = spark.createDataFrame([(k, float(a), float(c), float(b), float(d), w) for k, a, b, c, d, w in rects], "k int, x0 double, y0 double, x1 double, y1 double, weight double")
+    want = {}
+    for k in {r[0] for r in rects}:
+        whole = [r for r in rects if r[0] == k and r[1] < r[2] and r[3] < r[4] and r[5] > 0]
+        if whole:
+            want[k] = sum(max((w for _, a, b, c, d, w in whole if a <= x < b and c <= y < d), default=0.0) for x in range(9) for y in range(9))
+    found = features.rect_union(rows, "k")
+    assert {r.k: r.area for r in found.collect()} == want
+    assert "Join" not in plan(found)
