@@ -69,14 +69,18 @@ def committed(rows: DataFrame) -> DataFrame:
     return columns.repartition("key").sortWithinPartitions("key", "ordinal").mapInArrow(run, RECORD)
 
 
-def payload_reason(payload: Column, candidate: Column, threshold: Column, before: Column) -> Column:
+def payload_reason(payload: Column, candidate: Column, threshold: Column, before: Column, parsed: Column | None = None, facts: dict[str, Column] | None = None) -> Column:
     """The first rule that a payload breaks, or null.
 
-    ``candidate``: struct of region_indices, segment_indices, duration_seconds; ``before``: seconds saved by earlier records.
+    ``candidate``: struct of region_indices, segment_indices, duration_seconds; ``before``: seconds saved by earlier records. ``parsed``
+    is the payload as a variant. Rules look into it in some sixty places; what they look up is put into ``facts`` by name, and taken from
+    there if it is there, so that a caller may compute each of these once a row, as a column.
     """
-    value = F.try_parse_json(payload)
-    at = lambda path, kind="variant": F.try_variant_get(value, f"$.{path}", kind)
-    kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("none"))
+    value = F.try_parse_json(payload) if parsed is None else parsed
+    facts = {} if facts is None else facts
+    fact = lambda name, c: facts.setdefault(f"_{name}".replace(".", "_").replace("<", "_").replace(">", ""), c)
+    at = lambda path, kind="variant": fact(f"{path} {kind}", F.try_variant_get(value, f"$.{path}", kind))
+    kind = lambda path: fact(f"{path} kind", F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")), F.lit("none")))
     object_ = lambda path: kind(path).startswith("OBJECT")
     sure = lambda c: F.coalesce(c, F.lit(False))
     numeric = lambda path: kind(path).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$") & sure(at(path, "double") >= 0)
@@ -84,13 +88,13 @@ def payload_reason(payload: Column, candidate: Column, threshold: Column, before
     array = lambda path: at(path, "array<bigint>")
     indices = lambda path: (kind(path) == "ARRAY<BIGINT>") & sure((F.size(array(path)) > 0) & (F.array_min(array(path)) >= 0) & (F.array_sort(F.array_distinct(array(path))) == array(path)))
     texts = lambda path: kind(path).isin("ARRAY<STRING>", "ARRAY<VOID>")
-    names = F.array_sort(F.json_object_keys(payload))
+    names = fact("names", F.array_sort(F.json_object_keys(payload)))
     expected = F.array(*(F.lit(n) for n in ("cumulative_elapsed_seconds", "elapsed_seconds", "features", "row", "weighted")))
     gate = at("weighted.candidate_source_gate.valid", "boolean")
     valid = sure(at("features.inputs.candidate.status", "string") == "ok") & sure(at("features.candidate_gate", "string") == "valid")
     decision = F.when(valid & (at("weighted.score", "double") >= threshold), "experimental_ad_candidate").otherwise("unknown")
     absences = F.when(at("features.expected_absences").isNull(), 0).otherwise(F.size(F.from_json(F.get_json_object(payload, "$.features.expected_absences"), "array<string>")))
-    row_names = F.json_object_keys(F.get_json_object(payload, "$.row"))
+    row_names = fact("row names", F.json_object_keys(F.get_json_object(payload, "$.row")))
     total, spent = at("cumulative_elapsed_seconds", "double"), at("elapsed_seconds", "double")
     near = F.abs(total - (before + spent)) <= F.greatest(F.lit(1e-9), 1e-12 * F.greatest(F.abs(total), F.abs(before + spent)))
     same_row = sure((array("row.region_indices") == candidate["region_indices"]) & (array("row.segment_indices") == candidate["segment_indices"]) & (at("row.duration_seconds", "double") == candidate["duration_seconds"]))
@@ -126,12 +130,16 @@ def checked(records: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataF
     own = W.partitionBy("key").orderBy("ordinal")
     rows = records.join(candidates.select("key", "ordinal", F.col("candidate_sha256").alias("due"), "candidate"), ["key", "ordinal"]).join(jobs.where("NOT void").select("key", "identity", "threshold"), "key")
     rows = rows.withColumns({"place": F.row_number().over(own) - 1, "chained": F.coalesce(F.lag("record_sha256").over(own), F.col("identity"))})
-    seconds = F.try_variant_get(F.try_parse_json("payload"), "$.cumulative_elapsed_seconds", "double")
-    rows = rows.withColumn("saved", seconds).withColumn("before", F.coalesce(F.lag("saved").over(own), F.lit(0.0)))
+    seconds = F.try_variant_get("parsed", "$.cumulative_elapsed_seconds", "double")
+    rows = rows.withColumn("parsed", F.try_parse_json("payload")).withColumn("saved", seconds).withColumn("before", F.coalesce(F.lag("saved").over(own), F.lit(0.0)))
     digests = (F.col("candidate_sha256") == F.col("due")) & (F.col("previous_sha256") == F.col("chained")) & (F.col("payload_sha256") == F.sha2("payload", 256))
     digests &= F.col("record_sha256") == record_digest(F.col("candidate_sha256"), F.col("ordinal"), F.col("payload"), F.col("payload_sha256"), F.col("previous_sha256"))
     mismatch = F.when(~F.coalesce(digests, F.lit(False)), "checkpoint_record_identity_or_checksum_mismatch")
-    rows = rows.withColumn("broken", F.coalesce(mismatch, payload_reason(F.col("payload"), F.col("candidate"), F.col("threshold"), F.col("before"))))
+    given = [F.col(c) for c in ("payload", "candidate", "threshold", "before", "parsed")]
+    facts: dict[str, Column] = {}
+    payload_reason(*given, facts=facts)
+    rows = rows.withColumns(facts)
+    rows = rows.withColumn("broken", F.coalesce(mismatch, payload_reason(*given, facts={n: F.col(f"`{n}`") for n in facts}))).drop("parsed", *facts)
     reason = F.when(F.col("ordinal") != F.col("place"), F.format_string("checkpoint_missing_candidate_%d", F.col("place")))
     rows = rows.withColumn("reason", reason.when(F.col("broken").isNotNull(), F.format_string("checkpoint_invalid_candidate_%d: %s", F.col("ordinal"), F.col("broken"))))
     return rows.withColumn("usable", F.bool_and(F.col("reason").isNull()).over(own.rowsBetween(W.unboundedPreceding, 0)))
