@@ -6,12 +6,14 @@ order, and over the video's times. It holds for a file only while the session, t
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .features import ordered_digest
-
 #: Kinds of a fingerprint (fixed values), and the tolerances of durations in seconds.
 KINDS = ("video", "audio", "video_timing")
 MANIFEST_SLACK, MEDIA_SLACK = 1e-6, 1.0
@@ -25,13 +27,36 @@ def fingerprints(packets: DataFrame) -> DataFrame:
     Each digest is made over sorted rows, so the size of a file does not matter.
     """
     first = W.partitionBy("key", "kind")
-    rows = packets.withColumns({"p": F.col("pts") - F.min("pts").over(first), "d": F.col("dts") - F.min("dts").over(first)})
-    times = rows.where("kind = 'video'").select("key", F.lit("video_timing").alias("kind"), "position", F.lit(1).alias("size"), F.concat_ws(",", "p", "d").alias("digest"))
-    rows = rows.select("key", "kind", "position", F.col("size").cast("int").alias("size"), "digest").unionByName(times).withColumn("of", F.concat_ws(":", "key", "kind"))
-    made = ordered_digest(rows, "of", ["position"], F.col("digest")).select("of", "digest")
-    amounts = rows.groupBy("of", "key", "kind").agg(F.sum("size").alias("amount"))
-    found = amounts.join(made, "of").groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.struct("amount", F.col("digest").alias("sha256")).alias("v"))))).alias("prints"))
-    return found
+    # all windows and digests of a file ask for its packets by key and in this order, so they share one shuffle and one sort
+    rows = packets.repartition("key").sortWithinPartitions("key", "kind", "position")
+    rows = rows.withColumns({"p": F.col("pts") - F.min("pts").over(first), "d": F.col("dts") - F.min("dts").over(first)})
+    rows = rows.select("key", "kind", "position", F.col("size").cast("int").alias("size"), F.coalesce("digest", F.lit("")).alias("digest"), F.when(F.col("kind") == "video", F.concat_ws(",", "p", "d")).alias("time"))
+    key = dict(rows.dtypes)["key"]
+    fields = pa.map_(pa.string(), pa.struct([("amount", pa.int64()), ("sha256", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packets arrive by key, kind and position: it holds the digests of one file."""
+        now, made = None, {}
+        close = lambda: sorted((k, {"amount": a, "sha256": h.hexdigest()}) for k, (a, h) in made.items())
+        batch = lambda keys, prints: pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(prints, fields)], names=["key", "prints"])
+        for b in batches:
+            keys, prints, kind = [], [], b.schema.field(0).type
+            for k, stream, size, digest, time in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+                if now != (k,):
+                    if now is not None:
+                        keys.append(now[0])
+                        prints.append(close())
+                    now, made = (k,), {}
+                for name, amount, value in ((stream, size, digest), ("video_timing", 1, time)):
+                    if value is not None:
+                        held = made.setdefault(name, [None, hashlib.sha256()])
+                        held[0] = held[0] if amount is None else amount + (held[0] or 0)
+                        held[1].update(value.encode() + b"\n")
+            yield batch(keys, prints)
+        if now is not None:
+            yield batch([now[0]], [close()])
+
+    return rows.sortWithinPartitions("key", "kind", "position").mapInArrow(run, f"key {key}, prints map<string, struct<amount: bigint, sha256: string>>")
 
 
 def fingerprints_valid(prints: Column) -> Column:
@@ -70,10 +95,13 @@ def validated(files: DataFrame, packets: DataFrame) -> DataFrame:
     A file is valid if it has one H.264 and one AAC stream, the expected length within a second, decode times that ascend in each
     stream, a decode that holds, and is still what it was when all this began. ``method`` tells which decode: the one
     made ``during_download``, where its receipt stands for the file, or one made now (``decodes``: whether that succeeded).
+    Fingerprints are made of the packets, unless the files have them as ``prints`` already.
     """
     earlier = F.max("dts").over(W.partitionBy("key", "kind").orderBy("position").rowsBetween(W.unboundedPreceding, -1))
     health = packets.withColumn("back", F.coalesce(F.col("dts") <= earlier, F.lit(False))).groupBy("key").agg(F.bool_or("back").alias("back"), F.count_distinct("kind").alias("streams"))
-    rows = files.join(health, "key", "left").join(fingerprints(packets), "key", "left")
+    rows = files.join(health, "key", "left")
+    if "prints" not in files.columns:
+        rows = rows.join(fingerprints(packets), "key", "left")
     rows = rows.withColumn("why", reuse_reason(F.col("session"), F.col("receipt"), F.col("expected"), F.col("audio"), F.col("tool"), F.col("prints")))
     reused = F.col("why") == "complete_decode_and_encoded_content_match"
     no = lambda c: ~F.coalesce(c, F.lit(False))

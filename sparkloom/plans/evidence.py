@@ -235,5 +235,6 @@ def kept_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("tool").alias("tool"),
         (key % 3 != 1).alias("decodes"),
         (key % 29 == 7).alias("changed"),
+        "prints",
     )
     return retained.validated(files, packets).withColumnRenamed("key", "l_orderkey")

@@ -48,3 +48,12 @@ def test_area_of_many_rectangles_without_joins(spark):
     found = features.rect_union(rows, "k")
     assert {r.k: r.area for r in found.collect()} == want
     assert "Join" not in plan(found)
+
+
+def test_packets_are_fingerprinted_once(spark):
+    assert plan(registry.queries()["kept_media"](spark, SF)).count("MapInArrow") == 1
+
+
+def test_whole_texts_do_not_go_to_python_in_batches_of_ten_thousand(spark):
+    found = plan(registry.queries()["converted_texts"](spark, SF))
+    assert "ArrowEvalPython" not in found and "BatchEvalPython" in found
