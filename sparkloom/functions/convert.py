@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -51,11 +50,8 @@ def converted(text: Column, phrases: dict[str, str]) -> Column:
                 seek = p + 1
         return "".join(parts) + t[at:]
 
-    @F.pandas_udf(StringType())
-    def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return convert(text)
+    # rows go to Python a hundred at a time; Arrow's batches would be of ten thousand whole texts, several times over in each process
+    return F.udf(one, StringType(), useArrow=False)(text)
 
 
 def normalized(text: Column, language: Column, phrases: dict[str, str]) -> Column:
