@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkloom import registry
+from sparkloom import registry, session
 from sparkloom.functions import text as T
 from sparkloom.operators import features
 
@@ -57,3 +57,14 @@ def test_packets_are_fingerprinted_once(spark):
 def test_whole_texts_do_not_go_to_python_in_batches_of_ten_thousand(spark):
     found = plan(registry.queries()["converted_texts"](spark, SF))
     assert "ArrowEvalPython" not in found and "BatchEvalPython" in found
+
+
+def test_a_task_after_a_shuffle_stays_small(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("64MB", 8 << 20), ("1g", 8 << 20), ("4m", 4 << 20), ("16k", 16 << 10), ("67108864b", 8 << 20)):
+            spark.conf.set(name, given)
+            assert session._bytes(session.tuned(spark).conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
