@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes of (node, comp) and of ``edges`` (u, v): components that an edge joins go two steps down.
+
+    A component takes the smallest one among its neighbours and itself, and then what that one takes. This joins a hub with
+    all its neighbours, and other shapes in part: nodes with one comp belong together, but not always the other way round.
+    """
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    ends = edges.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    ends = ends.select(F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")).where("a <> b")
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    steps = least.join(least.select(F.col("a").alias("m"), F.col("m").alias("comp_")), "m").select(F.col("a").alias("comp"), "comp_")
+    known = labels.select("node", "comp").unionByName(least.select(F.col("a").alias("node"), F.col("a").alias("comp")))
+    known = known.groupBy("node").agg(F.min("comp").alias("comp"))
+    return known.join(steps, "comp", "left").select("node", F.coalesce("comp_", "comp").alias("comp"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (u, v): comp is the smallest node that it reaches.
 
     Alternating large-star and small-star rounds on edges from a node to a smaller one: a large-star links a node's
@@ -17,16 +34,12 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     It ends when every node has one edge, to a node that has none: the smallest of its component. Edges are written to the
     shared folder each round. A hub with very many edges is split by the adaptive skew join, and its minimum is combined
     on the map side.
-
-    With ``rounds`` it stops after so many: comp is then some node that is reached, and nodes with one comp belong together.
     """
     spark = edges.sparkSession
     used: list[str] = []
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     down = common.staged(down, "edges", used)
-    done = 0
-    while done < rounds if rounds is not None else not _settled(down):
-        done += 1
+    while not _settled(down):
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

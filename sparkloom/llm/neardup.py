@@ -12,8 +12,8 @@
    few pairs per node. Then the pairs of different components that short lists (``MOST``) still hold are compared.
    Longer ones hold texts that share a passage which is a large part of each. For their nodes, lists are made again from the
    whole sets, where the prefix is exact, the rarest quarter of a set, and positions bound overlaps. They go through a few
-   star rounds too, with more hubs, and then through rounds of random groups with one hub each, as long as these link
-   one node in ``FRUITFUL``. All pairs of different components that are left then are compared. Pairs inside a component
+   star rounds too, with more hubs, and then, if many pairs are left, through rounds of random groups with one hub each, as long
+   as these link one node in ``FRUITFUL``. One hub of a star round is the node with the least share of values of its own. All pairs of different components that are left then are compared. Pairs inside a component
    cannot change the result, so no link between components is lost.
 4. A pair is first estimated from the bottom k of the union of both sketches, and dropped if that is more than seven standard errors below
    the threshold. What is left is verified on the full sets, recomputed from the whole texts.
@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import kernels as K
-from .components import components
+from .components import components, merged
 
 SKETCH = 64
 #: Hubs of a star round, of one over crowded lists, and the longest list that is not crowded. None of them decides a link.
 HUBS, CROWD_HUBS, MOST = 3, 8, 32
 #: Star rounds over crowded lists go on while they leave more than so many pairs an entry; they and random rounds, while they link one node in so many.
 ENOUGH, FRUITFUL = 1, 64
-#: Star rounds over crowded lists at most, and rounds of the components between comparisons.
-CROWD_ROUNDS, ROUNDS = 3, 3
+#: Star rounds over crowded lists at most.
+CROWD_ROUNDS = 3
 
 
 def least_shared(keep: int, percent: int) -> int:
@@ -147,10 +147,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _lists(nodes: DataFrame, keep: int | None, percent: int) -> DataFrame:
-    """(v, s, node, n, pos): the entries of the inverted lists, by value and size class, that hold at least two nodes.
+    """(v, s, node, n, pos, far): the entries of the inverted lists, by value and size class, that hold at least two nodes.
 
     ``keep`` is the sketch size, or None where ``sketch`` is the whole set; ``pos`` is then the number of rarer values
-    in the set, else 0.
+    in the set, else 0. ``far`` is the share of a node's values that no other node has, in thousandths.
     """
     entries = nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
@@ -160,12 +160,13 @@ def _lists(nodes: DataFrame, keep: int | None, percent: int) -> DataFrame:
         least = F.when(F.col("m") < keep * percent // 100, least).otherwise(F.lit(least_shared(keep, percent)))
     # a value of its own takes a place before all shared ones
     room = ((F.col("m") - least + 1) - (F.col("m") - F.size("vs"))).cast("int")
-    rare = common_.withColumn("room", room).where("room > 0").select("node", "n", (F.col("m") - F.size("vs")).alias("own"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("at", "x"))
+    far = ((F.col("m") - F.size("vs")) * 1000 / F.col("m")).cast("int")
+    rare = common_.withColumn("room", room).where("room > 0").select("node", "n", (F.col("m") - F.size("vs")).alias("own"), far.alias("far"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("at", "x"))
     # sets within the threshold of each other have the same size class or neighbouring ones
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     pos = F.lit(0) if keep is not None else F.col("own") + F.col("at")
-    both = rare.select(F.col("x.v").alias("v"), "node", "n", size.alias("s"), pos.cast("long").alias("pos"))
-    return both.select("v", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "node", "n", "pos")
+    both = rare.select(F.col("x.v").alias("v"), "node", "n", size.alias("s"), pos.cast("long").alias("pos"), "far")
+    return both.select("v", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "node", "n", "pos", "far")
 
 
 def _full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -191,12 +192,12 @@ class _Merge:
         self.labels = texts.sparkSession.createDataFrame([], "node long, comp long")
 
     def labelled(self, lists: DataFrame) -> DataFrame:
-        return lists.select("v", "s", "node", "n", "pos", *(c for c in ("many",) if c in lists.columns)).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return lists.select("v", "s", "node", "n", "pos", "far", *(c for c in ("many",) if c in lists.columns)).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    def verify(self, pairs: DataFrame) -> int:
+    def verify(self, pairs: DataFrame, last: bool = False) -> int:
         """Compare the pairs (u, w, nu, nw, pu, pw) that were not compared before; u is the node that many of them share.
 
-        Returns how many of them are links.
+        Returns how many of them are links; after the ``last`` call nobody reads the components found so far.
 
         In the list of the rarest value that two sets share, all that they share lies at or after it, so the remaining
         sizes bound the overlap; without positions this is the bound by sizes alone.
@@ -212,8 +213,9 @@ class _Merge:
         linked = good.count()
         if linked:
             self.links = good if self.links is None else self.links.unionByName(good)
-            # a few rounds save most comparisons that cannot change the result; the last call settles the rest
-            self.labels = components(self.links, ROUNDS)
+            # two steps save most comparisons that cannot change the result; the last call settles the rest
+            if not last:
+                self.labels = common.staged(merged(self.labels, good), "labels", self.used)
         return linked
 
     def settled(self) -> DataFrame:
@@ -224,10 +226,12 @@ class _Merge:
         """A star round; returns the entries of lists that still hold several components, these lists, and the number of new links, or None.
 
         ``many`` nodes of each list are compared with all others in it and then leave it, since all their pairs there
-        are done. Hubs are random nodes of random components, so stragglers become hubs as soon as a large component does.
+        are done. One hub is the node with the least share of values of its own: near copies of one text, each with changes
+        of its own, link with the one that is nearest to that text rather than with each other. The other hubs are random nodes of
+        random components, so stragglers become hubs as soon as a large component does.
         """
         open_ = self.labelled(lists)
-        hubs = [F.min(F.struct(F.xxhash64("comp", F.lit(i)), F.xxhash64("node", F.lit(i)), "node", "n", "comp", "pos")) for i in range(many)]
+        hubs = [F.min(F.struct(F.col("far").cast("long") if not i else F.xxhash64("comp", F.lit(i)), F.xxhash64("node", F.lit(i)), "node", "n", "comp", "pos")) for i in range(many)]
         mixed = open_.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*(F.struct(*(h[c].alias(c) for c in ("node", "n", "comp", "pos"))) for h in hubs))).alias("hubs"))
         mixed = mixed.where("lo <> hi").select("v", "s", "hubs")
         left = common.staged(open_.join(mixed, ["v", "s"]), "lists", self.used)
@@ -259,10 +263,10 @@ class _Merge:
         both = dealt.join(hub, ["v", "s", "group"]).where("comp <> hub.comp")
         return self.verify(both.select(F.col("hub.node").alias("u"), F.col("node").alias("w"), F.col("hub.n").alias("nu"), F.col("n").alias("nw"), F.col("hub.pos").alias("pu"), F.col("pos").alias("pw")))
 
-    def rest(self, lists: DataFrame) -> None:
+    def rest(self, lists: DataFrame, last: bool = False) -> None:
         """Compare all pairs of different components within the lists."""
         side = lambda x: lists.select("v", "s", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"))
-        self.verify(side("u").join(side("w"), ["v", "s"]).where("u < w AND cu <> cw"))
+        self.verify(side("u").join(side("w"), ["v", "s"]).where("u < w AND cu <> cw"), last)
 
 
 def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percent: int, keep: int, used: list[str]) -> DataFrame:
@@ -287,16 +291,17 @@ def _merge(lists: DataFrame, texts: DataFrame, sketch: DataFrame, k: int, percen
         left, sizes, linked = found
         merge.forget()
         n = sizes.agg(F.sum("many").alias("entries"), F.sum(F.col("near") * (F.col("near") - F.col("near_top"))).alias("pairs")).first()
-        if linked * FRUITFUL < nodes or (n.pairs or 0) <= ENOUGH * (n.entries or 0):
+        few = (n.pairs or 0) <= ENOUGH * (n.entries or 0)
+        if linked * FRUITFUL < nodes or few:
             break
     left = common.staged(left.drop("comp").join(sizes.select("v", "s", "many"), ["v", "s"]), "lists", used)
     merge.forget()
     salt = 0
-    while merge.mingle(left, salt) * FRUITFUL >= nodes:
+    while not few and merge.mingle(left, salt) * FRUITFUL >= nodes:
         salt += 2
     left = merge.labelled(left)
     open_ = left.groupBy("v", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    merge.rest(left.join(open_, ["v", "s"]))
+    merge.rest(left.join(open_, ["v", "s"]), last=True)
     return merge.settled()
 
 
