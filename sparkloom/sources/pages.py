@@ -228,10 +228,11 @@ def thumbnails(rows: DataFrame) -> DataFrame:
     return picked.select("key", F.coalesce("og", "poster").alias("image"))
 
 
-def _lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _lines(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, line, line_name, line_order, list) of the lines that each catalogue shows, and (key, reason) where its layout is broken.
 
-    Three layouts: tabs with a block each, titled routes, and one default list.
+    Three layouts: tabs with a block each, titled routes, and one default list. ``links``: the text of each link, (key, i, said).
+    What several rules look at is kept: it is a few rows a page, and each rule would else read all tokens again.
     """
     is_open, a = F.col("kind") == "open", F.col("name") == "a"
     lead = lambda c, n=1: F.lead(c, n).over(W.partitionBy("key").orderBy("i"))
@@ -239,11 +240,10 @@ def _lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a block is an element whose only child is the list
     blocks = solid.withColumns({"next": lead(F.struct("i", "name", "attrs", "parent", "until")), "after": F.lit(None)}).where(is_open & (F.col("name") == "div") & (F.col("next.name") == "ul") & (F.col("next.parent") == F.col("i")))
     ends = rows.where(~((F.col("kind") == "text") & F.rlike("text", F.lit(r"^\s*$")))).groupBy("key", "parent").agg(F.count("*").alias("children"))
-    blocks = blocks.join(ends.withColumnRenamed("parent", "i"), ["key", "i"]).where("children = 1")
-    links = texts(rows, is_open & a, "link").withColumnRenamed("link", "i")
+    blocks = blocks.join(ends.withColumnRenamed("parent", "i"), ["key", "i"]).where("children = 1").select("key", "i", "family", "attrs", "next").persist()
     maple = rows.where("family = 'maple'")
     tabs = maple.where(is_open & a & (attribute("data-toggle") == "tab")).withColumn("line", F.regexp_extract(attribute("href"), r"^#playlist(\d+)$", 1)).where("line <> ''")
-    tabs = tabs.select("key", "i", "line").join(links, ["key", "i"]).withColumn("line_name", F.when(F.col("said") == "", F.concat(F.lit("線路 "), F.col("line"))).otherwise(F.col("said")))
+    tabs = tabs.select("key", "i", "line").join(links, ["key", "i"]).withColumn("line_name", F.when(F.col("said") == "", F.concat(F.lit("線路 "), F.col("line"))).otherwise(F.col("said"))).persist()
     bad_tabs = tabs.groupBy("key").agg(F.bool_or(~F.coalesce(F.col("line").try_cast("int") > 0, F.lit(False))).alias("bad")).where("bad").select("key", F.lit("line_number").alias("reason"))
     per_tab = tabs.groupBy("key", "line").agg(F.min("i").alias("i"), F.min_by("line_name", "i").alias("line_name"), F.count_distinct("line_name").alias("names"))
     clash = per_tab.where("names > 1").select("key", F.lit("line_names").alias("reason")).distinct()
@@ -251,7 +251,7 @@ def _lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     mine = mine.select("key", F.substr(attribute("id"), F.lit(9)).alias("line"), F.col("next.i").alias("list"), F.array_contains(F.split(F.coalesce(F.try_element_at("next.attrs", F.lit("class")), F.lit("")), r"\s+"), "myui-content__list").alias("known"))
     twice = mine.groupBy("key", "line").count().where("count > 1").select("key", F.lit("blocks").alias("reason")).distinct()
     none = maple.select("key").distinct().join(per_tab.select("key").distinct(), "key", "left_anti").select("key", F.lit("blocks").alias("reason"))
-    tabbed = per_tab.join(mine, ["key", "line"], "left").withColumn("line_order", F.row_number().over(W.partitionBy("key").orderBy("i")) - 1)
+    tabbed = per_tab.join(mine, ["key", "line"], "left").withColumn("line_order", F.row_number().over(W.partitionBy("key").orderBy("i")) - 1).persist()
     lost = tabbed.groupBy("key").agg(F.bool_or(F.col("list").isNull()).alias("lost"), F.bool_or(~F.col("known")).alias("odd")).where("lost OR odd").select("key", F.when(F.col("lost"), "missing").otherwise("structure").alias("reason"))
 
     ai = solid.where("family = 'gimyai'")
@@ -263,7 +263,7 @@ def _lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     follow = heads.join(after, "key").where((F.col("next_i") >= F.col("stop"))).groupBy("key", "title", "of").agg(F.min_by(F.struct("next_i", "name", "attrs", "kind", "parent"), "next_i").alias("n"))
     routes = follow.where((F.col("n.kind") == "open") & (F.col("n.name") == "div")).join(titles, ["key", "title"])
     sid = F.try_element_at("n.attrs", F.lit("data-route-sid"))
-    routes = routes.select("key", "title", F.col("n.next_i").alias("list"), sid.alias("line"), "said", F.array_contains(F.split(F.coalesce(F.try_element_at("n.attrs", F.lit("class")), F.lit("")), r"\s+"), "episodes-route").alias("known"))
+    routes = routes.select("key", "title", F.col("n.next_i").alias("list"), sid.alias("line"), "said", F.array_contains(F.split(F.coalesce(F.try_element_at("n.attrs", F.lit("class")), F.lit("")), r"\s+"), "episodes-route").alias("known")).persist()
     no_route = ai.select("key").distinct().join(routes.select("key").distinct(), "key", "left_anti").select("key", F.lit("missing").alias("reason"))
     number = F.coalesce(F.col("line").try_cast("int") > 0, F.lit(False))
     bad_route = routes.groupBy("key").agg(F.bool_or(~number).alias("n"), F.bool_or(~F.col("known")).alias("k"), (F.count_distinct("line") < F.count("line")).alias("d")).where("n OR k OR d").select("key", F.when(F.col("n"), "line_number").otherwise("blocks").alias("reason"))
@@ -292,15 +292,16 @@ def catalogues(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     # many rules look at the tokens: they are read once and kept, and read again where an executor that held some is lost
     rows = tokens(good, "key", html).where("kind <> 'raw'").join(good.select("key", "family", "own", "page"), "key").repartition("key").persist()
     is_open = F.col("kind") == "open"
-    lines, reasons = _lines(rows)
+    links = texts(rows, is_open & (F.col("name") == "a"), "link").withColumnRenamed("link", "i").persist()
+    lines, reasons = _lines(rows, links)
+    lines = lines.persist()
     heading = texts(rows, is_open & (F.col("name") == "h1"), "h").groupBy("key").agg(F.min_by("said", "h").alias("series"))
     # links of a list: what is inside its borders; lists do not overlap
     lists = rows.where(is_open).select("key", F.col("i").alias("list"), F.col("until").alias("end")).join(lines, ["key", "list"])
     marked = rows.join(lists.select("key", F.col("list").alias("i"), F.col("line").alias("of_line")), ["key", "i"], "left")
-    marked = inside(marked, F.col("of_line").isNotNull(), "list")
+    marked = inside(marked, F.col("of_line").isNotNull(), "list").where(is_open & F.col("list").isNotNull() & F.col("name").isin("a", "ul")).persist()
     nested = marked.where(is_open & (F.col("name") == "ul") & F.col("list").isNotNull() & (F.col("list") != F.col("i"))).select("key", F.lit("structure").alias("reason")).distinct()
-    labels = texts(rows, is_open & (F.col("name") == "a"), "link").withColumnRenamed("link", "i")
-    found = marked.where(is_open & (F.col("name") == "a") & F.col("list").isNotNull() & attribute("href").isNotNull()).join(labels, ["key", "i"]).join(lines, ["key", "list"])
+    found = marked.where(is_open & (F.col("name") == "a") & F.col("list").isNotNull() & attribute("href").isNotNull()).join(links, ["key", "i"]).join(lines, ["key", "list"])
     found = found.withColumn("link", udfs.resolve_url("page", attribute("href"))).withColumn("to", address(F.col("link")))
     same = (F.col("to.kind") == "playback") & (F.col("to.family") == F.col("family")) & (F.col("to.id") == F.col("own")) & ((F.col("family") == "gimy") | (F.col("to.line") == F.col("line").try_cast("int").cast("string")))
     found = found.where(same & (F.col("said") != "") & ~F.col("said").isin(*NOT_EPISODES))
